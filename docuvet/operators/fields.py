@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docuvet import fixed
+from docuvet.functions.stages import compute_once
 from docuvet.functions.text import (
     contains_any, date_precision, let, mask_doc_number, non_empty, normalize_date, normalize_text, stop_word_line, strip,
 )
@@ -109,7 +110,7 @@ def extract_name(compat: bool = False) -> Column:
         return ok & line.rlike(pattern) if pattern else ok & (F.length(line) >= 3)
 
     raw = F.array_compact(F.array(*[non_empty(F.col(f"name_{i}")) for i in range(3)]))
-    labelled = F.get(F.filter(F.transform(raw, _name_candidate), plausible), 0)
+    labelled = F.get(F.filter(F.transform(raw, _name_candidate), lambda line: plausible(line)), 0)
     is_dob_line = F.transform("lines", lambda line: contains_any(F.upper(line), fixed.DOB_LINE_WORDS))
     anchor = F.coalesce(F.array_position(is_dob_line, True), F.lit(0)).cast("int")
     above = F.reverse(F.slice("lines", F.lit(1), F.greatest(anchor - 1, F.lit(0))))
@@ -160,7 +161,7 @@ def extract_fields(docs: DataFrame, compat: bool = False, older_numbers: bool =
     searches = list(_searches().items())
     for start in range(0, len(searches), 6):
         df = df.withColumns(dict(searches[start:start + 6]))
-    df = df.withColumn("document_type", classify_document(F.col("upper_text")))
+    df = compute_once(df.withColumn("document_type", classify_document(F.col("upper_text"))))
     df = df.withColumns(
         {
             "doc_number": _doc_number(older_numbers),
@@ -188,7 +189,7 @@ def extract_fields(docs: DataFrame, compat: bool = False, older_numbers: bool =
         }
     )
     passed_through = [c for c in keep if c not in FIELDS and c not in ("raw_text", "upper_text", "dob_precision")]
-    return df.select(*passed_through, "raw_text", "upper_text", *FIELDS, "dob_precision")
+    return compute_once(df.select(*passed_through, "raw_text", "upper_text", *FIELDS, "dob_precision"))
 
 
 def detected_field_count() -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docuvet import fixed
 from docuvet.functions.checksums import digits_only, verhoeff_valid_digits
+from docuvet.functions.stages import compute_once
 from docuvet.functions.text import contains_any, match
 from docuvet.operators.fields import detected_field_count
 
@@ -123,13 +124,13 @@ def validate_numbers(fields: DataFrame) -> DataFrame:
             "pan_entity": pan_entity(F.col("pan_number")),
         }
     )
-    df = df.withColumn(
+    df = compute_once(df).withColumn(
         "structure_checks",
         F.when(F.col("route") == "AADHAAR", aadhaar_checks()).when(F.col("route") == "PAN", pan_checks()),
     )
     digits = F.col("aadhaar_digits")
     passed = high_checks_passed(F.col("structure_checks"))
-    return df.withColumns(
+    checked = df.withColumns(
         {
             "aadhaar_status": F.when(
                 F.col("route") == "AADHAAR",
@@ -150,6 +151,7 @@ def validate_numbers(fields: DataFrame) -> DataFrame:
             .otherwise(F.col("document_type")),
         }
     ).withColumn("detected_field_count", detected_field_count())
+    return compute_once(checked)
 
 
 def reading_quality(line_count: Column, confidence: Column, field_count: Column) -> dict[str, Column]:

@@ -171,7 +171,7 @@ SELECT c_custkey AS id, lower(replace(c_name, '#', '.')) || '@example.org' AS em
   CASE WHEN c_custkey % 2 = 0 THEN 'Desk ' || c_mktsegment ELSE '' END AS org_name
 FROM {customer}""",
     "registrations": """
-SELECT l_orderkey * 8 + l_linenumber AS request_id,
+SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS request_id,
   CASE WHEN l_suppkey % 13 = 0 THEN 'no-address' ELSE ' Customer.' || lpad(CAST(l_partkey % 2500 AS STRING), 9, '0') || '@Example.org ' END AS email,
   CASE l_linenumber % 3 WHEN 0 THEN 'organisation' WHEN 1 THEN 'INDIVIDUAL' ELSE NULL END AS role,
   CASE WHEN l_orderkey % 2 = 0 THEN 'user' || CAST(l_orderkey AS STRING) END AS username,
@@ -186,6 +186,18 @@ SELECT l_orderkey * 8 + l_linenumber AS upload_id,
     WHEN 5 THEN 'y.jpg' WHEN 6 THEN 'notes.txt' WHEN 7 THEN '' ELSE 'z.png' END AS filename,
   CASE WHEN l_linenumber = 1 AND l_orderkey % 7 = 0 THEN 0 ELSE CAST(l_partkey * 20011 AS BIGINT) END AS size_bytes
 FROM {lineitem}""",
+    # Dates as they are printed on documents.
+    "date_texts": """
+SELECT o_orderkey AS doc_id, CASE o_orderkey % 9
+    WHEN 0 THEN lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || '/' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '/' || CAST(year(o_orderdate) AS STRING)
+    WHEN 1 THEN CAST(year(o_orderdate) AS STRING) || '-' || CAST(month(o_orderdate) AS STRING) || '-' || CAST(day(o_orderdate) AS STRING)
+    WHEN 2 THEN 'born ' || CAST(day(o_orderdate) AS STRING) || ' ' || substr('JanuaryFebruarMarchxxAprilxxMayxxxxJunexxxJulyxxxAugustxSeptembOctoberNovembeDecembe', CAST(1 + 7 * (month(o_orderdate) - 1) AS INT), 3) || '  ' || CAST(year(o_orderdate) AS STRING)
+    WHEN 3 THEN CAST(month(o_orderdate) AS STRING) || '/' || CAST(day(o_orderdate) AS STRING) || '/' || CAST(year(o_orderdate) AS STRING)
+    WHEN 4 THEN 'YEAR ' || CAST(year(o_orderdate) AS STRING)
+    WHEN 5 THEN 'n/a'
+    WHEN 6 THEN ' ' || CAST(day(o_orderdate) AS STRING) || '.' || CAST(month(o_orderdate) AS STRING) || '.' || CAST(year(o_orderdate) + 30 AS STRING)
+    WHEN 7 THEN '' ELSE '31 feb ' || CAST(year(o_orderdate) AS STRING) END AS printed
+FROM {orders}""",
     # Labelled scores of an attack detector.
     "scored": """
 SELECT doc_id, toxic AS is_attack, quality, CAST(n_chars % 1000 AS decimal(9,3)) * 0.001 AS score, lang
