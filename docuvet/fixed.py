@@ -163,9 +163,43 @@ MRZ_FORMAT_NAMES = {
     "TD3": "TD3 (Passport / 44 Chars)", "TD1": "TD1 (ID Card / 30 Chars)", "TD2": "TD2 (36 Chars)", "NONE": "NONE",
 }
 
+# Place of each field as (line, first character, last character), 1-based and inclusive.
+MRZ_LAYOUT = {
+    "TD3": {"names": (1, 6, 44), "number": (2, 1, 9), "number_cd": (2, 10, 10), "nationality": (2, 11, 13),
+            "dob": (2, 14, 19), "dob_cd": (2, 20, 20), "sex": (2, 21, 21), "expiry": (2, 22, 27),
+            "expiry_cd": (2, 28, 28), "optional": (2, 29, 42), "composite_cd": (2, 44, 44)},
+    "TD1": {"names": (3, 1, 30), "number": (1, 6, 14), "number_cd": (1, 15, 15), "nationality": (2, 16, 18),
+            "dob": (2, 1, 6), "dob_cd": (2, 7, 7), "sex": (2, 8, 8), "expiry": (2, 9, 14),
+            "expiry_cd": (2, 15, 15), "composite_cd": (2, 30, 30)},
+    "TD2": {"names": (1, 6, 36), "number": (2, 1, 9), "number_cd": (2, 10, 10), "nationality": (2, 11, 13),
+            "dob": (2, 14, 19), "dob_cd": (2, 20, 20), "sex": (2, 21, 21), "expiry": (2, 22, 27),
+            "expiry_cd": (2, 28, 28)},
+}
+MRZ_COMPOSITE = {
+    "TD3": ((2, 1, 10), (2, 14, 20), (2, 22, 43)),
+    "TD1": ((1, 6, 30), (2, 1, 7), (2, 9, 15), (2, 19, 29)),
+}
+# Width of the lines, number of lines, accepted length of a read line, strict first letters.
+MRZ_SIZES = {
+    "TD3": (44, 2, 40, 48, "P"), "TD1": (30, 3, 28, 32, "IAC"), "TD2": (36, 2, 34, 38, "IACV"),
+}
+MRZ_DEFAULT_CODE = {"TD3": "P", "TD1": "I"}
+MRZ_CHECK_NAMES = {
+    "document_number": "Document Number Check Digit", "dob": "Date of Birth Check Digit",
+    "expiry_date": "Expiry Date Check Digit", "composite": "Overall Composite Check Digit",
+}
+
 # --- Barcodes -------------------------------------------------------------------------------------
 QR_MARKERS = ("PrintLetterBarcodeData", "uid=", "name=")
 QR_ATTRIBUTE = rf'([{WORD}]+)[{WS}]*=[{WS}]*"([^"]*)"'
+_XML_NAME = rf"[{WORD}:.\-]+"
+_XML_VALUE = "(?:\"[^\"<]*\"|'[^'<]*')"
+# A single well-formed element, whose attributes are group 2.
+XML_ELEMENT = (
+    rf"(?s)^[^<]*<({_XML_NAME})((?:[{WS}]+{_XML_NAME}[{WS}]*=[{WS}]*{_XML_VALUE})*)[{WS}]*(?:/>|>.*</\1[{WS}]*>)[{WS}]*$"
+)
+XML_ATTRIBUTE = rf"({_XML_NAME})[{WS}]*=[{WS}]*({_XML_VALUE})"
+XML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 PAYLOAD_ID = rf"(?i)(?:DL|ID|NO|NUM)[:{WS}\-]*([A-Z0-9]{{6,14}})"
 PAYLOAD_NAME = rf"(?i)(?:NAME|NAM|DAQ)[:{WS}]+([A-Za-z{WS}]+)"
 COMPARED = {

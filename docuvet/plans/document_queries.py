@@ -128,7 +128,7 @@ s2 AS (SELECT *, {strip_sql(f"coalesce(num_a, num_p, CASE WHEN type0 = 'PASSPORT
   CASE WHEN type0 = 'UNKNOWN' AND num_a IS NOT NULL THEN 'NATIONAL_ID (AADHAAR)' WHEN type0 = 'UNKNOWN' AND num_p IS NOT NULL THEN 'NATIONAL_ID (PAN)' {dl_type} ELSE type0 END AS document_type,
   CASE WHEN anchor >= 2 THEN list_reverse(lines[1:anchor - 1]) ELSE [] END AS above,
   list_filter(list_transform(list_filter(name_raw, lambda n: n IS NOT NULL), lambda n: {candidate}), lambda n: {ok('n')})[1] AS name_labelled FROM s1),
-fields AS (SELECT doc_id, lines, raw_text, upper_text, document_type,
+fields AS MATERIALIZED (SELECT doc_id, lines, raw_text, upper_text, document_type,
   nullif({spaces_sql(f"coalesce(name_labelled, list_filter(above, lambda l: {ok('l', fixed.NAME_LINE_ABOVE)})[1], list_filter(lines[1:8], lambda l: {ok('l', fixed.NAME_LINE_TOP)})[1])")}, '') AS name,
   {dob} AS dob, {dob_precision} AS dob_precision, doc_number, {exp} AS expiry_date, {iss} AS issue_date,
   CASE WHEN adr IS NOT NULL THEN CASE WHEN length({address}) >= 10 THEN {address} END ELSE nullif({spaces_sql(f"list_filter(lines, lambda l: {pin_line})[1]")}, '') END AS address,
@@ -310,10 +310,10 @@ routed AS (SELECT *, CASE WHEN contains(document_type, 'AADHAAR') OR {has_any('u
   WHEN contains(document_type, 'PAN') OR contains(upper_text, 'PERMANENT ACCOUNT NUMBER') THEN 'PAN' END AS route FROM fields),
 cand AS (SELECT *, CASE WHEN route = 'AADHAAR' THEN {candidates_sql('raw_text')} ELSE [] END AS c, CASE WHEN route = 'PAN' THEN {rx('upper_text', fixed.PAN_NUMBER)} END AS pan_number FROM routed),
 picked AS (SELECT *, {pick_sql('c')} AS ad FROM cand),
-v AS (SELECT * EXCLUDE (document_type, doc_number), CASE WHEN route = 'AADHAAR' THEN coalesce({verhoeff_sql('ad')}, false) END AS verhoeff_ok,
+v AS MATERIALIZED (SELECT * EXCLUDE (document_type, doc_number), CASE WHEN route = 'AADHAAR' THEN coalesce({verhoeff_sql('ad')}, false) END AS verhoeff_ok,
   CASE WHEN pan_number IS NOT NULL THEN {entity} END AS pan_entity, CASE WHEN route = 'AADHAAR' THEN 'NATIONAL_ID (AADHAAR)' WHEN pan_number IS NOT NULL THEN 'NATIONAL_ID (PAN)' ELSE document_type END AS document_type,
   coalesce(substr(ad, 1, 4) || ' ' || substr(ad, 5, 4) || ' ' || substr(ad, 9, 4), pan_number, doc_number) AS doc_number FROM picked),
-validated AS (SELECT *, CASE WHEN route = 'AADHAAR' THEN CASE WHEN verhoeff_ok THEN 'VERIFIED' WHEN ad IS NOT NULL THEN 'SUSPICIOUS' ELSE 'INVALID' END END AS aadhaar_status,
+validated AS MATERIALIZED (SELECT *, CASE WHEN route = 'AADHAAR' THEN CASE WHEN verhoeff_ok THEN 'VERIFIED' WHEN ad IS NOT NULL THEN 'SUSPICIOUS' ELSE 'INVALID' END END AS aadhaar_status,
   CASE WHEN route = 'PAN' THEN CASE WHEN pan_number IS NOT NULL THEN 'VERIFIED' ELSE 'INVALID' END END AS pan_status,
   'XXXX-XXXX-' || right(ad, 4) AS masked_aadhaar,
   CAST(name IS NOT NULL AS INT) + CAST(dob IS NOT NULL AS INT) + CAST(doc_number IS NOT NULL AS INT) + CAST(expiry_date IS NOT NULL AS INT) + CAST(address IS NOT NULL AS INT) + CAST(gender IS NOT NULL AS INT) AS detected_field_count FROM v)"""
