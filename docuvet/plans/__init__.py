@@ -1 +1,5 @@
-"""Registered queries by topic; importing the package fills the registry."""
+"""Registered queries by topic."""
+
+TOPICS = (
+    "risk_queries", "document_queries", "mrz_queries", "image_queries", "liveness_queries",
+)

@@ -12,6 +12,9 @@ BASE_TABLES = (
     "pages", "benchmark", "labels", "conversations",
 )
 
+# Frames of the test data lie minutes apart, so their time chunks are days.
+CHUNK_DAY = 86400
+
 _KEYS = """
   SELECT c_custkey AS k, c_mktsegment AS seg, c_custkey % 8 AS kind, c_custkey % 24 AS third,
     CAST(234567890124 + c_custkey AS STRING) AS n,
@@ -153,7 +156,7 @@ FROM {lineitem}""",
     "frames": """
 SELECT user_id AS session_id, CAST(ts AS timestamp) AS ts, event_id,
   CASE event_type WHEN 'click' THEN 'TURN_LEFT' WHEN 'purchase' THEN 'TURN_RIGHT' ELSE 'BLINK_TWICE' END AS challenge,
-  CAST(CASE WHEN event_type = 'error' AND event_id % 4 = 0 THEN 0 WHEN event_id % 50 = 0 THEN 2 ELSE 1 END AS INT) AS face_count,
+  CAST(CASE WHEN event_type = 'error' AND event_id % 16 = 0 THEN 0 WHEN event_id % 50 = 0 THEN 2 ELSE 1 END AS INT) AS face_count,
   CAST(5 + event_id * 7 % 36 AS decimal(9,2)) * 0.01 AS ear_l, CAST(5 + event_id * 11 % 36 AS decimal(9,2)) * 0.01 AS ear_r,
   CAST(event_id * 5 % 61 - 30 AS decimal(9,1)) AS yaw
 FROM {events}""",
