@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docuvet import fixed
+from docuvet.functions.stages import let
 
 
 def _dihedral(a: int, b: int) -> int:
@@ -92,12 +93,13 @@ def icao_check_digit(s: Column, length: int | None = None) -> Column:
         return total % 10
     blocks = F.ceil(F.length(values) / 3).cast("int")
     padded = F.rpad(values, blocks * 3, F.lit("0"))
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(blocks, F.lit(1))),
-        F.lit(0),
-        lambda acc, i: acc + F.coalesce(_block_weight(F.substring(padded, i * 3 - 2, F.lit(3))), F.lit(0)),
-    )
-    return total % 10
+
+    def total_of(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1)), F.lit(3))
+        block = lambda i: F.coalesce(_block_weight(F.substring(v, i, F.lit(3))), F.lit(0))
+        return F.aggregate(starts, F.lit(0), lambda acc, i: acc + block(i))
+
+    return let(padded, total_of) % 10
 
 
 def _block_weight(block: Column) -> Column:

@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from docuvet import fixed
 from docuvet.functions.checksums import digits_only
-
-
-def let(value: Column, body) -> Column:
-    """Bind a value that ``body`` uses many times, so that it is computed once per row."""
-    return F.get(F.transform(F.array(value), body), 0)
+from docuvet.functions.stages import let
 
 
 def non_empty(s: Column) -> Column:
@@ -50,58 +46,62 @@ def first_match(s: Column, patterns) -> Column:
     return F.coalesce(*[match(s, p) for p in patterns])
 
 
-def _iso(year: Column, month: Column, day: Column) -> Column:
-    return F.concat(
-        year, F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0")
+def _checked(year: Column, month: Column, day: Column) -> Column:
+    """ISO text of a date whose parts lie in their ranges; months are not matched with days."""
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    return F.when(
+        day.between(1, 31) & month.between(1, 12) & year.between(fixed.MIN_YEAR, fixed.MAX_YEAR),
+        F.concat(year.cast("string"), F.lit("-"), two(month), F.lit("-"), two(day)),
     )
 
 
-def _plausible(year: Column, month: Column, day: Column) -> Column:
-    return (
-        day.between(1, 31) & month.between(1, 12)
-        & year.try_cast("int").between(fixed.MIN_YEAR, fixed.MAX_YEAR)
-    )
-
+def _dated(d: Column, pattern: str, year: int, month: int, day: int) -> Column:
+    """Search once; the parts are then read from the short match."""
 
-def _dated(s: Column, pattern: str, year: int, month: int, day: int) -> Column:
-    y = match(s, pattern, year)
-    m, d = match(s, pattern, month).try_cast("int"), match(s, pattern, day).try_cast("int")
-    return F.when(_plausible(y, m, d), _iso(y, m, d))
+    def parts(found: Column) -> Column:
+        part = lambda group: F.regexp_extract(found, pattern, group)
+        if pattern == fixed.DATE_D_MON_Y:
+            months = F.array(*[F.lit(m) for m in fixed.MONTHS])
+            number = F.array_position(months, F.substring(part(month), 1, 3)).cast("int")
+        else:
+            number = part(month).try_cast("int")
+        return F.struct(part(year).try_cast("int").alias("y"), number.alias("m"), part(day).try_cast("int").alias("d"))
 
+    return let(
+        F.regexp_extract(d, pattern, 0),
+        lambda found: F.when(found != "", let(parts(found), lambda p: _checked(p["y"], p["m"], p["d"]))),
+    )
 
-def _month_named(s: Column) -> Column:
-    p = fixed.DATE_D_MON_Y
-    name = F.substring(F.regexp_extract(s, p, 2), 1, 3)
-    month = F.array_position(F.array(*[F.lit(m) for m in fixed.MONTHS]), name).cast("int")
-    year, day = match(s, p, 3), match(s, p, 1).try_cast("int")
-    return F.when(_plausible(year, month, day), _iso(year, month, day))
 
+def parse_date(s: Column) -> Column:
+    """ISO form and precision (DAY, YEAR or NONE) of a printed date.
 
-def _exact_date(d: Column) -> Column:
-    return F.coalesce(
-        _dated(d, fixed.DATE_DMY, 3, 2, 1), _dated(d, fixed.DATE_YMD, 1, 2, 3), _month_named(d)
-    )
+    Tries D/M/Y, Y/M/D, D Mon Y and a bare year; any other text is kept as it is.
+    """
 
+    def build(d: Column) -> Column:
+        exact = F.coalesce(
+            _dated(d, fixed.DATE_DMY, 3, 2, 1), _dated(d, fixed.DATE_YMD, 1, 2, 3), _dated(d, fixed.DATE_D_MON_Y, 3, 2, 1)
+        )
+        year = F.regexp_extract(d, fixed.DATE_YEAR, 1).try_cast("int")
+        year = F.when(year.between(fixed.MIN_YEAR, fixed.MAX_YEAR), F.concat(year.cast("string"), F.lit("-01-01")))
+        return let(
+            F.struct(exact.alias("day"), year.alias("year"), (d != "").alias("other")),
+            lambda found: F.struct(
+                F.coalesce(found["day"], found["year"]).alias("iso"),
+                F.when(found["day"].isNotNull(), "DAY").when(found["year"].isNotNull(), "YEAR").when(found["other"], "NONE").alias("precision"),
+            ),
+        )
 
-def _year_only(s: Column) -> Column:
-    year = match(s, fixed.DATE_YEAR)
-    return F.when(year.try_cast("int").between(fixed.MIN_YEAR, fixed.MAX_YEAR), F.concat(year, F.lit("-01-01")))
+    return let(F.upper(strip(s)), build)
 
 
 def normalize_date(s: Column) -> Column:
-    """ISO date from D/M/Y, Y/M/D, D Mon Y or a bare year; any other text is kept."""
-    found = let(F.upper(strip(s)), lambda d: F.coalesce(_exact_date(d), _year_only(d)))
-    return F.coalesce(found, non_empty(s))
+    return F.coalesce(parse_date(s)["iso"], non_empty(s))
 
 
 def date_precision(s: Column) -> Column:
-    """DAY or YEAR for a recognised date, NONE for text that was kept."""
-    return let(
-        F.upper(strip(s)),
-        lambda d: F.when(_exact_date(d).isNotNull(), "DAY")
-        .when(_year_only(d).isNotNull(), "YEAR")
-        .when(non_empty(d).isNotNull(), "NONE"),
-    )
+    return parse_date(s)["precision"]
 
 
 def mask_doc_number(s: Column) -> Column:

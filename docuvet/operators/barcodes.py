@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docuvet import fixed
 from docuvet.functions.checksums import digits_only
-from docuvet.functions.stages import compute_once
+from docuvet.functions.stages import compute_once, let
 from docuvet.functions.text import contains_any, first_non_empty, match, non_empty, payload_summary, strip
 
 COMPARISON_TYPE = (
@@ -17,33 +17,39 @@ def has_qr_marker(payload: Column) -> Column:
     return contains_any(payload, fixed.QR_MARKERS)
 
 
-def _last_wins(keys: Column, values: Column) -> Column:
-    """Map of lower-cased keys; of repeated keys the last value counts."""
-    lowered = F.transform(keys, F.lower)
-    pairs = F.arrays_zip(lowered.alias("k"), values.alias("v"))
-    distinct = F.array_distinct(lowered)
-    chosen = F.transform(distinct, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])
-    return F.map_from_arrays(distinct, chosen)
+def _last_wins(pairs: Column) -> Column:
+    """Map of lower-cased keys from an array of (k, v); of repeated keys the last value counts."""
+
+    def build(ps: Column) -> Column:
+        distinct = F.array_distinct(F.transform(ps, lambda p: p["k"]))
+        chosen = F.transform(distinct, lambda k: F.element_at(F.filter(ps, lambda p: p["k"] == k), -1)["v"])
+        return F.map_from_arrays(distinct, chosen)
+
+    return let(pairs, build)
+
+
+def _pairs(text: Column, pattern: str, value) -> Column:
+    """Key and value of every match; the text is searched once and only the matches are cut."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), 0)
+    return F.transform(
+        whole,
+        lambda m: F.struct(F.lower(F.regexp_extract(m, pattern, 1)).alias("k"), value(F.regexp_extract(m, pattern, 2)).alias("v")),
+    )
 
 
 def quoted_attributes(payload: Column) -> Column:
     """All key="value" pairs of a text."""
-    return _last_wins(
-        F.regexp_extract_all(payload, F.lit(fixed.QR_ATTRIBUTE), 1), F.regexp_extract_all(payload, F.lit(fixed.QR_ATTRIBUTE), 2)
-    )
+    return _last_wins(_pairs(payload, fixed.QR_ATTRIBUTE, lambda v: v))
 
 
 def _element_attributes(payload: Column) -> Column:
-    inside = F.regexp_extract(payload, fixed.XML_ELEMENT, 2)
-
     def unescape(value: Column) -> Column:
         plain = F.substring(value, F.lit(2), F.length(value) - 2)
         for entity, char in fixed.XML_ENTITIES:
             plain = F.replace(plain, F.lit(entity), F.lit(char))
         return plain
 
-    values = F.regexp_extract_all(inside, F.lit(fixed.XML_ATTRIBUTE), 2)
-    return _last_wins(F.regexp_extract_all(inside, F.lit(fixed.XML_ATTRIBUTE), 1), F.transform(values, unescape))
+    return _last_wins(_pairs(F.regexp_extract(payload, fixed.XML_ELEMENT, 2), fixed.XML_ATTRIBUTE, unescape))
 
 
 def qr_attributes(payload: Column) -> Column:

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docuvet import fixed
-from docuvet.functions.stages import compute_once
+from docuvet.functions.stages import compute_once, let
 from docuvet.functions.text import (
-    contains_any, date_precision, let, mask_doc_number, non_empty, normalize_date, normalize_text, stop_word_line, strip,
+    contains_any, mask_doc_number, non_empty, normalize_date, normalize_text, parse_date, stop_word_line, strip,
 )
 
 FIELDS = ("document_type", "name", "dob", "doc_number", "expiry_date", "issue_date", "address", "gender",
@@ -173,13 +173,18 @@ def extract_fields(docs: DataFrame, compat: bool = False, older_numbers: bool =
     df = df.withColumns(
         {
             "document_type": _type_from_number(older_numbers),
-            "dob": normalize_date(F.col("dob_raw")),
-            "dob_precision": date_precision(F.col("dob_raw")),
+            "dob_parsed": parse_date(F.col("dob_raw")),
             "expiry_date": normalize_date(F.col("expiry_raw")),
             "issue_date": normalize_date(F.col("issue_raw")),
         }
     )
     df = df.withColumns({"name": extract_name(compat), "address": _address(compat)})
+    df = df.withColumns(
+        {
+            "dob": F.coalesce("dob_parsed.iso", non_empty(F.col("dob_raw"))),
+            "dob_precision": F.col("dob_parsed.precision"),
+        }
+    )
     df = df.withColumns(
         {
             "gender": _gender(),

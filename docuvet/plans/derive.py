@@ -7,6 +7,8 @@ Nothing is filtered: each input is as large as the table behind it.
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docuvet.sources.tables import read_table
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -215,7 +217,7 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
