@@ -210,6 +210,24 @@ FROM {documents} JOIN {labels} USING (doc_id)""",
 }
 
 
+# Capture metrics, face and liveness results per customer document, for whole-screening queries.
+_MODULE_RESULTS = ("document_type", "ocr_confidence", "has_ocr_warning", "is_readable", "verhoeff_ok", "pan_number", "mrz_status",
+                   "barcode_status")
+SQL["document_metrics"] = SQL["image_metrics"].replace("{lineitem}", "{customer}").replace("l_orderkey * 8 + l_linenumber AS image_id", "c_custkey AS doc_id").replace(
+    "l_orderkey", "c_custkey").replace("l_linenumber", "(c_custkey % 7)").replace("l_partkey AS part_id", "c_custkey AS part_id")
+SQL["case_faces"] = """
+SELECT c_custkey AS case_id, CASE WHEN c_custkey % 4 = 0 THEN 'FAILED' ELSE 'PASSED' END AS face_status, CAST(100 - c_custkey % 45 AS decimal(9,1)) AS similarity
+FROM {customer}"""
+SQL["case_liveness"] = """
+SELECT c_custkey AS case_id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_custkey % 7 <> 0 END AS liveness_passed FROM {customer}"""
+# Fraud labels and analyst overrides per case.
+SQL["case_truth"] = "SELECT o_orderkey AS case_id, o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 37 = 0 AS is_fraud FROM {orders}"
+SQL["overrides"] = """
+SELECT o_orderkey AS case_id, l_linenumber AS override_id, l_shipdate AS acted_at, 'analyst' || CAST(l_suppkey % 7 AS STRING) AS analyst,
+  CASE l_partkey % 3 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'HIGH RISK' ELSE 'SUSPICIOUS' END AS action, l_partkey AS partkey, l_suppkey AS suppkey
+FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey"""
+
+
 class Inputs:
     """Given and derived tables of one data folder."""
 
