@@ -52,7 +52,7 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
     """Users from JSON objects keyed by e-mail address, one row per user."""
     layout = f"map<string,struct<{USER_SCHEMA.replace(' string', ':string')}>>"
     return (
-        spark.read.option("wholetext", True).text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.explode(F.from_json("value", layout)).alias("key", "user"))
         .select("user.*")
     )
