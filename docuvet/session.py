@@ -1,6 +1,4 @@
-"""Session settings and the shared folder for checkpoints."""
-
-import tempfile
+"""Session settings."""
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +12,8 @@ SETTINGS = {
     # Methods beyond 8000 bytes of bytecode are never compiled by the JVM; let such stages fall
     # back to one generated class per operator, whose methods are split.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Recording the call site of every column expression makes long chains slow to build.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -27,14 +27,3 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
     spark = builder.config("spark.sql.shuffle.partitions", str(partitions)).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the cluster; a temporary one only in local mode."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="docuvet-checkpoint-")
-    return path
