@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docuvet import fixed
 from docuvet.operators import blink_table as bt
-from docuvet.operators.ordered import time_chunk, with_previous, with_running
+from docuvet.operators.ordered import time_chunk, with_carried
 from docuvet.params import LivenessParams, TimedLivenessParams
 
 KEY, ORDER = "session_id", ["ts", "event_id"]
@@ -32,9 +32,8 @@ def smoothed_ear(frames: DataFrame, chunk_seconds: int, count: int = 2) -> DataF
     ).withColumn("ear", (F.col("ear_r") + F.col("ear_l")) / 2.0)
     names = ["ear"]
     for i in range(1, count):
-        single = with_previous(single, KEY, ORDER, {f"ear_{i}": names[-1]})
+        single = with_carried(single, KEY, ORDER, {f"ear_{i}": names[-1]})
         names.append(f"ear_{i}")
-    total, n = F.col("ear"), F.lit(1)
     # Oldest first, as the mean of a short history is summed.
     total = sum((F.coalesce(c, F.lit(0.0)) for c in reversed(names)), F.lit(0.0))
     n = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
@@ -44,18 +43,17 @@ def smoothed_ear(frames: DataFrame, chunk_seconds: int, count: int = 2) -> DataF
 def face_runs(frames: DataFrame, chunk_seconds: int) -> DataFrame:
     """Number the uninterrupted stretches of a session: each frame without a face starts a new one."""
     chunked = frames.withColumn("chunk", time_chunk(F.col("ts"), chunk_seconds))
-    return with_running(chunked, KEY, ORDER, {"face_run": F.col("face_count") == 0})
+    return with_carried(chunked, KEY, ORDER, {}, {"face_run": F.col("face_count") == 0})
 
 
-def baselines(runs: DataFrame, smoothed: DataFrame, params: LivenessParams = LivenessParams()) -> DataFrame:
+def baselines(rows: DataFrame, params: LivenessParams = LivenessParams()) -> DataFrame:
     """Open-eye baseline per session and the frame that completed its calibration.
 
     The samples are the first frames of a stretch; the first stretch long enough counts.
     """
     n = params.calibration_frames
     w = Window.partitionBy(KEY, "face_run").orderBy(*ORDER)
-    single = runs.filter(F.col("face_count") == 1).select(KEY, "event_id", "face_run")
-    samples = smoothed.select(KEY, "event_id", "ts", "smoothed").join(single, [KEY, "event_id"])
+    samples = rows.filter(F.col("face_count") == 1).select(KEY, *ORDER, "face_run", "smoothed")
     first = samples.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= n)
     per_run = first.groupBy(KEY, "face_run").agg(
         F.count("*").alias("_n"), F.sort_array(F.collect_list("smoothed")).alias("_s"),
@@ -88,12 +86,18 @@ def blink_bits(base: Column, smoothed: Column, params) -> dict[str, Column]:
 
 def frame_symbols(frames: DataFrame, chunk_seconds: int, params: LivenessParams = LivenessParams()) -> DataFrame:
     """One small number per frame and challenge machine."""
-    runs = face_runs(frames, chunk_seconds)
-    switched = with_previous(runs, KEY, ORDER, {"previous": "challenge"})
-    smoothed = smoothed_ear(frames, chunk_seconds, params.smooth_frames)
-    rows = switched.drop("ear_l", "ear_r", "yaw").join(
-        smoothed.select(KEY, "event_id", "ear_l", "ear_r", "ear", "smoothed", "yaw"), [KEY, "event_id"], "left"
-    ).join(baselines(runs, smoothed, params), KEY, "left")
+    number = lambda c: F.col(c).cast("double")
+    timed = frames.withColumns(
+        {"chunk": time_chunk(F.col("ts"), chunk_seconds), "ear_l": number("ear_l"), "ear_r": number("ear_r"), "yaw": number("yaw")}
+    ).withColumn("ear", F.when(F.col("face_count") == 1, (F.col("ear_r") + F.col("ear_l")) / 2.0))
+    # The mean of the last two frames needs one earlier value, carried together with the rest.
+    rows = with_carried(
+        timed, KEY, ORDER, {"previous": "challenge", "ear_before": "ear"}, {"face_run": F.col("face_count") == 0}
+    ).withColumn("smoothed", F.coalesce((F.col("ear_before") + F.col("ear")) / 2.0, F.col("ear")))
+    if params.smooth_frames != 2:
+        longer = smoothed_ear(frames, chunk_seconds, params.smooth_frames).select(KEY, "event_id", "smoothed")
+        rows = rows.drop("smoothed").join(longer, [KEY, "event_id"], "left")
+    rows = rows.join(baselines(rows, params), KEY, "left")
     active = F.coalesce(
         (F.col("face_count") == 1) & (F.struct(*ORDER) >= F.col("calibrated_at")), F.lit(False)
     )
@@ -178,9 +182,9 @@ def turn_holds(frames: DataFrame, chunk_seconds: int, params: TimedLivenessParam
     """Stretches in which the head stays turned to one side, with their duration and whether it suffices."""
     chunked = frames.filter(F.col("face_count") == 1).withColumn("chunk", time_chunk(F.col("ts"), chunk_seconds))
     side = F.when(F.col("yaw") >= params.turn_yaw, "LEFT").when(F.col("yaw") <= -params.turn_yaw, "RIGHT").otherwise("NONE")
-    sided = with_previous(chunked.withColumn("side", side), KEY, ORDER, {"previous_side": "side"})
+    sided = with_carried(chunked.withColumn("side", side), KEY, ORDER, {"previous_side": "side"})
     starts = F.col("side") != F.coalesce("previous_side", F.lit(""))
-    islands = with_running(sided, KEY, ORDER, {"island": starts})
+    islands = with_carried(sided, KEY, ORDER, {}, {"island": starts})
     held = (F.unix_millis(F.max("ts")) - F.unix_millis(F.min("ts"))).alias("held_ms")
     stretches = islands.filter(F.col("side") != "NONE").groupBy(KEY, "island", "side").agg(F.count("*").alias("frames"), held)
     return stretches.withColumn("passed", F.col("held_ms") >= params.turn_hold_ms)

@@ -13,30 +13,33 @@ def time_chunk(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_timestamp(ts) / F.lit(seconds)).cast("long")
 
 
-def with_previous(df: DataFrame, key: str, order: list[str], columns: dict[str, str]) -> DataFrame:
-    """Value of each column in the previous row of its key; needs a ``chunk`` column."""
+def with_carried(
+    df: DataFrame, key: str, order: list[str], latest: dict[str, str], running: dict[str, Column] | None = None
+) -> DataFrame:
+    """Latest known earlier value of columns, and running sums up to the row; needs a ``chunk`` column.
+
+    ``latest`` maps new names to columns, whose NULLs are skipped; ``running`` maps names to
+    flags or counts. One pass serves all of them.
+    """
+    running = running or {}
     inside = Window.partitionBy(key, "chunk").orderBy(*order)
-    along = Window.partitionBy(key).orderBy("chunk")
-    last = df.groupBy(key, "chunk").agg(F.max_by(F.struct(*columns.values()), F.struct(*order)).alias("_last"))
-    carried = last.select(key, "chunk", F.lag("_last").over(along).alias("_carried"))
-    rows = df.withColumns(
-        {"_first": F.row_number().over(inside) == 1}
-        | {f"_{new}": F.lag(old).over(inside) for new, old in columns.items()}
-    )
-    joined = rows.join(carried, [key, "chunk"], "left")
-    picked = {
-        new: F.when(F.col("_first"), F.col("_carried")[old]).otherwise(F.col(f"_{new}")) for new, old in columns.items()
-    }
-    return joined.withColumns(picked).drop("_first", "_carried", *[f"_{new}" for new in columns])
-
-
-def with_running(df: DataFrame, key: str, order: list[str], counters: dict[str, Column]) -> DataFrame:
-    """Running sum of each counter up to and including the row; needs a ``chunk`` column."""
-    inside = Window.partitionBy(key, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumns({f"_{n}": c.cast("long") for n, c in counters.items()})
-    sums = rows.groupBy(key, "chunk").agg(*[F.sum(f"_{n}").alias(f"_{n}_sum") for n in counters])
-    offsets = sums.select(key, "chunk", *[F.sum(f"_{n}_sum").over(earlier).alias(f"_{n}_before") for n in counters])
-    running = rows.withColumns({n: F.sum(f"_{n}").over(inside) for n in counters}).join(offsets, [key, "chunk"], "left")
-    total = {n: F.col(n) + F.coalesce(f"_{n}_before", F.lit(0)) for n in counters}
-    return running.withColumns(total).drop(*[f"_{n}" for n in counters], *[f"_{n}_before" for n in counters])
+    rows = df.withColumns({f"_add_{n}": c.cast("long") for n, c in running.items()})
+    position = F.struct(*order)
+    ends = [F.max_by(old, F.when(F.col(old).isNotNull(), position)).alias(f"_end_{new}") for new, old in latest.items()]
+    sums = [F.sum(f"_add_{n}").alias(f"_sum_{n}") for n in running]
+    carried = rows.groupBy(key, "chunk").agg(*ends, *sums).select(
+        key, "chunk",
+        *[F.last(f"_end_{new}", ignorenulls=True).over(earlier).alias(f"_from_{new}") for new in latest],
+        *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_from_{n}") for n in running],
+    )
+    seen = rows.withColumns(
+        {new: F.last(old, ignorenulls=True).over(before) for new, old in latest.items()}
+        | {n: F.sum(f"_add_{n}").over(upto) for n in running}
+    )
+    joined = seen.join(carried, [key, "chunk"], "left").withColumns(
+        {new: F.coalesce(new, f"_from_{new}") for new in latest} | {n: F.col(n) + F.col(f"_from_{n}") for n in running}
+    )
+    return joined.drop(*[f"_from_{n}" for n in (*latest, *running)], *[f"_add_{n}" for n in running])
