@@ -117,9 +117,9 @@ def _row(field, ocr, code, is_match, severity, where):
 _letters = lambda c: f"regexp_replace(upper({c}), '[^A-Z]', '', 'g')"
 _clean = lambda c: f"regexp_replace(upper({c}), '[^A-Z0-9]', '', 'g')"
 _C, _N = fixed.COMPARED, fixed.MATCH_NOTES
-_PARTS_OF_NAME = f"list_filter(string_split_regex(name, {re2('[' + fixed.WS + ',]+')}), lambda p: length(p) > 2)"
-_HITS = f"len(list_filter({_PARTS_OF_NAME}, lambda p: contains(upper(payload), upper(p))))"
-_NAME_IN = f"({_HITS} >= greatest(1, len({_PARTS_OF_NAME}) - 1) AND len({_PARTS_OF_NAME}) > 0)"
+_NAME_PARTS = f"list_filter(string_split_regex(name, {re2('[' + fixed.WS + ',]+')}), lambda p: length(p) > 2)"
+_HITS = f"len(list_filter({_NAME_PARTS}, lambda p: contains(upper(payload), upper(p))))"
+_NAME_IN = f"({_HITS} >= greatest(1, len({_NAME_PARTS}) - 1) AND len({_NAME_PARTS}) > 0)"
 _ID, _NM = rx("payload", fixed.PAYLOAD_ID), rx("payload", fixed.PAYLOAD_NAME)
 _COMPARED = f"""{validated_sql('<id_docs>')},
 b AS MATERIALIZED (SELECT v.doc_id, name, gender, dob, address, doc_number, p.* EXCLUDE (doc_id), contains(payload, 'uid=') AS is_qr,
@@ -133,7 +133,7 @@ UNION ALL {_row(_C['pin'], 'address', 'q_pin', 'contains(address, q_pin)', 'LOW'
 UNION ALL {_row(_C['id'], 'doc_number', f"CASE WHEN contains({_clean('payload')}, {_clean('doc_number')}) THEN '{_N['id']}' ELSE {_ID} END", f"contains({_clean('payload')}, {_clean('doc_number')})", 'HIGH',
        f"NOT is_qr AND length({_clean('doc_number')}) >= 5 AND (contains({_clean('payload')}, {_clean('doc_number')}) OR upper({_ID}) <> {_clean('doc_number')})")}
 UNION ALL {_row(_C['name'], 'name', f"CASE WHEN {_NAME_IN} THEN '{_N['name']}' ELSE {strip_sql(_NM)} END", _NAME_IN, 'HIGH',
-       f"NOT is_qr AND name IS NOT NULL AND ({_NAME_IN} OR (len({_PARTS_OF_NAME}) >= 2 AND {_NM} IS NOT NULL))")}
+       f"NOT is_qr AND name IS NOT NULL AND ({_NAME_IN} OR (len({_NAME_PARTS}) >= 2 AND {_NM} IS NOT NULL))")}
 UNION ALL {_row(_C['birth'], 'dob', f"'{_N['birth']}'", 'true', 'LOW', f"NOT is_qr AND length({digits_sql('dob')}) >= 6 AND contains({digits_sql('payload')}, {digits_sql('dob')})")})"""
 
 

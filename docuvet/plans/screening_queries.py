@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from docuvet.operators import dossier, evaluation, mrz, risk, screening, validation
 from docuvet.operators.quality import exact_percentiles
 from docuvet.plans.derive import _MODULE_RESULTS
-from docuvet.plans.document_queries import id_docs, ocr_lines, strip_sql
+from docuvet.plans.document_queries import SPACES, id_docs, ocr_lines, strip_sql
 from docuvet.plans.image_queries import _REASONS, VERDICT, judged
-from docuvet.plans.mrz_queries import _COMPARED, compared, mrz_docs
+from docuvet.plans.mrz_queries import _COMPARED, _PARTS, compared, mrz_docs
 from docuvet.plans.registry import query
 from docuvet.plans.risk_queries import RISK
 
@@ -37,7 +37,7 @@ _CASE_RISK = (
 )
 
 
-@query("screening", f"""{_COMPARED},
+_SCREEN = f"""{_COMPARED},
 raw AS (SELECT doc_id, unnest(string_split(raw_text, chr(10))) AS text, generate_subscripts(string_split(raw_text, chr(10)), 1) - 1 AS line_no FROM <id_docs>),
 st AS (SELECT doc_id, count(*) AS n, sum(30 + (doc_id * 7 + line_no * 11) % 70) AS s FROM raw WHERE {strip_sql('text')} <> '' GROUP BY 1),
 q AS (SELECT v.doc_id, coalesce(n, 0) AS n, CAST(coalesce(floor(CAST(20 * s + n AS DOUBLE) / (2 * n)) / 10, 0) AS decimal(9,1)) AS conf, detected_field_count AS found FROM validated v LEFT JOIN st USING (doc_id)),
@@ -47,7 +47,10 @@ jm AS MATERIALIZED (SELECT v.doc_id AS image_id, {_METRICS}, v.document_type, v.
   FROM validated v JOIN b USING (doc_id) JOIN q USING (doc_id) LEFT JOIN m USING (doc_id) JOIN (SELECT doc_id, {_METRICS} FROM <document_metrics>) USING (doc_id)),
 verd AS MATERIALIZED (SELECT *, array_to_string({_CASE_REASONS}, ' | ') AS reasons FROM {VERDICT.replace('<image_metrics>', 'jm')}),
 sig AS MATERIALIZED (SELECT image_id AS case_id, CAST(tampering_score AS decimal(9,1)) AS tampering_score, CAST(document_score AS decimal(9,1)) AS composite_risk_score, verhoeff_ok, mrz_status, barcode_status, is_readable,
-  recapture, face_status, similarity, liveness_passed FROM verd JOIN <case_faces> f ON image_id = f.case_id JOIN <case_liveness> l ON image_id = l.case_id)
+  recapture, face_status, similarity, liveness_passed FROM verd JOIN <case_faces> f ON image_id = f.case_id JOIN <case_liveness> l ON image_id = l.case_id)"""
+
+
+@query("screening", f"""{_SCREEN}
 SELECT r.case_id, d.document_type, d.doc_number, d.name, d.barcode_status, d.gate_status, d.document_decision, r.risk_level, CAST(r.risk_score AS DOUBLE) AS risk_score, r.final_decision, r.recommended_action, d.reasons
 FROM {_CASE_RISK} r JOIN verd d ON r.case_id = d.image_id""")
 def screen(t):
@@ -56,7 +59,15 @@ def screen(t):
         F.col("risk_score").cast("double").alias("risk_score"), "final_decision", "recommended_action", F.array_join("reasons", " | ").alias("reasons"))
 
 
-@query("dossiers")
+_PLAIN_NUMBER = f"regexp_replace(doc_number, {SPACES}, '', 'g')"
+
+
+@query("dossiers", f"""{_SCREEN}
+SELECT CAST(r.case_id AS VARCHAR) AS case_id, r.final_decision, CASE WHEN r.risk_level = 'HIGH' THEN 'REJECT / ESCALATE TO CYBER CELL' ELSE 'MANUAL REVIEW REQUIRED' END AS recommended_action,
+  CASE WHEN doc_number IS NULL THEN 'N/A' WHEN regexp_full_match({_PLAIN_NUMBER}, '\\p{{Nd}}{{12}}') THEN 'XXXX-XXXX-' || right({_PLAIN_NUMBER}, 4)
+    WHEN length({_PLAIN_NUMBER}) > 6 THEN substr({_PLAIN_NUMBER}, 1, 2) || '***' || right({_PLAIN_NUMBER}, 4) ELSE doc_number END AS doc_number_masked,
+  CAST(len(d.fails) AS INT) AS anomaly_zones_detected, CASE WHEN regexp_matches(d.filename, '(?i)\\.jpe?g$') THEN 'image/jpeg' ELSE 'image/png' END AS mime_type, d.barcode_status <> 'NOT_FOUND' AS detected
+FROM {_CASE_RISK} r JOIN verd d ON r.case_id = d.image_id""")
 def dossiers(t):
     cases = screened(t).withColumns({
         "generated_timestamp": F.lit("2026-01-01T00:00:00"), "size_bytes": F.length("raw_text").cast("long"),
@@ -184,11 +195,27 @@ def cross_field(t):
     return merged_sources(t).select("doc_id", F.array_join(findings, ",").alias("findings"))
 
 
-@query("evidence_long")
+_LONG = "\nUNION ALL ".join(
+    f"SELECT doc_id, '{field}' AS field_name, '{source}' AS source, {value} AS value FROM {table} AND {value} IS NOT NULL"
+    for source, table, values in (
+        ("OCR", "validated WHERE true", {"name": "name", "dob": "dob", "gender": "gender", "number": "doc_number"}),
+        ("QR", "b WHERE payload_valid AND is_qr", {
+            "name": "q_name", "dob": "q_yob || '-01-01'", "gender": "q_gender",
+            "number": "'XXXX-XXXX-' || right(regexp_extract(payload, 'uid=\"([^\"]*)\"', 1), 4)"}),
+        ("MRZ", "p2 WHERE NOT skipped", {
+            "name": "'APPLICANT'", "number": "num", "gender": "CASE sex WHEN 'M' THEN 'MALE' WHEN 'F' THEN 'FEMALE' ELSE 'UNSPECIFIED' END",
+            "dob": "CASE WHEN CAST(substr(dob, 1, 2) AS INT) > 30 THEN '19' ELSE '20' END || substr(dob, 1, 2) || '-' || substr(dob, 3, 2) || '-' || substr(dob, 5, 2)"}),
+    )
+    for field, value in values.items()
+)
+
+
+@query("evidence_long", f"{_COMPARED}, {_PARTS}\n{_LONG}")
 def evidence_long(t):
     return evaluation.evidence_long(merged_sources(t))
 
 
-@query("fields_by_source")
+@query("fields_by_source", f"""{_COMPARED}, {_PARTS}
+SELECT doc_id, field_name, min(value) FILTER (source = 'OCR') AS "OCR", min(value) FILTER (source = 'MRZ') AS "MRZ", min(value) FILTER (source = 'QR') AS "QR" FROM ({_LONG}) GROUP BY 1, 2""")
 def fields_by_source(t):
     return evaluation.fields_by_source(evaluation.evidence_long(merged_sources(t)))
