@@ -189,7 +189,28 @@ def merged_sources(t):
     return dossier.join_document(compared(t), zones)
 
 
-@query("cross_field")
+_ZONE_DOB = "CASE WHEN CAST(substr(p2.dob, 1, 2) AS INT) > 30 THEN '19' ELSE '20' END || substr(p2.dob, 1, 2) || '-' || substr(p2.dob, 3, 2) || '-' || substr(p2.dob, 5, 2)"
+_DATE = lambda c: f"TRY_CAST({c} AS DATE)"
+_CODES = ", ".join(f"CASE WHEN {hit} THEN '{code}' END" for code, hit in (
+    ("NAME_MRZ", "NOT skipped AND name IS NOT NULL AND levenshtein(n, given || 'APPLICANT') > 2 AND levenshtein(n, 'APPLICANT' || given) > 2 AND NOT contains(given || 'APPLICANT', n)"),
+    ("DOB_MRZ", "NOT skipped AND dob <> zone_dob"),
+    ("NUMBER_MRZ", "NOT skipped AND regexp_replace(upper(doc_number), '[^A-Z0-9]', '', 'g') <> num"),
+    ("GENDER_MRZ", "NOT skipped AND sex IN ('M', 'F') AND substr(gender, 1, 1) <> sex"),
+    ("BARCODE", "conflicts > 0"),
+    ("ISSUE_AFTER_EXPIRY", f"{_DATE('issue_date')} > {_DATE('expiry_date')}"),
+    ("ISSUED_BEFORE_BIRTH", f"{_DATE('issue_date')} < {_DATE('dob')}"),
+    ("EXPIRED", f"{_DATE('expiry_date')} < DATE '2026-01-01'"),
+    ("BIRTH_IN_FUTURE", f"{_DATE('dob')} > DATE '2026-01-01'"),
+    ("NUMBER_FORMAT", "CASE document_type WHEN 'NATIONAL_ID (AADHAAR)' THEN length(regexp_replace(doc_number, '[^0-9]', '', 'g')) <> 12 "
+                      "WHEN 'NATIONAL_ID (PAN)' THEN NOT regexp_full_match(doc_number, '[A-Z]{5}[0-9]{4}[A-Z]') END"),
+))
+
+
+@query("cross_field", f"""{_COMPARED}, {_PARTS},
+m AS (SELECT doc_id, count(*) FILTER (NOT is_match AND severity = 'HIGH') AS conflicts FROM cmp GROUP BY 1),
+j AS MATERIALIZED (SELECT v.doc_id, v.name, v.dob, v.gender, v.doc_number, issue_date, expiry_date, document_type, skipped, num, sex, {_ZONE_DOB} AS zone_dob, substr(holder, 12) AS given,
+  regexp_replace(upper(v.name), '[^A-Z]', '', 'g') AS n, CASE WHEN payload_valid THEN conflicts END AS conflicts FROM validated v JOIN p2 USING (doc_id) JOIN b USING (doc_id) LEFT JOIN m USING (doc_id))
+SELECT doc_id, array_to_string(list_filter([{_CODES}], lambda c: c IS NOT NULL), ',') AS findings FROM j""")
 def cross_field(t):
     findings = evaluation.cross_field_findings(F.lit("2026-01-01").cast("date"))
     return merged_sources(t).select("doc_id", F.array_join(findings, ",").alias("findings"))
