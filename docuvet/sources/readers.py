@@ -58,9 +58,12 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_dossiers(spark: SparkSession, path: str) -> DataFrame:
-    """Case dossiers of either generation; keys that a generation lacks are NULL."""
-    return spark.read.schema(DOSSIER_SCHEMA).option("multiLine", True).json(path)
+def read_dossiers(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Case dossiers of either generation, one per file or (``multiline=False``) one per line.
+
+    Keys that a generation lacks are NULL.
+    """
+    return spark.read.schema(DOSSIER_SCHEMA).option("multiLine", multiline).json(path)
 
 
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
