@@ -88,3 +88,11 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         total = mixed(total * np.uint64(BASE) + words[i : i + n])
     return np.unique(total)
+
+
+def portions(batch: pa.RecordBatch, column: int, limit: int = 1 << 21) -> list[pa.RecordBatch]:
+    """The batch in consecutive slices of about ``limit`` bytes of one text column; a longer text is a slice of its own."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64()))
+    group = np.cumsum(sizes) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
