@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docuvet.llm import bpe, packing, sharding
+from docuvet.llm import bpe, near_text, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,8 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_overlap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op8_setsketch_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.link_documents(_documents(spark, sf_dir))
