@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docuvet.llm import bpe, near_text, packing, sharding
+from docuvet.llm import bpe, near_text, packing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,16 @@ def op7_overlap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_setsketch_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.link_documents(_documents(spark, sf_dir))
+
+
+def _held_out(modulus: int, remainder: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
+
+
+@query
+def op1_bag_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~_held_out(5, 0)).select("doc_id", F.col("toxic").alias("abusive"))
+    scored = toxicity.score_documents(_documents(spark, sf_dir), labels)
+    return scored.select(
+        "doc_id", _held_out(5, 0).alias("held_out"), "score", F.col("abusive").alias("predicted"), "n_sentences", "offending"
+    )

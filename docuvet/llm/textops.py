@@ -65,7 +65,14 @@ def runs(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
     """64-bit hash of each run, from differences of one running sum; about a megabyte of text at a time."""
-    out = np.empty(len(starts), np.uint64)
+    return prefix_hashes(data, starts, ends, (), values)[0]
+
+
+def prefix_hashes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...], values: np.ndarray = BYTE_VALUES
+) -> list[np.ndarray]:
+    """Hashes of the runs, then for every length those of their first bytes; a run that is not longer has the hash 0."""
+    out = [np.zeros(len(starts), np.uint64) for _ in range(len(lengths) + 1)]
     at = 0
     while at < len(starts):
         stop = max(at + 1, int(np.searchsorted(ends, starts[at] + SPAN, "right")))
@@ -73,7 +80,13 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: n
         sums = np.zeros(high - low + 1, np.uint64)
         np.cumsum(values[data[low:high]] * _power(BASE, high - low), out=sums[1:])
         s, e = starts[at:stop] - low, ends[at:stop] - low
-        out[at:stop] = mixed((sums[e] - sums[s]) * _power(INVERSE, high - low)[s] + (e - s).astype(np.uint64))
+        back = _power(INVERSE, high - low)[s]
+        out[0][at:stop] = mixed((sums[e] - sums[s]) * back + (e - s).astype(np.uint64))
+        for n, length in enumerate(lengths):
+            longer = np.flatnonzero(e - s > length)
+            first = s[longer]
+            found = mixed((sums[first + length] - sums[first]) * back[longer] + np.uint64(length + 1000))
+            out[n + 1][at + longer] = found
         at = stop
     return out
 
