@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docuvet.llm import bpe, near_text, packing, sharding, toxicity
+from docuvet.llm import bpe, near_text, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,8 +17,8 @@ def query(f):
     return f
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("raw_text"))
+def _documents(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("raw_text"), *extra)
 
 
 @query
@@ -53,3 +53,10 @@ def op1_bag_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", _held_out(5, 0).alias("held_out"), "score", F.col("abusive").alias("predicted"), "n_sentences", "offending"
     )
+
+
+@query
+def op10_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~_held_out(4, 2)).select("doc_id", F.col("quality").alias("accepted"))
+    scored = quality.score_documents(_documents(spark, sf_dir, "n_chars"), labels, ("n_chars",))
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", F.col("accepted").alias("predicted"))
