@@ -6,7 +6,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docuvet.llm.graph import components
@@ -20,7 +20,8 @@ REGISTERS = BANDS * BAND_ROWS
 SPACING, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: A pair is compared on its whole sets unless its estimate lies this many standard errors below the threshold.
 MARGIN = 5.0
-STAR_ROUNDS = 2
+#: Members and bytes of text of a block; blocks of one group meet two at a time.
+BLOCK, BLOCK_BYTES = 256, 4_000_000
 
 _rng = np.random.default_rng(8)
 _FACTORS = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,9 +107,12 @@ def sketch_documents(documents: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _cut(threshold: float) -> float:
+    return threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+
+
 def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose estimated similarity does not speak clearly against the threshold."""
-    margin = MARGIN * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for all_rows in batches:
@@ -116,7 +120,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataF
                 rows = all_rows.iloc[at : at + 1000]
                 a, b = (np.frombuffer(b"".join(rows[c]), np.uint16).reshape(len(rows), -1) for c in ("r_a", "r_b"))
                 estimate = likely_similarity(a, b, rows["n_a"].to_numpy(float), rows["n_b"].to_numpy(float))
-                yield rows.loc[estimate >= threshold - margin, ["a", "b"]]
+                yield rows.loc[estimate >= _cut(threshold), ["a", "b"]]
 
     left = sketches.select(F.col("doc_id").alias("a"), F.col("registers").alias("r_a"), F.col("n_shingles").alias("n_a"))
     right = sketches.select(F.col("doc_id").alias("b"), F.col("registers").alias("r_b"), F.col("n_shingles").alias("n_b"))
@@ -124,12 +128,75 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataF
     return sized.mapInPandas(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets have at least ``per_cent`` hundredths of their union in common.
+def _spanning(ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A link of every id to a smaller one it reaches through ``near`` (symmetric): as many links as ids at most."""
+    label = np.arange(len(ids))
+    order = np.argsort(ids, kind="stable")
+    ids, near = ids[order], near[np.ix_(order, order)]
+    while True:
+        best = np.where(near, label[None, :], len(ids)).min(1, initial=len(ids))
+        new = np.minimum(label, best)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[far], ids[label[far]]
+
+
+def _blocked(members: DataFrame, key: str, weight: Column) -> DataFrame:
+    """Members of each ``key`` in blocks of bounded number and weight; each row once for every pair (low, high) of blocks it is in."""
+    sizes = members.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(weight) / BLOCK_BYTES)).cast("int").alias("_blocks"))
+    placed = members.join(sizes, key).withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+    pairs = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return pairs.withColumns({"low": F.least("_block", "_other"), "high": F.greatest("_block", "_other")}).drop("_other", "_blocks")
+
+
+def _alike(unassigned: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join all members of a bucket whose estimates do not speak against the threshold."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, n = table["doc_id"].to_numpy(), table["n_shingles"].to_numpy().astype(float)
+        rows = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        equal = np.zeros((len(ids), len(ids)), np.int16)
+        for i in range(rows.shape[1]):
+            equal += rows[:, i, None] == rows[None, :, i]
+        near = (equal >= (_cut(threshold) - 0.1) * REGISTERS) & (np.minimum(n[:, None], n) >= (threshold - 1e-9) * np.maximum(n[:, None], n))
+        x, y = np.nonzero(np.triu(near, 1))
+        for at in range(0, len(x), 1000):
+            i, j = x[at : at + 1000], y[at : at + 1000]
+            near[i, j] = near[j, i] = likely_similarity(rows[i], rows[j], n[i], n[j]) >= _cut(threshold)
+        a, b = _spanning(ids, near)
+        return pa.table({"a": a, "b": b})
+
+    members = unassigned.join(sketches.select("doc_id", "n_shingles", "registers"), "doc_id")
+    blocks = _blocked(members, "bucket", F.lit(0))
+    return blocks.select("bucket", "low", "high", "doc_id", "n_shingles", "registers").groupBy("bucket", "low", "high").applyInArrow(
+        run, "a long, b long"
+    )
 
-    Texts meet as rows: first those of the pairs' ids, then each pair's two; an id with very many pairs is a skewed key of an
-    equi-join, which Spark splits.
-    """
+
+def _common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, from products of membership matrices, so many columns at a time."""
+    n = len(sets)
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    shared = counts[inverse] > 1
+    owner, place = owner[shared], (np.cumsum(counts > 1) - 1)[inverse[shared]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((n, n), np.float32)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        low, high = np.searchsorted(place, [at, at + columns])
+        part = np.zeros((n, columns), np.float32)
+        part[owner[low:high], place[low:high] - at] = 1
+        out += part @ part.T
+    out[np.arange(n), np.arange(n)] = [len(s) for s in sets]
+    return out
+
+
+def _verified(texts: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """Links (a, b) of members of each group (``group_id``, ``doc_id``, ``raw_text``) to its ``center``, confirmed on whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
@@ -145,12 +212,23 @@ def _verified(pairs: DataFrame, documents: DataFrame, k: int, per_cent: int) ->
             kept = batch.filter(pa.array(found, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    ids = stored(pairs, "pairs")
-    ids = ids.select(F.col("b").alias("doc_id"), "a").union(ids.select(F.col("a").alias("doc_id"), "a")).distinct()
-    texts = stored(ids.join(documents.select("doc_id", "raw_text"), "doc_id"), "texts")
-    firsts = texts.filter("doc_id = a").select("a", F.col("raw_text").alias("text_a"))
-    members = texts.filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.col("raw_text").alias("text_b"))
-    return members.join(firsts, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    centers = texts.filter("doc_id = center").select("group_id", F.col("raw_text").alias("text_a"))
+    members = texts.filter("doc_id <> center").select("group_id", F.col("center").alias("a"), F.col("doc_id").alias("b"), F.col("raw_text").alias("text_b"))
+    return members.join(centers, "group_id").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def _compared(texts: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """Links that join all members of each group which whole sets connect; a block pair is one comparison of matrices."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = text_sets(table["raw_text"], k)
+        both, n = _common(sets), np.array([len(s) for s in sets], float)
+        near = 100 * both >= per_cent * (n[:, None] + n - both)
+        a, b = _spanning(table["doc_id"].to_numpy(), near)
+        return pa.table({"a": a, "b": b})
+
+    blocks = _blocked(texts, "group_id", F.octet_length("raw_text"))
+    return blocks.select("group_id", "low", "high", "doc_id", "raw_text").groupBy("group_id", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def link_documents(documents: DataFrame, k: int = 4, per_cent: int = 80) -> DataFrame:
@@ -161,76 +239,52 @@ def link_documents(documents: DataFrame, k: int = 4, per_cent: int = 80) -> Data
     doc_id, n_shingles, component_id (smallest doc_id reachable, itself included) and kept (doc_id = component_id).
 
     Equal sets become one class first, by a digest that sums hashes of all their elements. SetSketch registers of each class are
-    hashed in bands; in every bucket all classes are compared with the one that shares most buckets, then those that are still
-    apart with the next one, and finally all pairs of a bucket that still lie in different groups. Pairs pass an estimate by joint
-    likelihood and are confirmed on the full sets, so no group has wrong links, and groups of copies cost one comparison a member.
-
-    Null or empty text, or only white space: an empty set, linked with nothing. Repeated doc_ids count as one document each row's
-    set of which is linked; a null doc_id is linked with nothing and kept is null. Other columns are not used. No rows, no rows.
+    hashed in bands. In every bucket, classes are compared with the one that shares most buckets by an estimate of joint
+    likelihood, and those that it speaks against among themselves. What the estimates join are candidate groups; their texts
+    meet once. Each member is confirmed on full sets against its group's center, and groups that this leaves in parts are
+    compared whole, in blocks. So copies cost one comparison a member, no pairs are written, and every link is confirmed.
+
+    Null or empty text, or only white space: an empty set, linked with nothing. Rows of a repeated doc_id are one document with
+    several sets, linked if any of them is. A null doc_id is linked with nothing and its kept is null. Other columns are not used.
+    No rows in, none out.
     """
+    threshold = per_cent / 100
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("raw_text").cast("string").alias("raw_text"))
     sketched = stored(sketch_documents(documents, k), "sketches")
     sets = sketched.filter("set_key is not null and doc_id is not null")
     heads = sets.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("head"))
-    classes = stored(sets.join(heads, ["set_key", "n_shingles"]).select("doc_id", "head", "n_shingles", "registers", "bands"), "classes")
-    firsts = classes.filter("doc_id = head").dropDuplicates(["doc_id", "registers"])
+    classes = sets.select("doc_id", "set_key", "n_shingles").join(heads, ["set_key", "n_shingles"]).select("doc_id", "head", "set_key")
+    classes = stored(classes, "classes")
+    firsts = stored(
+        sets.join(classes.filter("doc_id = head").select("doc_id", "set_key").distinct(), ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"])
+        .select("doc_id", "n_shingles", "registers", "bands"), "firsts",
+    )
+    within = classes.filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+
     entries = firsts.select("doc_id", F.explode("bands").alias("bucket"))
     counts = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     entries = stored(entries.join(counts, "bucket"), "bands")
-    weight = entries.groupBy("doc_id").agg(F.sum("members").alias("weight"))
-    entries = stored(entries.join(weight, "doc_id").select("bucket", "doc_id", "weight"), "bands")
-    texts = stored(entries.select("doc_id").distinct().join(documents.filter("doc_id is not null"), "doc_id"), "texts")
-    within = classes.filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-
-    links, tried = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        if links is None:
-            apart = entries.withColumn("label", F.col("doc_id"))
-        else:
-            apart = _still_apart(entries, components(links))
-        if turn < STAR_ROUNDS:
-            pairs = _stars(apart, again=turn > 0)
-        else:
-            other = apart.select("bucket", F.col("doc_id").alias("b"), F.col("label").alias("label_b"))
-            pairs = apart.join(other, "bucket").filter("doc_id < b and label <> label_b").select(F.col("doc_id").alias("a"), "b")
-        pairs = pairs.distinct()
-        if tried is not None:
-            known = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        good = stored(_verified(_estimated(pairs, firsts, per_cent / 100), texts, k, per_cent), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        links = good if links is None else links.union(good)
-
-    every = within if links is None else within.union(links)
-    groups = components(every).withColumnRenamed("id", "doc_id")
-    return sketched.select("doc_id", "n_shingles").join(groups, "doc_id", "left").select(
+    weights = stored(entries.groupBy("doc_id").agg(F.sum("members").alias("weight")), "weights")
+    entries = entries.join(weights, "doc_id").select("bucket", "doc_id", "weight")
+    leader = F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("a")
+    starred = stored(entries.join(entries.groupBy("bucket").agg(leader), "bucket").filter("doc_id <> a"), "stars")
+    near = stored(_estimated(starred.select("a", F.col("doc_id").alias("b")).distinct(), firsts, threshold), "near")
+    rest = starred.join(near.withColumnRenamed("b", "doc_id"), ["a", "doc_id"], "left_anti").select("bucket", "doc_id")
+    several = rest.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
+    near = near.union(_alike(stored(rest.join(several, "bucket"), "rest"), firsts, threshold))
+
+    groups = stored(components(near).withColumnsRenamed({"id": "doc_id", "component_id": "group_id"}), "groups")
+    center = groups.join(weights, "doc_id").groupBy("group_id").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("center"))
+    members = stored(groups.join(center, "group_id"), "members")
+    # Merged at every size: the ids grow with the texts.
+    texts = stored(members.hint("merge").join(documents.filter("doc_id is not null"), "doc_id"), "texts")
+    links = stored(_verified(texts, k, per_cent), "links")
+    joined = components(links).withColumnRenamed("id", "doc_id")
+    labelled = members.join(joined, "doc_id", "left").withColumn("label", F.coalesce("component_id", "doc_id"))
+    open_groups = stored(labelled.groupBy("group_id").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high and group_id is not null"), "open")
+    more = _compared(texts.join(open_groups.select("group_id"), "group_id"), k, per_cent)
+    final = components(within.union(links).union(more)).withColumnRenamed("id", "doc_id")
+    return sketched.select("doc_id", "n_shingles").join(final, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         (F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("kept"),
     )
-
-
-def _stars(apart: DataFrame, again: bool) -> DataFrame:
-    """Pairs of each bucket's leader with its members of other groups.
-
-    The leader is the member that shares most buckets; ``again``: the first such member outside the first leader's group.
-    """
-    leader = F.max_by(F.struct("doc_id", "label"), F.struct("weight", -F.col("doc_id")))
-    first = apart.groupBy("bucket").agg(leader.alias("leader"))
-    if again:
-        others = apart.join(first, "bucket").filter(F.col("label") != F.col("leader.label")).drop("leader")
-        first = others.groupBy("bucket").agg(leader.alias("leader"))
-    return apart.join(first, "bucket").filter(F.col("label") != F.col("leader.label")).select(
-        F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")
-    )
-
-
-def _still_apart(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    """Entries of buckets whose members lie in more than one group, without those that a leader's group already holds alone."""
-    labelled = entries.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
-        "label", F.coalesce("component_id", "doc_id")
-    ).drop("component_id")
-    mixed_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    return stored(labelled.join(mixed_buckets.select("bucket"), "bucket"), "apart")
