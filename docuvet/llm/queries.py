@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docuvet.llm import bpe, near_text, packing, quality, sharding, toxicity
+from docuvet.llm import bpe, near_text, packing, page_text, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op10_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~_held_out(4, 2)).select("doc_id", F.col("quality").alias("accepted"))
     scored = quality.score_documents(_documents(spark, sf_dir, "n_chars"), labels, ("n_chars",))
     return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", F.col("accepted").alias("predicted"))
+
+
+@query
+def op2_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
