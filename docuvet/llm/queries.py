@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docuvet.llm import bpe, near_text, packing, page_text, quality, sharding, toxicity
+from docuvet.llm import bpe, face_links, face_search, near_text, packing, page_text, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,19 @@ def op10_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("selfie_embedding"))
+
+
+@query
+def op5_projection_forest_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return face_links.link_faces(_faces(spark, sf_dir)).withColumnRenamed("case_id", "vec_id")
+
+
+@query
+def op6_prefix_forest_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = _faces(spark, sf_dir)
+    found = face_search.nearest_faces(faces, faces.filter("case_id % 50 = 0"))
+    return found.select("query_id", "rank", F.col("case_id").alias("vec_id"), "score")
