@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docuvet.llm import bpe, face_links, face_search, near_text, packing, page_text, quality, sharding, toxicity
+from docuvet.llm import bpe, face_links, face_search, near_text, packing, page_text, quality, sharding, storage, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,12 @@ def op6_prefix_forest_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     faces = _faces(spark, sf_dir)
     found = face_search.nearest_faces(faces, faces.filter("case_id % 50 = 0"))
     return found.select("query_id", "rank", F.col("case_id").alias("vec_id"), "score")
+
+
+@query
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, counted in flat token files that are written from all documents first."""
+    path = storage.new_path(spark, "tokens")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    token_files.write_token_files(_documents(spark, sf_dir), path, ranks, public_tokenizers.PATTERN)
+    return token_files.token_counts(spark, path).select("doc_id", "n_tokens")
