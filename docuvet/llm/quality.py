@@ -175,7 +175,7 @@ def quality_score(model: Model, text: Column, *metadata: Column) -> Column:
 def fit_documents(documents: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = (), most: int = MAX_LABELLED) -> Model:
     """Model from document records (``doc_id``, ``raw_text``, numeric ``metadata``) and review labels (``doc_id``, ``accepted`` 0/1)."""
     sample = labelled_sample(documents, labels, "accepted", most, metadata)
-    numbers = _numbers([sample[c].combine_chunks() for c in metadata], len(sample))
+    numbers = _numbers([sample[f"_{n}"].combine_chunks() for n in range(len(metadata))], len(sample))
     return fit(sample["raw_text"], numbers, sample["label"].to_numpy())
 
 
