@@ -6,10 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docuvet.operators import liveness
-from docuvet.params import LivenessParams
+from docuvet.operators import liveness, timed_table
+from docuvet.params import LivenessParams, TimedLivenessParams
 from docuvet.sources.readers import read_frames_stream
-from docuvet.streaming.liveness import OUTPUT_SCHEMA, TimedSession, liveness_stream, stream_summary
+from docuvet.streaming.liveness import FRAME_SCHEMA, OUTPUT_SCHEMA, TimedSession, liveness_stream, stream_summary
 
 START = datetime.datetime(2026, 1, 1, tzinfo=datetime.timezone.utc)
 SCHEMA = "session_id string, ts timestamp, event_id long, challenge string, face_count int, ear_l double, ear_r double, yaw double"
@@ -148,3 +148,58 @@ def test_replayed_frames_count_once(spark):
     rows = make_frames(4, sessions=2, count=30)
     twice = spark.createDataFrame(rows + rows, SCHEMA)
     assert summary(liveness.session_summary(liveness.dedupe_frames(twice), 5)) == expected(rows)
+
+
+def test_timed_table_equals_rules():
+    """The transition table against the rules in words, over every condition and closure time."""
+    following, blinks = timed_table.timed_tables()
+    name = timed_table.STATES
+    for place in range(1 << len(timed_table.CONDITIONS)):
+        bit = {c: bool(place >> i & 1) for i, c in enumerate(timed_table.CONDITIONS)}
+        for time in timed_table.ANY_TIME:
+            got = {name[i]: (name[following[place, time, i]], int(blinks[place, time, i])) for i in range(len(name))}
+            closed = ("STALLED_CLOSED", 0) if time == 3 else (("BLINK_CONFIRMED", 1) if time == 1 else ("EYES_OPEN", 0)) if bit["is_back"] else None
+            for state in ("EYES_CLOSED", "EYES_OPENING"):
+                assert got[state] == (closed or (("EYES_OPENING", 0) if bit["rises"] else (state, 0)))
+            assert got["EYES_OPEN"] == ("EYES_CLOSING" if bit["begins_to_shut"] else "EYES_OPEN", 0)
+            assert got["EYES_CLOSING"] == ("EYES_CLOSED" if bit["is_shut"] else "EYES_OPEN" if bit["is_wide"] else "EYES_CLOSING", 0)
+            assert got["BLINK_CONFIRMED"] == ("EYES_OPEN", 0)
+            assert got["STALLED_CLOSED"] == ("EYES_OPEN" if bit["mean_is_back"] else "STALLED_CLOSED", 0)
+
+
+@pytest.mark.parametrize(("ms", "time"), [(None, 0), (34, 0), (35, 1), (2000, 1), (2001, 2), (2500, 2), (2501, 3)])
+def test_closure_times(ms, time):
+    assert timed_table.closure_time(ms, TimedLivenessParams()) == time
+
+
+def run_batches(spark, tmp_path, batches, processor=None):
+    """Each list of frames is one micro-batch of the stream."""
+    source, out = tmp_path / "src", str(tmp_path / "out")
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, FRAME_SCHEMA).coalesce(1).write.mode("append").json(str(source))
+        stream = liveness_stream(read_frames_stream(spark, str(source)), processor)
+        run = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", out).trigger(availableNow=True).start()
+        assert run.awaitTermination(120)
+    return spark.read.schema(OUTPUT_SCHEMA).parquet(out)
+
+
+def frame(session, seconds, event, ear=0.30, challenge="BLINK_TWICE", yaw=0.0, reset=False):
+    return (session, START + datetime.timedelta(seconds=seconds), event, challenge, 1, ear, ear, yaw, reset)
+
+
+def test_sessions_expire_reset_and_count_late_frames(spark, tmp_path):
+    open_eyes = [frame("a", 0.1 * i, i) for i in range(5)]
+    shut = [frame("a", 1 + 0.1 * i, 10 + i, e) for i, e in enumerate([0.2, 0.2, 0.05, 0.05, 0.05, 0.25, 0.3, 0.3])]
+    late, replayed = frame("a", 0.95, 50), shut[-1]
+    reset = [frame("a", 3, 60, reset=True), *[frame("a", 3.1 + 0.1 * i, 61 + i) for i in range(3)]]
+    far = [frame("b", 100, 70)]
+    farther = [frame("b", 101, 71)]
+    rows = run_batches(spark, tmp_path, [open_eyes + shut, [late, replayed], reset, far, farther])
+    by_event = {r.event_id: r for r in rows.filter("session_id = 'a'").collect()}
+    assert by_event[17].blink_count == 1 and by_event[17].late_frames == 0
+    assert 50 not in by_event and 60 not in by_event and by_event[61].late_frames == 1
+    assert by_event[61].blink_count == 0 and by_event[61].state == "CALIBRATING" and by_event[63].state == "EYES_OPEN"
+    ended = by_event[None]
+    assert ended.state == "SESSION_EXPIRED" and not ended.challenge_passed
+    summed = {r.session_id: r for r in stream_summary(rows).collect()}
+    assert summed["a"].expired and summed["a"].frames == 16 and not summed["b"].expired
