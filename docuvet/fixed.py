@@ -15,7 +15,6 @@ B0 = rf"(?<![{WORD}])"
 B1 = rf"(?![{WORD}])"
 
 # --- Check digits ------------------------------------------------------------------------
-ICAO_WEIGHTS = (7, 3, 1)
 # Letter values run from A=10 to Z=35; only the value modulo 10 matters in a sum modulo 10.
 ICAO_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ<"
 ICAO_VALUES_MOD_10 = "012345678901234567890123450"
@@ -54,6 +53,8 @@ NAME_STOP_WORDS = (
     "VOTER", "ELECTOR", "CARD", "MERA", "MERI", "MALE", "FEMALE", "TRANSGENDER",
     "DOB", "YEAR", "BIRTH", "DATE", "ADDRESS", "PIN", "VID",
 )
+# Words this long are also found inside others, since recognition glues the words of a heading.
+GLUED_STOP_WORD_LENGTH = 7
 ADDRESS_HEADING_WORDS = NAME_STOP_WORDS[:10]
 ADDRESS_BANNED_PHRASES = (
     "1947", "HELP@UIDAI.GOV.IN", "WWW.UIDAI.GOV.IN", "UNIQUE IDENTIFICATION AUTHORITY OF INDIA",
@@ -159,10 +160,6 @@ PAN_CHECK_NAMES = {
 MRZ_KEEP = r"[^A-Z0-9<]"
 MRZ_FIRST_LETTERS = ("P", "I", "A", "C", "V")
 MRZ_JOINED = rf"(P<[A-Z0-9<]{{38,42}})[{WS}]*([A-Z0-9<]{{40,44}})"
-MRZ_FORMAT_NAMES = {
-    "TD3": "TD3 (Passport / 44 Chars)", "TD1": "TD1 (ID Card / 30 Chars)", "TD2": "TD2 (36 Chars)", "NONE": "NONE",
-}
-
 # Place of each field as (line, first character, last character), 1-based and inclusive.
 MRZ_LAYOUT = {
     "TD3": {"names": (1, 6, 44), "number": (2, 1, 9), "number_cd": (2, 10, 10), "nationality": (2, 11, 13),
@@ -196,9 +193,10 @@ _XML_NAME = rf"[{WORD}:.\-]+"
 _XML_VALUE = "(?:\"[^\"<]*\"|'[^'<]*')"
 # A single well-formed element, whose attributes are group 2.
 XML_ELEMENT = (
-    rf"(?s)^[^<]*<({_XML_NAME})((?:[{WS}]+{_XML_NAME}[{WS}]*=[{WS}]*{_XML_VALUE})*)[{WS}]*(?:/>|>.*</\1[{WS}]*>)[{WS}]*$"
+    rf"(?s)^[^<]*(?:<\?[^>]*\?>[^<]*)?<({_XML_NAME})((?:[{WS}]+{_XML_NAME}[{WS}]*=[{WS}]*{_XML_VALUE})*)[{WS}]*(?:/>|>.*</\1[{WS}]*>)[{WS}]*$"
 )
 XML_ATTRIBUTE = rf"({_XML_NAME})[{WS}]*=[{WS}]*({_XML_VALUE})"
+XML_REFERENCE = "&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
 XML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 PAYLOAD_ID = rf"(?i)(?:DL|ID|NO|NUM)[:{WS}\-]*([A-Z0-9]{{6,14}})"
 PAYLOAD_NAME = rf"(?i)(?:NAME|NAM|DAQ)[:{WS}]+([A-Za-z{WS}]+)"
@@ -222,16 +220,13 @@ SOURCE_NAMES = {
     "PHYSICAL_CAPTURE": "Physical Camera Capture", "E_AADHAAR": "Official e-Aadhaar (Digital)",
     "E_PAN": "Official e-PAN (Digital)", "PASSPORT_SCAN": "Passport (Optical Scan)",
 }
-DIGITAL_SOURCES = ("DIGITAL_PDF", "DIGITAL_IMAGE", "SCREENSHOT", "E_AADHAAR", "E_PAN")
-
 # --- Records -----------------------------------------------------------------------------------------
 NOT_DETECTED = "Not confidently detected"
 DEFAULT_APPLICANT = "Applicant Subject"
-MRZ_MESSAGES = {
-    "FAILED": "Check digit mismatch in the machine readable zone",
-    "VERIFIED": "All check digits of the machine readable zone passed",
-    "NOT_APPLICABLE": "No machine readable zone on this document type",
-}
+DEFAULT_ORGANISATION = "Authorized Institution"
+DEFAULT_ORGANISATION_TYPE = "COMPANY"
+DEFAULT_OFFICER = "Authorized Officer"
+DEFAULT_SOURCE = "Document"
 RISK_REASON_TITLES = {
     "verhoeff": "Aadhaar Verhoeff Checksum Failure",
     "mrz": "ICAO 9303 MRZ Checksum Mismatch",
@@ -246,8 +241,9 @@ BREAKDOWN_NAMES = {
     "tamper": "Document Authenticity (ELA)", "consistency": "Data Consistency & Checksums",
     "face": "Biometric Face Match", "liveness": "Active 3D Liveness", "quality": "Optical Clarity & DPI",
 }
-DOSSIER_TITLE = "AI FORENSIC IDENTITY SCREENING & CYBERCRIME INCIDENT DOSSIER"
-DOSSIER_NOTES = "Case escalated for synthetic identity / document alteration review."
+FAILED_REGION = {"id": "sr_1", "title": "Checksum / Structural Forgery", "severity": "HIGH", "type": "FONT_MISMATCH"}
+FAILED_REGION_BOX = {"x": 20, "y": 40, "width": 60, "height": 30}
+SUBMISSION_STATUS = "EVIDENCE_PREPARED_FOR_INVESTIGATOR_REVIEW"
 ESCALATE = "REJECT / ESCALATE TO CYBER CELL"
 MANUAL_REVIEW_REQUIRED = "MANUAL REVIEW REQUIRED"
 
@@ -255,7 +251,6 @@ MANUAL_REVIEW_REQUIRED = "MANUAL REVIEW REQUIRED"
 LEFT_EYE = {"outer": 33, "inner": 133, "up1": 160, "up2": 158, "low1": 144, "low2": 153}
 RIGHT_EYE = {"outer": 263, "inner": 362, "up1": 385, "up2": 387, "low1": 380, "low2": 373}
 NOSE_TIP, LEFT_TEMPLE, RIGHT_TEMPLE = 1, 234, 454
-CHALLENGES = ("BLINK_TWICE", "TURN_LEFT", "TURN_RIGHT")
 NEXT_CHALLENGE = {
     "DETECT_FACE": "BLINK_TWICE", "BLINK_TWICE": "TURN_LEFT", "TURN_LEFT": "TURN_RIGHT",
     "TURN_RIGHT": "COMPLETE", "COMPLETE": "COMPLETE",

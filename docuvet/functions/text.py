@@ -42,10 +42,6 @@ def match(s: Column, pattern: str, group: int = 1) -> Column:
     return non_empty(F.regexp_extract(s, pattern, group))
 
 
-def first_match(s: Column, patterns) -> Column:
-    return F.coalesce(*[match(s, p) for p in patterns])
-
-
 def _checked(year: Column, month: Column, day: Column) -> Column:
     """ISO text of a date whose parts lie in their ranges; months are not matched with days."""
     two = lambda n: F.lpad(n.cast("string"), 2, "0")
@@ -132,8 +128,8 @@ def payload_summary(s: Column, length: int = 120) -> Column:
 def stop_word_line(s: Column, compat: bool = False) -> Column:
     """True where a line is a heading or a label and cannot be a person's name.
 
-    A heading holds one of the stop words as a word of its own. ``compat`` asks for
-    containment in either direction instead (which also rejects names such as DAVID).
+    A heading holds one of the stop words as a word of its own, or a long one anywhere, as recognition glues words together.
+    ``compat`` asks for containment of all in either direction instead (which also rejects names such as DAVID).
     """
     letters = F.upper(F.regexp_replace(s, "[^A-Za-z]", ""))
     if compat:
@@ -142,5 +138,6 @@ def stop_word_line(s: Column, compat: bool = False) -> Column:
         hit = contains_any(letters, fixed.NAME_STOP_WORDS) | F.contains(joined, letters)
     else:
         words = "|".join(fixed.NAME_STOP_WORDS)
-        hit = s.rlike(rf"(?i){fixed.B0}(?:{words}){fixed.B1}")
+        long = [w for w in fixed.NAME_STOP_WORDS if len(w) >= fixed.GLUED_STOP_WORD_LENGTH]
+        hit = s.rlike(rf"(?i){fixed.B0}(?:{words}){fixed.B1}") | contains_any(letters, long)
     return (F.length(letters) < 3) | hit

@@ -18,14 +18,13 @@ def has_qr_marker(payload: Column) -> Column:
 
 
 def _last_wins(pairs: Column) -> Column:
-    """Map of lower-cased keys from an array of (k, v); of repeated keys the last value counts."""
+    """Map of keys from an array of (k, v); of repeated keys the last value counts. One sort, then a look at the next pair."""
 
-    def build(ps: Column) -> Column:
-        distinct = F.array_distinct(F.transform(ps, lambda p: p["k"]))
-        chosen = F.transform(distinct, lambda k: F.element_at(F.filter(ps, lambda p: p["k"] == k), -1)["v"])
-        return F.map_from_arrays(distinct, chosen)
+    def build(ordered: Column) -> Column:
+        last = F.filter(ordered, lambda p, i: F.coalesce(F.get(ordered, i + 1)["k"] != p["k"], F.lit(True)))
+        return F.map_from_arrays(F.transform(last, lambda p: p["k"]), F.transform(last, lambda p: p["v"]))
 
-    return let(pairs, build)
+    return let(F.sort_array(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))), build)
 
 
 def _pairs(text: Column, pattern: str, value) -> Column:
@@ -42,9 +41,19 @@ def quoted_attributes(payload: Column) -> Column:
     return _last_wins(_pairs(payload, fixed.QR_ATTRIBUTE, lambda v: v))
 
 
+def _decoded(reference: Column) -> Column:
+    """Character of a numeric reference such as &#39; or &#x27;. The ampersand stays a named one, to be decoded last."""
+    digits = F.regexp_extract(reference, "[0-9A-Fa-f]+", 0)
+    code = F.when(reference.rlike("^&#[xX]"), F.upper(digits)).otherwise(F.hex(digits.try_cast("long")))
+    character = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+    return F.when(character == "&", "&amp;").otherwise(character)
+
+
 def _element_attributes(payload: Column) -> Column:
     def unescape(value: Column) -> Column:
         plain = F.substring(value, F.lit(2), F.length(value) - 2)
+        references = F.array_distinct(F.regexp_extract_all(plain, F.lit(fixed.XML_REFERENCE), 0))
+        plain = F.aggregate(references, plain, lambda text, r: F.replace(text, r, F.coalesce(_decoded(r), r)))
         for entity, char in fixed.XML_ENTITIES:
             plain = F.replace(plain, F.lit(entity), F.lit(char))
         return plain

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docuvet import fixed
 from docuvet.functions.text import mask_sensitive_id
+from docuvet.operators.mrz import mrz_applicable
 
 
 def join_case(documents: DataFrame, faces: DataFrame, liveness: DataFrame) -> DataFrame:
@@ -28,14 +29,30 @@ def _default(name: str, value) -> Column:
     return F.coalesce(F.col(name), F.lit(value))
 
 
-def case_dossier(cases: DataFrame) -> DataFrame:
-    """Assemble the nested dossier from flat result columns; identifiers are masked."""
+#: Texts of a dossier that nothing computes with; pass others to ``case_dossier``.
+TEXTS = {
+    "title": "Screening dossier", "notes": "Referred for review.", "engine": "docuvet",
+    "portal_name": "", "portal_url": "", "portal_notice": "Prepared for review by authorised staff; nothing was submitted.",
+}
+
+
+def case_dossier(cases: DataFrame, texts: dict[str, str] = TEXTS) -> DataFrame:
+    """Assemble the nested dossier from flat result columns; identifiers are masked. Columns that a case lacks are NULL."""
+    words = TEXTS | texts
+    types = dict(cases.dtypes)
+    have = lambda name, kind: F.col(name) if name in types else F.lit(None).cast(kind)
     level = _default("risk_level", "SUSPICIOUS")
-    regions = F.coalesce("suspicious_regions", F.array().cast("array<string>"))
+    regions = F.coalesce(F.col("suspicious_regions"), F.array().cast(types["suspicious_regions"]))
+    mrz = _default("mrz_status", "NOT_APPLICABLE")
+    barcode = _default("barcode_status", "NOT_FOUND")
     return cases.select(
         F.col("case_id").cast("string").alias("case_id"),
-        F.lit(fixed.DOSSIER_TITLE).alias("report_title"),
+        F.lit(words["title"]).alias("report_title"),
         F.col("generated_timestamp"),
+        F.struct(
+            F.lit(words["portal_name"]).alias("name"), F.lit(words["portal_url"]).alias("official_url"),
+            F.lit(fixed.SUBMISSION_STATUS).alias("submission_status"), F.lit(words["portal_notice"]).alias("submission_notice"),
+        ).alias("submission_portal"),
         F.struct(
             _default("filename", "uploaded_document.jpg").alias("filename"), "size_bytes",
             F.col("evidence_sha256").alias("sha256_digest"),
@@ -48,26 +65,34 @@ def case_dossier(cases: DataFrame) -> DataFrame:
         ).alias("screening_verdict"),
         F.struct(F.col("gate_status").alias("status"), F.col("gate_issues").alias("issues"), F.col("gate_warnings").alias("warnings")).alias("quality_gate"),
         F.struct(
-            F.size(regions).alias("anomaly_zones_detected"), regions.alias("suspicious_regions"), F.col("reasons").alias("forensic_flags")
+            F.lit(words["engine"]).alias("analysis_engine"), F.size(regions).alias("anomaly_zones_detected"),
+            regions.alias("suspicious_regions"), F.col("reasons").alias("forensic_flags"),
         ).alias("forensic_tampering_findings"),
         F.struct(
-            _default("is_readable", False).alias("is_readable"), _default("document_type", fixed.UNKNOWN).alias("document_type"),
+            _default("is_readable", False).alias("is_readable"), F.coalesce(have("ocr_confidence", "double"), F.lit(0)).cast("double").alias("confidence_score"),
+            _default("document_type", fixed.UNKNOWN).alias("document_type"),
             "name", "dob", mask_sensitive_id(F.col("doc_number")).alias("doc_number_masked"), "expiry_date", "address", "gender",
         ).alias("extracted_ocr_data"),
-        F.struct(F.col("aadhaar_status").alias("status"), "masked_aadhaar", F.col("verhoeff_ok").alias("is_verhoeff_valid")).alias("aadhaar_validation"),
         F.struct(
-            (F.col("mrz_format") != "NONE").alias("mrz_detected"), _default("mrz_status", "NOT_APPLICABLE").alias("status"),
-            _default("mrz_format", "NONE").alias("format"),
-            (_default("mrz_status", "NOT_APPLICABLE") != "FAILED").alias("checksums_passed"), F.col("mrz_checks").alias("checksum_details"),
+            F.col("aadhaar_status").alias("status"), "masked_aadhaar", F.col("verhoeff_ok").alias("is_verhoeff_valid"),
+            have("structure_checks", CHECKS).alias("checks"),
+        ).alias("aadhaar_validation"),
+        F.struct(
+            (F.col("mrz_format") != "NONE").alias("mrz_detected"), mrz_applicable(_default("document_type", fixed.UNKNOWN)).alias("is_applicable"),
+            mrz.alias("status"), _default("mrz_format", "NONE").alias("format"), (mrz != "FAILED").alias("checksums_passed"),
+            F.col("mrz_checks").alias("checksum_details"),
         ).alias("mrz_validation_findings"),
         F.struct(
-            (_default("barcode_status", "NOT_FOUND") != "NOT_FOUND").alias("detected"), _default("barcode_status", "NOT_FOUND").alias("status"),
-            _default("barcode_format", "NONE").alias("format"), "comparisons",
+            (barcode != "NOT_FOUND").alias("detected"), barcode.alias("status"), _default("barcode_format", "NONE").alias("format"),
+            barcode.alias("cross_match_verdict"), "comparisons",
         ).alias("barcode_qr_findings"),
-        _default("analyst_notes", fixed.DOSSIER_NOTES).alias("analyst_notes"),
+        _default("analyst_notes", words["notes"]).alias("analyst_notes"),
     )
 
 
+CHECKS = "array<struct<name:string,passed:boolean,details:string,severity:string>>"
+
+
 def printed_reasons(reasons: Column, count: int = 5) -> Column:
     """The reasons that fit on the printed report."""
     return F.slice(reasons, 1, count)

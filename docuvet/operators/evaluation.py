@@ -1,6 +1,6 @@
 """Screening evaluation and review work: consistency, error rates, overrides, review queue.
 
-These follow the reference's written design; its code does not contain them.
+They follow the written design of the original; its code does not contain them.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,21 +53,36 @@ def escalate(level: Column, part_levels: Column, confidence: Column, min_confide
     return F.when((level == "LOW") & lift, "MEDIUM").otherwise(level)
 
 
-def error_rates(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """Attack and bona fide error rates at every threshold (score at or above it counts as attack).
+def _counts_below(scored: DataFrame, label: str, score: str, digits: int = 2) -> DataFrame:
+    """Attacks and genuine cases per score value, below it, and in total.
 
-    Scores are counted per value first; the sweep runs over distinct values, which a score
-    with a fixed number of decimals bounds.
+    Scores are counted per value, values are summed in buckets of ``digits`` decimals, and only the buckets' totals are
+    swept in one place; inside a bucket its values are. So a score with many decimals gathers nowhere.
     """
     attack = F.col(label) == 1
     counts = scored.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(attack).alias("attacks"), F.count_if(~attack).alias("genuine")
+    ).withColumn("_bucket", F.floor(F.col("threshold").cast("double") * 10**digits))
+    names = ("attacks", "genuine")
+    below = Window.partitionBy("_all").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_all")
+    buckets = counts.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in names]).withColumn("_all", F.lit(1)).select(
+        "_bucket", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"_before_{c}") for c in names],
+        *[F.sum(c).over(whole).alias(f"total_{c}") for c in names],
+    )
+    inside = Window.partitionBy("_bucket").orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in names}).join(buckets, "_bucket")
+    return placed.select(
+        "threshold", *names, *[(F.col(f"_before_{c}") + F.col(f"_in_{c}")).alias(f"{c}_below") for c in names], *[f"total_{c}" for c in names]
     )
-    below = Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda c: F.sum(c).over(Window.partitionBy())
-    missed, kept = F.coalesce(F.sum("attacks").over(below), F.lit(0)), F.coalesce(F.sum("genuine").over(below), F.lit(0))
+
+
+def error_rates(scored: DataFrame, label: str, score: str) -> DataFrame:
+    """Attack and bona fide error rates at every threshold (score at or above it counts as attack)."""
+    counts = _counts_below(scored, label, score)
     return counts.select(
-        "threshold", (missed / total("attacks")).alias("apcer"), ((total("genuine") - kept) / total("genuine")).alias("bpcer")
+        "threshold", (F.col("attacks_below") / F.col("total_attacks")).alias("apcer"),
+        ((F.col("total_genuine") - F.col("genuine_below")) / F.col("total_genuine")).alias("bpcer"),
     )
 
 
@@ -81,13 +96,10 @@ def equal_error_rate(rates: DataFrame) -> DataFrame:
 
 def roc_auc(scored: DataFrame, label: str, score: str) -> DataFrame:
     """Exact area under the curve from counts per score: share of (attack, genuine) pairs in order."""
-    attack = F.col(label) == 1
-    counts = scored.groupBy(score).agg(F.count_if(attack).alias("a"), F.count_if(~attack).alias("g"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("g_below", F.coalesce(F.sum("g").over(below), F.lit(0)))
-    return ranked.agg(
-        (F.sum(F.col("a") * (F.col("g_below") * 2 + F.col("g"))) / (F.lit(2) * F.sum("a") * F.sum("g"))).alias("auc"),
-    )
+    counts = _counts_below(scored, label, score)
+    number = lambda c: F.col(c).cast("double")
+    ordered = F.sum(number("attacks") * (number("genuine_below") * 2 + number("genuine")))
+    return counts.agg((ordered / (F.lit(2.0) * F.sum(number("attacks")) * F.sum(number("genuine")))).alias("auc"))
 
 
 def confusion(cases: DataFrame, truth: str, decision: str, tiers: list[str]) -> DataFrame:
@@ -163,3 +175,41 @@ def top_contributions(names: list[str], values: Column, count: int = 3) -> Colum
     """The features that contribute most, largest first."""
     pairs = F.arrays_zip(values.alias("value"), F.array(*[F.lit(n) for n in names]).alias("name"))
     return F.transform(F.slice(F.sort_array(pairs, asc=False), 1, count), lambda p: p["name"])
+
+
+def shared_evidence(records: DataFrame) -> DataFrame:
+    """Evidence files that more than one owner submitted, with their owners and cases. Owners and cases count once each."""
+    known = records.filter(F.length("evidence_sha256") > 0)
+    cases = known.groupBy("evidence_sha256", "owner_id", "case_id").agg(F.min("timestamp").alias("first_at"))
+    owners = cases.groupBy("evidence_sha256", "owner_id").agg(F.count("*").alias("cases"), F.min("first_at").alias("first_at"))
+    return owners.groupBy("evidence_sha256").agg(
+        F.count("*").alias("owners"), F.sum("cases").alias("cases"), F.min_by("owner_id", F.struct("first_at", "owner_id")).alias("first_owner")
+    ).filter(F.col("owners") > 1)
+
+
+SPLIT_SHARES = (("TRAIN", 70), ("VALIDATION", 15), ("TEST", 15))
+
+
+def split_documents(documents: DataFrame, key: str, shares=SPLIT_SHARES) -> DataFrame:
+    """Assign every document to a split by a hash of its key, so that all rows of a document, in every class, go together.
+
+    The hash is independent of the class, so each class is split in the same shares; no shuffle is needed.
+    """
+    place = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(sum(n for _, n in shares)))
+    split = F.lit(shares[-1][0])
+    for name, share in reversed(shares[:-1]):
+        bound = sum(n for other, n in shares[: [s for s, _ in shares].index(name) + 1])
+        split = F.when(place < bound, name).otherwise(split)
+    return documents.withColumn("split", split)
+
+
+def split_leaks(rows: DataFrame, evidence: str) -> DataFrame:
+    """Evidence that occurs in more than one split: empty if no copy of a training document is tested on."""
+    found = rows.groupBy(evidence).agg(F.min("split").alias("first"), F.max("split").alias("last"), F.count("*").alias("rows"))
+    return found.filter("first <> last")
+
+
+def training_rows(cases: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Screened cases with the analyst's latest decision as their label; undecided cases give no row."""
+    latest = decisions.groupBy("case_id").agg(F.max_by("action", F.struct("acted_at", "override_id")).alias("label"))
+    return cases.join(latest, "case_id")

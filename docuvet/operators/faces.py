@@ -63,9 +63,19 @@ def crop_quality(params: FaceParams = FaceParams()) -> dict[str, Column]:
     }
 
 
-def face_pairs(portraits: DataFrame, selfies: DataFrame) -> DataFrame:
-    """One portrait and one selfie per case, with the similarity of their embeddings."""
-    pairs = portraits.join(selfies, "case_id")
+def one_face(faces: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """The first face of each case by ``order``, or by a hash of the row where none is given."""
+    rest = [c for c in faces.columns if c != "case_id"]
+    first = F.min_by(F.struct(*rest), F.struct(*order) if order else F.xxhash64(*rest))
+    return faces.groupBy("case_id").agg(first.alias("f")).select("case_id", *[F.col(f"f.{c}") for c in rest])
+
+
+def face_pairs(portraits: DataFrame, selfies: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """One portrait and one selfie per case, with the similarity of their embeddings.
+
+    Both sides are reduced to one face first; the aggregation and the join share their key and so one exchange a side.
+    """
+    pairs = one_face(portraits, order).join(one_face(selfies, order), "case_id")
     return pairs.withColumn("cosine", cosine_similarity(F.col("doc_embedding"), F.col("selfie_embedding"))).withColumn(
         "similarity", calibrate_similarity(F.col("cosine"))
     )

@@ -44,6 +44,22 @@ def _codes(signals: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(hit, code) for code, hit in signals.items()]))
 
 
+REGION_TYPE = (
+    "array<struct<id:string,title:string,reason:string,severity:string,type:string,"
+    "bounding_box:struct<x:double,y:double,width:double,height:double>>>"
+)
+
+
+def failed_region() -> Column:
+    """The one region that a failed check marks, with the first failure as its reason."""
+    box = F.struct(*[F.lit(float(v)).alias(k) for k, v in fixed.FAILED_REGION_BOX.items()])
+    texts = {k: F.lit(v) for k, v in fixed.FAILED_REGION.items()}
+    return F.struct(
+        texts["id"].alias("id"), texts["title"].alias("title"), F.get("fail_signals", 0).alias("reason"), texts["severity"].alias("severity"),
+        texts["type"].alias("type"), box.alias("bounding_box"),
+    )
+
+
 def with_verdict(docs: DataFrame, params: TamperParams = TamperParams()) -> DataFrame:
     """Add the document verdict to a table of gate, number, zone and barcode results.
 
@@ -70,6 +86,7 @@ def with_verdict(docs: DataFrame, params: TamperParams = TamperParams()) -> Data
             .when(unclear, round1(clamp(tenth("0.5") + dec(20), 25, 48)))
             .otherwise(round1(clamp(tenth("0.1"), 1, 8))),
             "tampering_score": F.when(again, dec(0, 9, 1)).when(hard, t).otherwise(round1(tenth("0.3"))),
+            "suspicious_regions": F.when(hard & ~again, F.array(failed_region())).otherwise(F.array().cast(REGION_TYPE)),
         }
     )
 

@@ -39,7 +39,7 @@ SQL = {
 SELECT k AS doc_id, CASE kind
   WHEN 0 THEN 'GOVERNMENT OF INDIA' || chr(10) || 'NAME: APPLICANT ' || seg || chr(10) || 'DOB: ' || dd || '/' || mm || '/' || yyyy
     || chr(10) || 'GENDER: ' || sex || chr(10) || 'AADHAAR NO: ' || substr(n, 1, 4) || ' ' || substr(n, 5, 4) || ' ' || substr(n, 9, 4)
-  WHEN 1 THEN 'UNIQUE IDENTIFICATION AUTHORITY OF INDIA' || chr(10) || 'Ravi ' || seg || chr(10) || 'D0B: ' || dd || '-' || mm || '-' || yyyy
+  WHEN 1 THEN 'UNIQUE IDENTIFICATION AUTHORITY OF INDIA' || chr(10) || 'Ravi ' || seg || chr(10) || 'Meraaadhaarmeripehchaan' || chr(10) || 'D0B: ' || dd || '-' || mm || '-' || yyyy
     || chr(10) || 'SEX: ' || substr(sex, 1, 1) || chr(10) || substr(n, 1, 4) || '-' || substr(n, 5, 4) || '-' || substr(n, 9, 4)
     || chr(10) || 'ADDRESS: H NO ' || CAST(k AS STRING) || ', MG ROAD,' || chr(10) || 'PUNE ' || pin || chr(10) || 'help@uidai.gov.in 1947'
   WHEN 2 THEN 'INCOME TAX DEPARTMENT' || chr(10) || 'GOVT OF INDIA' || chr(10) || 'Name: David ' || seg || chr(10)
@@ -80,8 +80,8 @@ SELECT k AS doc_id, seq, CASE WHEN seq = 1 THEN 'QRCode' ELSE 'PDF417' END AS fo
     WHEN seq = 1 AND k % 5 = 0 THEN ''
     WHEN seq = 2 AND k % 7 <> 0 THEN '  '
     WHEN seq = 2 THEN 'NAME: ' || seg || ' DOB ' || yyyy || mm || dd
-    WHEN kind IN (0, 1, 7) THEN '<PrintLetterBarcodeData uid="' || n || '" name="' || CASE WHEN k % 6 = 0 THEN 'SOMEONE ELSE'
-        WHEN kind = 0 THEN 'APPLICANT ' || seg ELSE 'RAVI ' || seg END
+    WHEN kind IN (0, 1, 7) THEN CASE WHEN k % 3 = 0 THEN '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) ELSE '' END || '<PrintLetterBarcodeData uid="' || n || '" name="' || CASE WHEN k % 6 = 0 THEN 'SOMEONE ELSE'
+        WHEN kind = 0 THEN 'APPLICANT ' || seg WHEN k % 9 = 0 THEN 'RAVI&#32;' || seg WHEN k % 9 = 3 THEN 'RAVI&#x20;' || seg ELSE 'RAVI ' || seg END
       || '" Gender="' || substr(sex, 1, 1) || '" yob="' || CASE WHEN k % 16 = 8 THEN '1949' ELSE yyyy END
       || '" dist="PUNE" pc="' || CASE WHEN k % 10 = 1 THEN '999999' ELSE pin END || '"/>'
     WHEN kind = 2 THEN 'NAME: ' || CASE WHEN k % 6 = 2 THEN 'OTHER PERSON' ELSE 'DAVID ' || seg END || ' ID: ' || pan || ' ' || yyyy || mm || dd
@@ -162,9 +162,9 @@ SELECT user_id AS session_id, CAST(ts AS timestamp) AS ts, event_id,
   CAST(5 + event_id * 7 % 36 AS decimal(9,2)) * 0.01 AS ear_l, CAST(5 + event_id * 11 % 36 AS decimal(9,2)) * 0.01 AS ear_r,
   CAST(event_id * 5 % 61 - 30 AS decimal(9,1)) AS yaw
 FROM {events}""",
-    # Submitted results: several versions of a case, some cases shared by owners.
+    # Submitted results: several versions of a case, each shared by two owners.
     "history": """
-SELECT o_custkey AS owner_id, (o_custkey % 500) * 4 + o_orderkey % 4 AS case_id, o_orderdate AS timestamp, o_orderkey AS version,
+SELECT o_custkey AS owner_id, CAST(floor(o_custkey / 2) AS BIGINT) * 4 + o_orderkey % 4 AS case_id, o_orderdate AS timestamp, o_orderkey AS version,
   'Applicant ' || CAST(o_custkey % 97 AS STRING) AS applicant_name,
   CASE o_orderkey % 4 WHEN 0 THEN 'PASSPORT' WHEN 1 THEN 'NATIONAL_ID (PAN)' WHEN 2 THEN 'VOTER_ID' ELSE 'NATIONAL_ID (AADHAAR)' END AS document_type,
   CASE o_orderkey % 10 WHEN 0 THEN 'HIGH RISK' WHEN 1 THEN 'SUSPICIOUS' WHEN 2 THEN 'RECAPTURE REQUIRED' ELSE 'VERIFIED' END AS final_decision
@@ -176,8 +176,8 @@ SELECT c_custkey AS id, lower(replace(c_name, '#', '.')) || '@example.org' AS em
   CASE WHEN c_custkey % 2 = 0 THEN 'Desk ' || c_mktsegment ELSE '' END AS org_name
 FROM {customer}""",
     "registrations": """
-SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS request_id,
-  CASE WHEN l_suppkey % 13 = 0 THEN 'no-address' ELSE ' Customer.' || lpad(CAST(l_partkey % 2500 AS STRING), 9, '0') || '@Example.org ' END AS email,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  CASE WHEN l_suppkey % 13 = 0 THEN 'no-address' ELSE ' Customer.' || lpad(CAST(l_partkey AS STRING), 9, '0') || '@Example.org ' END AS email,
   CASE l_linenumber % 3 WHEN 0 THEN 'organisation' WHEN 1 THEN 'INDIVIDUAL' ELSE NULL END AS role,
   CASE WHEN l_orderkey % 2 = 0 THEN 'user' || CAST(l_orderkey AS STRING) END AS username,
   CASE WHEN l_orderkey % 3 = 0 THEN 'Person ' || CAST(l_suppkey AS STRING) END AS full_name,

@@ -85,7 +85,9 @@ def stop_word_sql(x, compat):
         words = list(fixed.NAME_STOP_WORDS)
         hit = f"len(list_filter({words}, lambda w: contains({letters}, w) OR contains(w, {letters}))) > 0"
     else:
+        long = "|".join(w for w in fixed.NAME_STOP_WORDS if len(w) >= fixed.GLUED_STOP_WORD_LENGTH)
         hit = f"regexp_matches({x}, {re2('(?i)' + fixed.B0 + '(?:' + '|'.join(fixed.NAME_STOP_WORDS) + ')' + fixed.B1)})"
+        hit = f"({hit} OR regexp_matches(upper(regexp_replace({x}, '[^A-Za-z]', '', 'g')), '{long}'))"
     return f"(length({letters}) < 3 OR {hit})"
 
 

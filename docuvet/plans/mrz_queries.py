@@ -89,7 +89,7 @@ def qr_attributes(t):
 
 
 @query("qr_identity", """
-SELECT doc_id, seq, regexp_extract(raw_text, 'name="([^"]*)"', 1) AS qr_name, CASE regexp_extract(raw_text, 'Gender="([^"]*)"', 1) WHEN 'M' THEN 'MALE' ELSE 'FEMALE' END AS qr_gender,
+SELECT doc_id, seq, replace(replace(regexp_extract(raw_text, 'name="([^"]*)"', 1), '&#32;', ' '), '&#x20;', ' ') AS qr_name, CASE regexp_extract(raw_text, 'Gender="([^"]*)"', 1) WHEN 'M' THEN 'MALE' ELSE 'FEMALE' END AS qr_gender,
   regexp_extract(raw_text, 'yob="([^"]*)"', 1) || '-01-01' AS qr_dob, 'XXXX-XXXX-' || right(regexp_extract(raw_text, 'uid="([^"]*)"', 1), 4) AS qr_uid_masked,
   regexp_extract(raw_text, 'dist="([^"]*)"', 1) AS qr_district, regexp_extract(raw_text, 'pc="([^"]*)"', 1) AS qr_pin FROM <barcodes> WHERE contains(raw_text, 'uid=')""")
 def qr_identity(t):
@@ -123,7 +123,7 @@ _NAME_IN = f"({_HITS} >= greatest(1, len({_NAME_PARTS}) - 1) AND len({_NAME_PART
 _ID, _NM = rx("payload", fixed.PAYLOAD_ID), rx("payload", fixed.PAYLOAD_NAME)
 _COMPARED = f"""{validated_sql('<id_docs>')},
 b AS MATERIALIZED (SELECT v.doc_id, name, gender, dob, address, doc_number, p.* EXCLUDE (doc_id), contains(payload, 'uid=') AS is_qr,
-  nullif(regexp_extract(payload, 'name="([^"]*)"', 1), '') AS q_name, CASE regexp_extract(payload, 'Gender="([^"]*)"', 1) WHEN 'M' THEN 'MALE' ELSE 'FEMALE' END AS q_gender,
+  nullif(replace(replace(regexp_extract(payload, 'name="([^"]*)"', 1), '&#32;', ' '), '&#x20;', ' '), '') AS q_name, CASE regexp_extract(payload, 'Gender="([^"]*)"', 1) WHEN 'M' THEN 'MALE' ELSE 'FEMALE' END AS q_gender,
   regexp_extract(payload, 'yob="([^"]*)"', 1) AS q_yob, regexp_extract(payload, 'pc="([^"]*)"', 1) AS q_pin FROM validated v LEFT JOIN {_PRIMARY} p USING (doc_id)),
 cmp AS MATERIALIZED (
 {_row(_C['name'], 'name', 'q_name', f"contains({_letters('q_name')}, {_letters('name')}) OR contains({_letters('name')}, {_letters('q_name')})", 'HIGH', 'is_qr AND name IS NOT NULL')}

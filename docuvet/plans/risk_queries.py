@@ -197,10 +197,11 @@ def search_history(t):
 
 
 @query("lookup_cases", f"""
-SELECT q.case_id, q.user_id, q.role, r.owner_id, r.version FROM (SELECT (id % 500) * 4 + 1 AS case_id, id AS user_id, role FROM <users>) q
-JOIN {LATEST} r ON q.case_id = r.case_id AND (q.role = 'ADMIN' OR r.owner_id = q.user_id)""")
+SELECT q.case_id, q.user_id, q.role, r.owner_id, r.version FROM (SELECT CAST(floor(id / 2) AS BIGINT) * 4 + 1 AS case_id, id AS user_id, role FROM <users>) q
+JOIN (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY timestamp DESC, version DESC, owner_id DESC) AS nth FROM (SELECT * EXCLUDE (rn) FROM {LATEST})) r
+  ON q.case_id = r.case_id AND CASE WHEN q.role = 'ADMIN' THEN r.nth = 1 ELSE r.owner_id = q.user_id END""")
 def lookup_cases(t):
-    requests = t.users.select((F.col("id") % 500 * 4 + 1).alias("case_id"), F.col("id").alias("user_id"), "role")
+    requests = t.users.select((F.floor(F.col("id") / 2).cast("long") * 4 + 1).alias("case_id"), F.col("id").alias("user_id"), "role")
     return history.lookup_cases(history.latest_records(t.history), requests).select("case_id", "user_id", "role", "owner_id", "version")
 
 
@@ -219,8 +220,8 @@ def user_sessions(t):
 
 
 @query("admit_registrations", """
-WITH c AS (SELECT request_id, lower(trim(email)) AS email, upper(coalesce(role, 'INDIVIDUAL')) AS role, username, full_name, org_name FROM <registrations>),
-f AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY request_id) AS rn FROM c WHERE contains(email, '@'))
+WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, lower(trim(email)) AS email, upper(coalesce(role, 'INDIVIDUAL')) AS role, username, full_name, org_name FROM <registrations>),
+f AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, role, username, full_name, org_name) AS rn FROM c WHERE contains(email, '@'))
 SELECT email, role, coalesce(username, split_part(email, '@', 1)) AS username,
   CASE WHEN role = 'INDIVIDUAL' THEN coalesce(full_name, 'Applicant Subject') END AS full_name,
   CASE WHEN role <> 'INDIVIDUAL' THEN coalesce(org_name, 'Authorized Institution') END AS org_name,
@@ -228,7 +229,7 @@ SELECT email, role, coalesce(username, split_part(email, '@', 1)) AS username,
   CASE WHEN role <> 'INDIVIDUAL' THEN 'COMPANY' END AS org_type
 FROM f WHERE rn = 1 AND email NOT IN (SELECT email FROM <users>)""")
 def admit_registrations(t):
-    return history.admit_registrations(t.registrations, t.users).select(
+    return history.admit_registrations(t.registrations, t.users, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).select(
         "email", "role", "username", "full_name", "org_name", "id", "org_type"
     )
 

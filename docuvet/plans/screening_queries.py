@@ -66,18 +66,18 @@ _PLAIN_NUMBER = f"regexp_replace(doc_number, {SPACES}, '', 'g')"
 SELECT CAST(r.case_id AS VARCHAR) AS case_id, r.final_decision, CASE WHEN r.risk_level = 'HIGH' THEN 'REJECT / ESCALATE TO CYBER CELL' ELSE 'MANUAL REVIEW REQUIRED' END AS recommended_action,
   CASE WHEN doc_number IS NULL THEN 'N/A' WHEN regexp_full_match({_PLAIN_NUMBER}, '\\p{{Nd}}{{12}}') THEN 'XXXX-XXXX-' || right({_PLAIN_NUMBER}, 4)
     WHEN length({_PLAIN_NUMBER}) > 6 THEN substr({_PLAIN_NUMBER}, 1, 2) || '***' || right({_PLAIN_NUMBER}, 4) ELSE doc_number END AS doc_number_masked,
-  CAST(len(d.fails) AS INT) AS anomaly_zones_detected, CASE WHEN regexp_matches(d.filename, '(?i)\\.jpe?g$') THEN 'image/jpeg' ELSE 'image/png' END AS mime_type, d.barcode_status <> 'NOT_FOUND' AS detected
+  CASE WHEN len(d.fails) > 0 AND NOT d.recapture THEN 1 ELSE 0 END AS anomaly_zones_detected, CASE WHEN len(d.fails) > 0 AND NOT d.recapture THEN d.fails[1] END AS region_reason, CASE WHEN regexp_matches(d.filename, '(?i)\\.jpe?g$') THEN 'image/jpeg' ELSE 'image/png' END AS mime_type, d.barcode_status <> 'NOT_FOUND' AS detected
 FROM {_CASE_RISK} r JOIN verd d ON r.case_id = d.image_id""")
 def dossiers(t):
     cases = screened(t).withColumns({
         "generated_timestamp": F.lit("2026-01-01T00:00:00"), "size_bytes": F.length("raw_text").cast("long"),
-        "evidence_sha256": F.sha2(F.col("raw_text").cast("binary"), 256), "suspicious_regions": F.col("fail_signals"),
+        "evidence_sha256": F.sha2(F.col("raw_text").cast("binary"), 256),
         "analyst_notes": F.lit(None).cast("string"),
     })
     built = dossier.case_dossier(cases)
     return built.select(
         "case_id", "screening_verdict.final_decision", "screening_verdict.recommended_action", "extracted_ocr_data.doc_number_masked",
-        "forensic_tampering_findings.anomaly_zones_detected", "evidence_file.mime_type", "barcode_qr_findings.detected")
+        "forensic_tampering_findings.anomaly_zones_detected", F.get("forensic_tampering_findings.suspicious_regions", 0)["reason"].alias("region_reason"), "evidence_file.mime_type", "barcode_qr_findings.detected")
 
 
 @query("escalation_actions", f"""

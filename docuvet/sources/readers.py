@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from docuvet.functions.checksums import evidence_digest
 from docuvet.functions.text import strip
+from docuvet.operators.barcodes import COMPARISON_TYPE
+from docuvet.operators.dossier import CHECKS
+from docuvet.operators.verdict import REGION_TYPE
 from docuvet.streaming.liveness import FRAME_SCHEMA
 
 OCR_FIELDS = "name string, docNumber string, dob string, gender string, address string"
@@ -23,16 +26,17 @@ USER_SCHEMA = (
 # the later one no text snippet and zone fields.
 DOSSIER_SCHEMA = (
     "case_id string, report_title string, generated_timestamp string, "
+    "submission_portal struct<name:string,official_url:string,submission_status:string,submission_notice:string>, "
     "evidence_file struct<filename:string,size_bytes:long,sha256_digest:string,mime_type:string>, "
     "screening_verdict struct<final_decision:string,risk_level:string,composite_risk_score:double,tampering_score:double,recommended_action:string>, "
     "quality_gate struct<status:string,issues:array<string>,warnings:array<string>>, "
-    "forensic_tampering_findings struct<anomaly_zones_detected:int,forensic_flags:array<string>>, "
-    "extracted_ocr_data struct<is_readable:boolean,document_type:string,name:string,dob:string,doc_number_masked:string,"
+    f"forensic_tampering_findings struct<analysis_engine:string,anomaly_zones_detected:int,suspicious_regions:{REGION_TYPE},forensic_flags:array<string>>, "
+    "extracted_ocr_data struct<is_readable:boolean,confidence_score:double,document_type:string,name:string,dob:string,doc_number_masked:string,"
     "expiry_date:string,address:string,gender:string,raw_text_snippet:string>, "
-    "aadhaar_validation struct<status:string,masked_aadhaar:string,is_verhoeff_valid:boolean>, "
-    "mrz_validation_findings struct<mrz_detected:boolean,status:string,format:string,checksums_passed:boolean,"
-    "mrz_parsed_fields:map<string,string>>, "
-    "barcode_qr_findings struct<detected:boolean,status:string,format:string>, analyst_notes string"
+    f"aadhaar_validation struct<status:string,masked_aadhaar:string,is_verhoeff_valid:boolean,checks:{CHECKS}>, "
+    "mrz_validation_findings struct<mrz_detected:boolean,is_applicable:boolean,status:string,format:string,checksums_passed:boolean,"
+    "checksum_details:array<struct<name:string,field:string,data:string,expected:string,calculated:int,valid:boolean,description:string>>,mrz_parsed_fields:map<string,string>>, "
+    f"barcode_qr_findings struct<detected:boolean,status:string,format:string,cross_match_verdict:string,comparisons:{COMPARISON_TYPE}>, analyst_notes string"
 )
 OCR_RESULT_SCHEMA = "doc_id long, lines array<struct<text:string,confidence:double,box:array<array<double>>>>"
 

@@ -1,18 +1,8 @@
-"""Reading tables so that every core has work."""
+"""Reading tables."""
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer splits than the session has cores.
-
-    Only files too small to occupy the cluster are moved; a scan of many splits is returned
-    as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
-    return spread(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df

@@ -1,24 +1,36 @@
 """Writers for verification history and dossiers."""
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docuvet.operators.history import upsert
+from docuvet.operators.history import BUCKET, owner_bucket, upsert
 
 
-def write_verifications(records: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """History by decision. With dynamic partition overwrite only the written decisions are replaced."""
-    records.write.mode(mode).partitionBy("final_decision").parquet(path)
+def write_verifications(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A whole history, in folders by a hash of the owner, so that reading one tenant reads one folder."""
+    records.withColumn(BUCKET, owner_bucket(F.col("owner_id"))).write.mode(mode).partitionBy(BUCKET).parquet(path)
 
 
-def publish_upsert(existing: DataFrame, batch: DataFrame, path: str, version: int, order=("timestamp", "version")) -> str:
-    """Write the merged history as a new version beside the old one and return its folder.
+def merge_verifications(spark: SparkSession, batch: DataFrame, path: str, order=("timestamp", "version")) -> None:
+    """Merge a batch into a stored history; only the folders of the batch's owners are written anew.
 
-    Readers switch to the new folder when it is complete, so a lost job leaves the old one whole.
+    A case lies in its owner's folder and nowhere else, whatever its decision, so it stays single. The merged folders are written
+    beside the history first and replace the old ones after that; if the job is lost meanwhile, running it again repairs it.
     """
-    target = f"{path}/v={version}"
-    write_verifications(upsert(existing, batch, order), target, mode="errorifexists")
-    return target
+    batch = batch.withColumn(BUCKET, owner_bucket(F.col("owner_id")))
+    # At most one number per folder.
+    touched = sorted(r[0] for r in batch.select(BUCKET).distinct().collect())
+    if not touched:
+        return
+    stored = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched))
+    merged = upsert(stored, batch.select(*stored.columns), order)
+    beside = f"{path.rstrip('/')}/_merging-{uuid.uuid4().hex}"
+    merged.write.parquet(beside)
+    spark.read.schema(merged.schema).parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def dossier_json(dossiers: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Reading and writing of history, users, dossiers, evidence and text lines."""
 
+import datetime
 import hashlib
 import json
 
 from pyspark.sql import functions as F
 
+from docuvet.operators import history
 from docuvet.sources import readers, writers
-from docuvet.sources.tables import spread
 
 
 def test_users_without_secrets(spark, tmp_path):
@@ -24,14 +25,50 @@ def test_verifications_round_trip(spark, tmp_path):
     (tmp_path / "v.json").write_text(json.dumps([record, record | {"case_id": "C2", "final_decision": "HIGH RISK"}]))
     df = readers.read_verifications(spark, str(tmp_path / "v.json"))
     assert df.filter("case_id = 'C1'").select(F.date_format("recorded_at", "yyyyMMddHH"), "ocr_fields.docNumber").first()[:] == ("2026083110", "D")
-    df = df.withColumn("version", F.lit(1))
-    writers.write_verifications(df, str(tmp_path / "out"))
-    stored = spark.read.parquet(str(tmp_path / "out"))
-    assert stored.filter("final_decision = 'HIGH RISK'").count() == 1
-    batch = df.filter("case_id = 'C1'").withColumns({"version": F.lit(2), "final_decision": F.lit("SUSPICIOUS")})
-    target = writers.publish_upsert(stored.select(df.columns), batch, str(tmp_path / "h"), 2)
-    merged = {r.case_id: r.final_decision for r in spark.read.parquet(target).collect()}
-    assert merged == {"C1": "SUSPICIOUS", "C2": "HIGH RISK"}
+
+
+def stored_history(spark, path):
+    return sorted((r.owner_id, r.case_id, r.final_decision) for r in spark.read.parquet(path).collect())
+
+
+def test_history_keeps_every_case_once(spark, tmp_path):
+    path = str(tmp_path / "history")
+    day = lambda n: datetime.datetime(2026, 8, n)
+    frame = lambda *rows: spark.createDataFrame(rows, "owner_id string, case_id string, final_decision string, timestamp timestamp, version int")
+    writers.write_verifications(frame(("U1", "C1", "VERIFIED", day(1), 1), ("U1", "C2", "HIGH RISK", day(1), 1), ("U2", "C9", "VERIFIED", day(1), 1)), path)
+    writers.merge_verifications(spark, frame(("U1", "C3", "HIGH RISK", day(2), 1)), path)
+    assert stored_history(spark, path) == [("U1", "C1", "VERIFIED"), ("U1", "C2", "HIGH RISK"), ("U1", "C3", "HIGH RISK"), ("U2", "C9", "VERIFIED")]
+    again = frame(("U1", "C1", "SUSPICIOUS", day(3), 2), ("U1", "C1", "VERIFIED", day(2), 2), ("U2", "C1", "VERIFIED", day(3), 1))
+    writers.merge_verifications(spark, again, path)
+    want = [("U1", "C1", "SUSPICIOUS"), ("U1", "C2", "HIGH RISK"), ("U1", "C3", "HIGH RISK"), ("U2", "C1", "VERIFIED"), ("U2", "C9", "VERIFIED")]
+    assert stored_history(spark, path) == want
+    writers.merge_verifications(spark, again.filter("false"), path)
+    assert stored_history(spark, path) == want
+    one = history.tenant_history(spark.read.parquet(path), "U2")
+    assert sorted(r.case_id for r in one.collect()) == ["C1", "C9"]
+    assert "PartitionFilters: [isnotnull(owner_bucket" in one._jdf.queryExecution().toString()
+    newest = history.lookup_case(spark.read.parquet(path), "C1", role="ADMIN").first()
+    assert (newest.owner_id, newest.final_decision) in {("U1", "SUSPICIOUS"), ("U2", "VERIFIED")} and newest.timestamp == day(3)
+    assert history.lookup_case(spark.read.parquet(path), "C2", "U2").count() == 0
+
+
+def test_submissions_as_they_are_posted(spark, tmp_path):
+    posted = [
+        {"case_id": "N1", "user_id": "U1", "applicant_name": "Given Name", "final_decision": "VERIFIED", "overall_risk_score": 0.0, "liveness_passed": False, "face_similarity": 91.5,
+         "doc_data": {"documentType": "PASSPORT", "evidenceSha256": "ab", "suspiciousReasons": ["r"], "ocr": {"fields": {"name": "Read Name", "docNumber": "D7"}}}},
+        {"caseId": "N2", "applicant_name": "Given Name", "doc_data": {"document_type": "VOTER_ID", "ocr": {"fields": {"name": ""}}}},
+    ]
+    (tmp_path / "p.json").write_text("\n".join(map(json.dumps, posted)))
+    users = spark.createDataFrame([("U1", "u@example.org", "ORGANISATION")], "id string, email string, role string")
+    rows = history.project_verification_record(history.normalize_keys(spark.read.json(str(tmp_path / "p.json"))), users)
+    one, two = rows.orderBy("case_id").collect()
+    assert (one.case_id, one.owner_id, one.applicant_name, one.document_type, one.evidence_sha256, one.reasons) == ("N1", "U1", "Read Name", "PASSPORT", "ab", ["r"])
+    assert (float(one.overall_risk_score), one.liveness_passed, float(one.face_similarity), one.ocr_fields.doc_number) == (0.0, False, 91.5, "D7")
+    assert (two.case_id, two.owner_id, two.applicant_name, two.document_type, two.final_decision) == ("N2", "ANONYMOUS", "Given Name", "VOTER_ID", "VERIFIED")
+    assert (float(two.overall_risk_score), two.liveness_passed, float(two.face_similarity), two.reasons) == (5.0, True, 95.0, [])
+    shown = spark.createDataFrame([("A", None, "", "x", "F")], "name string, doc_number string, dob string, address string, gender string")
+    assert [(f.field, f.value, f.is_consistent) for f in shown.select(history.display_fields()).first()[0]][:3] == [
+        ("Applicant Name", "A", True), ("Document ID", "Not confidently detected", False), ("Date of Birth", "Not confidently detected", False)]
 
 
 def test_dossiers_of_both_generations(spark, tmp_path):
@@ -57,10 +94,3 @@ def test_ocr_lines(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps(doc))
     rows = readers.read_ocr_lines(spark, str(tmp_path / "r.json")).collect()
     assert [(r.line_no, r.text) for r in sorted(rows, key=lambda r: r.line_no)] == [(0, "A"), (2, "B")]
-
-
-def test_spread_moves_only_small_scans(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == cores
-    wide = spark.range(0, 100, 1, cores * 2)
-    assert spread(wide) is wide
