@@ -93,22 +93,13 @@ def _linked(table: pa.Table, threshold: float) -> pa.Table:
     if low != high:
         near &= block[:, None] != block
     label = _spanning(near)
-    # A pair that also shares a leaf of a smaller number is counted there.
-    lists = table["leaves"].to_pylist()
-    earlier = np.full((len(ids), max(1, max(sum(x < leaf for x in row) for row in lists))), -1, np.int64)
-    for n, row in enumerate(lists):
-        before = [x for x in row if x < leaf]
-        earlier[n, : len(before)] = before
-    i, j = np.nonzero(np.triu(near, 1))
-    links = np.zeros(len(ids), np.int64)
-    for at in range(0, len(i), 20_000):
-        a, b = i[at : at + 20_000], j[at : at + 20_000]
-        known = np.zeros(len(a), bool)
-        for n in range(earlier.shape[1]):
-            mine = earlier[a, n]
-            known |= (mine >= 0) & (earlier[b] == mine[:, None]).any(1)
-        a, b = a[~known], b[~known]
-        links += np.bincount(a, size[b], len(ids)).astype(np.int64) + np.bincount(b, size[a], len(ids)).astype(np.int64)
+    # A pair that also shares a leaf of a smaller number is counted there: a product of membership matrices tells.
+    earlier = [[x for x in row if x < leaf] for row in table["leaves"].to_pylist()]
+    numbers = {x: n for n, x in enumerate(sorted({x for row in earlier for x in row}))}
+    member = np.zeros((len(ids), max(1, len(numbers))), np.float32)
+    for n, row in enumerate(earlier):
+        member[n, [numbers[x] for x in row]] = 1
+    links = ((near & (member @ member.T == 0)) @ size.astype(np.float64)).astype(np.int64)
     far = np.flatnonzero(label != np.arange(len(ids)))
     some = np.flatnonzero(links)
     return pa.table({
