@@ -77,12 +77,31 @@ def turn_table(params: LivenessParams = LivenessParams()) -> np.ndarray:
     return table
 
 
-def compose(symbols, following: np.ndarray, gains: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """End state and total gain of a chunk of frames for every possible start state."""
-    state = np.arange(following.shape[1])
-    total = np.zeros_like(state)
-    for symbol in symbols:
-        if gains is not None:
-            total = total + gains[symbol][state]
-        state = following[symbol][state]
-    return state, total
+def compose_segments(
+    segment: np.ndarray, segments: int, symbols: np.ndarray, following: np.ndarray, gains: np.ndarray | None, idle: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """End state and total gain for every possible start state, of each run of frames.
+
+    ``segment`` numbers the run of each frame, in order; ``idle`` is the symbol that changes nothing. Effects of neighbouring
+    frames are joined two by two in all runs at once, so a run of n frames takes log2(n) rounds.
+    """
+    states = following.shape[1]
+    active = symbols != idle
+    segment, ends = segment[active], following[symbols[active]]
+    total = np.zeros_like(ends) if gains is None else gains[symbols[active]]
+    while True:
+        same = segment[1:] == segment[:-1]
+        if not same.any():
+            break
+        index = np.arange(len(segment))
+        begins = np.maximum.accumulate(np.where(np.append(True, ~same), index, 0))
+        first = np.flatnonzero(((index - begins) % 2 == 0) & np.append(same, False))
+        after = first + 1
+        total[first] += np.take_along_axis(total[after], ends[first], 1)
+        ends[first] = np.take_along_axis(ends[after], ends[first], 1)
+        kept = np.ones(len(segment), bool)
+        kept[after] = False
+        segment, ends, total = segment[kept], ends[kept], total[kept]
+    all_ends, all_totals = np.tile(np.arange(states), (segments, 1)), np.zeros((segments, states), np.int64)
+    all_ends[segment], all_totals[segment] = ends, total
+    return all_ends, all_totals

@@ -1,11 +1,15 @@
 """Liveness challenges over recorded camera frames.
 
 Blink and turn challenges depend on the order of frames, but their rules form small finite
-machines. Every chunk of a session is reduced to its effect on each possible start state, in
-parallel; the effects of a session's chunks are then chained. No session is gathered whole.
+machines. Frames are dealt by ranges of session and time, every partition is reduced to its effect on each possible
+start state, and a session's effects, one a partition, are chained. No session is gathered whole.
 """
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,61 +124,84 @@ def frame_symbols(frames: DataFrame, chunk_seconds: int, params: LivenessParams
     )
 
 
-def _composer(following, gains=None):
-    @F.pandas_udf("ends array<int>, gains array<int>")
-    def chunk_effect(symbols: pd.Series) -> pd.DataFrame:
-        effects = [bt.compose(s, following, gains) for s in symbols]
-        return pd.DataFrame({"ends": [e.tolist() for e, _ in effects], "gains": [g.tolist() for _, g in effects]})
+EFFECTS = ("blink", "gain", "left", "right")
 
-    return chunk_effect
 
+def frame_effects(symbols: DataFrame, params: LivenessParams = LivenessParams()) -> DataFrame:
+    """Effect of consecutive frames on each possible state of the three machines: one row per session and partition.
 
-def _chain(column: str) -> Column:
-    """Run the ordered chunk effects of a session from state 0; gives end state and total gain."""
-    start = F.struct(F.lit(0).alias("state"), F.lit(0).alias("gain"))
-    return F.aggregate(
-        F.transform(F.sort_array(F.collect_list(F.struct("chunk", column))), lambda c: c[column]),
-        start,
-        lambda acc, c: F.struct(
-            F.get(c["ends"], acc["state"]).alias("state"), (acc["gain"] + F.get(c["gains"], acc["state"])).alias("gain")
-        ),
-    )
+    Frames are dealt by ranges of (session, time, frame), so a session of any length spreads over partitions; each partition
+    joins the effects of its frames batch by batch and keeps one row per session.
+    """
+    following, gains = bt.blink_tables(params)
+    turning = bt.turn_table(params)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = pc.fill_null(batch.column(0).dictionary_encode().indices, -1).to_numpy()
+            changed = np.append(True, codes[1:] != codes[:-1])
+            segment, first = np.cumsum(changed) - 1, np.flatnonzero(changed)
+            blink, left, right = (batch.column(i).to_numpy() for i in (3, 4, 5))
+            found = bt.compose_segments(segment, len(first), blink, following, gains, bt.NO_CHANGE)
+            sides = [bt.compose_segments(segment, len(first), s, turning, None, bt.TURN_NONE)[0] for s in (left, right)]
+            effects = [found[0], found[1], *sides]
+            rows = batch.take(pa.array(first)).select([0, 1, 2])
+            if held is not None:
+                if held[0].column(0)[0].as_py() == rows.column(0)[0].as_py():
+                    before = held[1]
+                    effects[1][0] = before[1] + effects[1][0][before[0]]
+                    for i in (0, 2, 3):
+                        effects[i][0] = effects[i][0][before[i]]
+                    rows = pa.concat_batches([held[0], rows.slice(1)])
+                else:
+                    yield packed(held[0], [e[None, :] for e in held[1]])
+            if len(rows) > 1:
+                yield packed(rows.slice(0, len(rows) - 1), [e[:-1] for e in effects])
+            held = rows.slice(len(rows) - 1), [e[-1].copy() for e in effects]
+        if held is not None:
+            yield packed(held[0], [e[None, :] for e in held[1]])
+
+    def packed(rows: pa.RecordBatch, effects: list[np.ndarray]) -> pa.RecordBatch:
+        lists = [pa.array(list(e.astype(np.int32)), pa.list_(pa.int32())) for e in effects]
+        return pa.RecordBatch.from_arrays([*rows.columns, *lists], names=[KEY, *ORDER, *EFFECTS])
+
+    kinds = dict(symbols.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in (KEY, *ORDER)], *[f"{c} array<int>" for c in EFFECTS]])
+    ordered = symbols.select(KEY, *ORDER, *[F.col(c).cast("int") for c in ("blink", "left", "right")])
+    return ordered.repartitionByRange(KEY, *ORDER).sortWithinPartitions(KEY, *ORDER).mapInArrow(run, schema)
 
 
 def session_summary(frames: DataFrame, chunk_seconds: int = 60, params: LivenessParams = LivenessParams()) -> DataFrame:
     """Challenges passed, blinks and last state per session.
 
-    A chunk is gathered as the frames of one session in ``chunk_seconds``; a session as one
-    row per chunk.
+    The effects of a session's partitions, one row each, are chained from the first state. ``chunk_seconds`` bounds the windows
+    that carry earlier values to a frame.
     """
     symbols = frame_symbols(frames, chunk_seconds, params)
-    ordered = F.sort_array(F.collect_list(F.struct(*ORDER, "blink", "left", "right")))
     seen = F.col("face_count") < 2
-    chunks = symbols.groupBy(KEY, "chunk").agg(
-        ordered.alias("f"), F.count("*").alias("frames"), F.max("calibrated").alias("calibrated"),
-        F.max(F.when(seen, F.struct(*ORDER, "face_count"))).alias("last_seen"),
-    )
-    following, gains = bt.blink_tables(params)
-    turn = _composer(bt.turn_table(params))
-    effects = chunks.select(
-        KEY, "chunk", "frames", "calibrated", "last_seen",
-        _composer(following, gains)(F.col("f.blink")).alias("blink"),
-        turn(F.col("f.left")).alias("left"), turn(F.col("f.right")).alias("right"),
-    )
-    sessions = effects.groupBy(KEY).agg(
-        F.sum("frames").alias("frames"), F.max("calibrated").alias("calibrated"), F.max("last_seen").alias("last_seen"),
-        _chain("blink").alias("blink"), _chain("left").alias("left"), _chain("right").alias("right"),
+    counted = symbols.groupBy(KEY).agg(
+        F.count("*").alias("frames"), F.max("calibrated").alias("calibrated"), F.max(F.when(seen, F.struct(*ORDER, "face_count"))).alias("last_seen")
     )
+    parts = F.sort_array(F.collect_list(F.struct(*ORDER, *EFFECTS)))
+    start = F.struct(*[F.lit(0).alias(c) for c in EFFECTS])
+    chained = F.aggregate(parts, start, lambda acc, e: F.struct(
+        F.get(e["blink"], acc["blink"]).alias("blink"), (acc["gain"] + F.get(e["gain"], acc["blink"])).alias("gain"),
+        F.get(e["left"], acc["left"]).alias("left"), F.get(e["right"], acc["right"]).alias("right"),
+    ))
+    ends = frame_effects(symbols, params).groupBy(KEY).agg(chained.alias("end"))
     names = F.array(*[F.lit(name) for name, _ in bt.blink_states(params)])
     uncalibrated = F.when(F.col("last_seen.face_count") == 1, "CALIBRATING").otherwise(bt.LOST)
     passed = {
-        "blink_passed": F.col("blink.gain") >= params.blinks,
-        "left_passed": F.col("left.state") == params.turn_frames,
-        "right_passed": F.col("right.state") == params.turn_frames,
+        "blink_passed": F.col("end.gain") >= params.blinks,
+        "left_passed": F.col("end.left") == params.turn_frames,
+        "right_passed": F.col("end.right") == params.turn_frames,
     }
-    return sessions.select(
-        KEY, "frames", F.col("blink.gain").alias("blink_count"), *[c.alias(n) for n, c in passed.items()],
-        F.when(F.col("calibrated"), F.get(names, F.col("blink.state"))).otherwise(uncalibrated).alias("last_state"),
+    return counted.join(ends.withColumnRenamed(KEY, "_key"), F.col(KEY).eqNullSafe(F.col("_key"))).select(
+        KEY, "frames", F.col("end.gain").cast("long").alias("blink_count"), *[c.alias(n) for n, c in passed.items()],
+        F.when(F.col("calibrated"), F.get(names, F.col("end.blink"))).otherwise(uncalibrated).alias("last_state"),
     ).withColumn("all_passed", F.col("blink_passed") & F.col("left_passed") & F.col("right_passed"))
 
 

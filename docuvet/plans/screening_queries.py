@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docuvet.operators import dossier, evaluation, mrz, risk, screening, validation
+from docuvet.operators import dossier, evaluation, history, mrz, risk, screening, validation
 from docuvet.operators.quality import exact_percentiles
 from docuvet.plans.derive import _MODULE_RESULTS
 from docuvet.plans.document_queries import SPACES, id_docs, ocr_lines, strip_sql
@@ -240,3 +240,74 @@ def evidence_long(t):
 SELECT doc_id, field_name, min(value) FILTER (source = 'OCR') AS "OCR", min(value) FILTER (source = 'MRZ') AS "MRZ", min(value) FILTER (source = 'QR') AS "QR" FROM ({_LONG}) GROUP BY 1, 2""")
 def fields_by_source(t):
     return evaluation.fields_by_source(evaluation.evidence_long(merged_sources(t)))
+
+
+# --- Shared evidence, splits, training rows, printed reports --------------------------------------------
+_EVIDENCE = """(SELECT o_orderkey AS case_id, o_custkey AS owner_id, o_orderdate AS timestamp, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE sha256(CAST(o_custkey % 2 AS VARCHAR) || ':' || CAST(o_orderdate AS VARCHAR)) END AS evidence_sha256 FROM orders)"""
+
+
+def evidence_of(t):
+    """Each day's cases of customers with the same last bit share a file."""
+    text = F.concat((F.col("o_custkey") % 2).cast("string"), F.lit(":"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    return t.orders.select(
+        F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("owner_id"), F.col("o_orderdate").alias("timestamp"),
+        F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.sha2(text.cast("binary"), 256)).alias("evidence_sha256"),
+    )
+
+
+@query("shared_evidence", f"""
+WITH c AS (SELECT evidence_sha256, owner_id, case_id, min(timestamp) AS first_at FROM {_EVIDENCE} WHERE evidence_sha256 <> '' GROUP BY 1, 2, 3)
+SELECT evidence_sha256, count(DISTINCT owner_id) AS owners, count(*) AS cases, arg_min(owner_id, struct_pack(a := first_at, b := owner_id)) AS first_owner
+FROM c GROUP BY 1 HAVING count(DISTINCT owner_id) > 1""")
+def shared_evidence(t):
+    return evaluation.shared_evidence(evidence_of(t))
+
+
+@query("split_documents")
+def split_documents(t):
+    rows = evaluation.split_documents(t.documents.join(t.labels, "doc_id"), "doc_id")
+    return rows.groupBy("split", "toxic").agg(F.count("*").alias("documents"))
+
+
+@query("split_leaks", f"""
+SELECT evidence_sha256, min(split) AS first, max(split) AS last, count(*) AS rows
+FROM (SELECT *, CASE WHEN owner_id % 10 < 7 THEN 'TRAIN' WHEN owner_id % 10 < 9 THEN 'VALIDATION' ELSE 'TEST' END AS split FROM {_EVIDENCE}) GROUP BY 1 HAVING min(split) <> max(split)""")
+def split_leaks(t):
+    place = F.col("owner_id") % 10
+    split = F.when(place < 7, "TRAIN").when(place < 9, "VALIDATION").otherwise("TEST")
+    return evaluation.split_leaks(evidence_of(t).withColumn("split", split), "evidence_sha256")
+
+
+@query("training_rows", """
+WITH latest AS (SELECT case_id, arg_max(action, struct_pack(a := acted_at, b := override_id, c := action)) AS label FROM <overrides> GROUP BY 1)
+SELECT label, count(*) AS rows FROM <case_truth> JOIN latest USING (case_id) GROUP BY 1""")
+def training_rows(t):
+    rows = evaluation.training_rows(t.case_truth, t.overrides)
+    return rows.groupBy("label").agg(F.count("*").alias("rows"))
+
+
+@query("printed_reasons", f"""
+SELECT case_id, len(r[1:5]) AS printed, array_to_string(r[1:5], ' | ') AS reasons FROM (SELECT image_id AS case_id, string_split(reasons, ' | ') AS r FROM ({_SCREEN} SELECT * FROM verd))""")
+def printed_reasons(t):
+    reasons = dossier.printed_reasons(F.col("reasons"))
+    return screened(t).select("case_id", F.size(reasons).cast("long").alias("printed"), F.array_join(reasons, " | ").alias("reasons"))
+
+
+@query("top_contributions", """
+SELECT case_id, array_to_string(list_transform(list_reverse(list_sort([struct_pack(v := CAST(tampering_score AS DOUBLE), n := 'tampering'), struct_pack(v := CAST(100 - similarity AS DOUBLE), n := 'face'),
+  struct_pack(v := CASE WHEN liveness_passed THEN 0.0 ELSE 50.0 END::DOUBLE, n := 'liveness')]))[1:2], lambda x: x.n), ',') AS top FROM <signals>""")
+def top_contributions(t):
+    values = F.array(
+        F.col("tampering_score").cast("double"), (F.lit(100) - F.col("similarity")).cast("double"),
+        F.when(F.col("liveness_passed"), 0.0).otherwise(50.0),
+    )
+    return t.signals.select("case_id", F.array_join(evaluation.top_contributions(["tampering", "face", "liveness"], values, 2), ",").alias("top"))
+
+
+@query("display_fields", """
+SELECT doc_id, 'Applicant Name' AS field, CASE WHEN doc_id % 3 = 0 THEN 'Not confidently detected' ELSE 'N' || CAST(doc_id AS VARCHAR) END AS value, doc_id % 3 <> 0 AS is_consistent FROM <mrz_parts>
+UNION ALL SELECT doc_id, f, 'Not confidently detected', false FROM <mrz_parts>, (SELECT unnest(['Document ID', 'Date of Birth', 'Address', 'Gender']) AS f)""")
+def display_fields(t):
+    empty = {c: F.lit("") for c in ("doc_number", "dob", "address", "gender")}
+    named = t.mrz_parts.select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("N"), F.col("doc_id").cast("string"))).alias("name"))
+    return named.withColumns(empty).select("doc_id", F.inline(history.display_fields()))
