@@ -43,19 +43,21 @@ def _searches() -> dict[str, Column]:
     birth = ("DOB", "D.O.B", "D0B", "BIRTH", "BORN", "YOB", "जन्म")
     name = ("NAME", "नाम", "NOM")
     text, upper = F.col("raw_text"), F.col("upper_text")
+    # All numbers and bare dates hold a digit; one search for any spares the texts without.
+    numbered = lambda column, pattern: F.when(F.col("has_digit"), F.regexp_extract(column, pattern, 1))
     found = {f"dob_{i}": _labelled(birth, p) for i, p in enumerate(fixed.DOB_PATTERNS[:3])}
-    found |= {f"dob_{i + 3}": F.regexp_extract(text, p, 1) for i, p in enumerate(fixed.DOB_PATTERNS[3:])}
+    found |= {f"dob_{i + 3}": numbered(text, p) for i, p in enumerate(fixed.DOB_PATTERNS[3:])}
     found |= {f"exp_{i}": _labelled(("EXP", "VALID"), p) for i, p in enumerate(fixed.EXPIRY_PATTERNS)}
     found |= {f"iss_{i}": _labelled(("ISSUE", "DOI"), p) for i, p in enumerate(fixed.ISSUE_PATTERNS)}
     found |= {f"name_{i}": _labelled(name, p) for i, p in enumerate(fixed.NAME_PATTERNS)}
     found["sex_0"] = _labelled(("SEX", "GENDER", "लिंग"), fixed.GENDER_PATTERN)
     found["nat_0"] = _labelled(("NATIONALITY", "CITIZENSHIP", "राष्ट्रीयता"), fixed.NATIONALITY_PATTERN)
     found["adr_0"] = _labelled(("ADDR", "RESIDENCE", "पता", "/O"), fixed.ADDRESS_PATTERN)
-    found["pin_0"] = F.regexp_extract(text, fixed.PIN_CODE, 1)
-    found["num_0"] = F.regexp_extract(text, fixed.AADHAAR_SPACED, 1)
-    found["num_1"] = F.regexp_extract(upper, fixed.PAN_NUMBER, 1)
+    found["pin_0"] = numbered(text, fixed.PIN_CODE)
+    found["num_0"] = numbered(text, fixed.AADHAAR_SPACED)
+    found["num_1"] = numbered(upper, fixed.PAN_NUMBER)
     found["num_2"] = F.when(upper.contains("PASSPORT"), F.regexp_extract(upper, fixed.PASSPORT_NUMBER, 1))
-    found["num_3"] = F.regexp_extract(upper, fixed.LICENSE_NUMBER, 1)
+    found["num_3"] = numbered(upper, fixed.LICENSE_NUMBER)
     return found
 
 
@@ -106,13 +108,14 @@ def extract_name(compat: bool = False) -> Column:
     """Labelled name, else the nearest plausible line above the birth date, else one of the first lines."""
 
     def plausible(line: Column, pattern: str | None = None) -> Column:
-        ok = ~stop_word_line(line, compat)
-        return ok & line.rlike(pattern) if pattern else ok & (F.length(line) >= 3)
+        # The cheap test of the line's form comes first; few lines go on to the search for stop words.
+        return (line.rlike(pattern) if pattern else F.length(line) >= 3) & ~stop_word_line(line, compat)
 
     raw = F.array_compact(F.array(*[non_empty(F.col(f"name_{i}")) for i in range(3)]))
     labelled = F.get(F.filter(F.transform(raw, _name_candidate), lambda line: plausible(line)), 0)
     is_dob_line = F.transform("lines", lambda line: contains_any(F.upper(line), fixed.DOB_LINE_WORDS))
-    anchor = F.coalesce(F.array_position(is_dob_line, True), F.lit(0)).cast("int")
+    anchored = F.when(contains_any(F.col("upper_text"), fixed.DOB_LINE_WORDS), F.array_position(is_dob_line, True))
+    anchor = F.coalesce(anchored, F.lit(0)).cast("int")
     above = F.reverse(F.slice("lines", F.lit(1), F.greatest(anchor - 1, F.lit(0))))
     nearest = F.get(F.filter(above, lambda line: plausible(line, fixed.NAME_LINE_ABOVE)), 0)
     top = F.slice("lines", 1, fixed.NAME_SEARCH_LINES)
@@ -157,7 +160,9 @@ def extract_fields(docs: DataFrame, compat: bool = False, older_numbers: bool =
     earlier number rules (a labelled number, then two letters and 9 to 13 digits).
     """
     keep = docs.columns
-    df = docs.withColumn("raw_text", F.array_join("lines", "\n")).withColumn("upper_text", F.upper("raw_text"))
+    df = docs.withColumn("raw_text", F.array_join("lines", "\n")).withColumns(
+        {"upper_text": F.upper("raw_text"), "has_digit": F.col("raw_text").rlike("[0-9]")}
+    )
     searches = list(_searches().items())
     for start in range(0, len(searches), 6):
         df = df.withColumns(dict(searches[start:start + 6]))
@@ -193,7 +198,7 @@ def extract_fields(docs: DataFrame, compat: bool = False, older_numbers: bool =
             "masked_doc_number": mask_doc_number(F.col("doc_number")),
         }
     )
-    passed_through = [c for c in keep if c not in FIELDS and c not in ("raw_text", "upper_text", "dob_precision")]
+    passed_through = [c for c in keep if c not in FIELDS and c not in ("raw_text", "upper_text", "has_digit", "dob_precision")]
     return compute_once(df.select(*passed_through, "raw_text", "upper_text", *FIELDS, "dob_precision"))
 
 
