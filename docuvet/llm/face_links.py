@@ -18,6 +18,8 @@ TREES, LEAF, BLOCK, SAMPLE = 5, 400, 512, 20_000
 OVERLAP = 0.24
 #: A node of fewer sampled faces is not split.
 LEAST_SAMPLE = 40
+#: A leaf of more faces is split further, by so many directions at a time.
+LARGE, CUTS = 3_200, 3
 
 
 class Tree:
@@ -64,13 +66,60 @@ class Tree:
         return out
 
 
-def _unit(vectors: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width))
-    common = min(width, vectors.shape[1])
-    out[:, :common] = (vectors / np.sqrt((vectors**2).sum(1))[:, None])[:, :common]
+def _unit_rows(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors of an Arrow column at unit length, cut or filled with zeros to one width."""
+    out = np.zeros((len(column), width))
+    for row, vector in zip(out, column.to_pylist(), strict=True):
+        whole = np.array(vector)
+        row[: len(whole)] = (whole / np.sqrt((whole**2).sum()))[:width]
     return out
 
 
+def _split_large(nodes: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """Split leaves that the sample left too large, again and again: rows of (face_key, leaf) in, smaller leaves out.
+
+    A large leaf is cut by three random directions of its own at the medians of its faces, which Spark estimates per leaf, so
+    the depth of the forest follows the number of faces and no model of it is ever gathered. Faces near a median go to both
+    sides. Leaves that a round does not make smaller, as where very many faces are nearly alike, stay as they are.
+    """
+    overlap = F.lit(OVERLAP / math.sqrt(width))
+    done = None
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit, leaf = _unit_rows(batch.column(2), width), batch.column(1).to_numpy()
+            at = np.zeros((len(batch), CUTS))
+            for one in np.unique(leaf):
+                inside = leaf == one
+                directions = np.random.default_rng([55, int(one) & (2**63 - 1)]).normal(size=(width, CUTS))
+                at[inside] = unit[inside] @ (directions / np.sqrt((directions**2).sum(0)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(at), pa.list_(pa.float64()))], names=["face_key", "leaf", "at"])
+
+    while True:
+        counts = nodes.groupBy("leaf").agg(F.count("*").alias("faces"))
+        large = stored(counts.filter(F.col("faces") > LARGE), "large")
+        if large.isEmpty():
+            return nodes if done is None else done.unionByName(nodes)
+        small = nodes.join(large.select("leaf"), "leaf", "left_anti").select("face_key", "leaf")
+        inside = nodes.join(large, "leaf").join(classes.select("face_key", "selfie_embedding"), "face_key")
+        at = stored(inside.select("face_key", "leaf", "selfie_embedding").mapInArrow(projected, "face_key binary, leaf long, at array<double>"), "cuts")
+        middle = at.groupBy("leaf").agg(*[F.percentile_approx(F.col("at")[i], 0.5, 1000).alias(f"m{i}") for i in range(CUTS)])
+        sides = F.lit("")
+        cells = at.join(middle, "leaf").withColumn("cell", sides)
+        for i in range(CUTS):
+            below, above = F.col("at")[i] <= F.col(f"m{i}") + overlap, F.col("at")[i] >= F.col(f"m{i}") - overlap
+            side = F.explode(F.array_compact(F.array(F.when(below, F.lit("a")), F.when(above, F.lit("b")))))
+            cells = cells.withColumn("side", side).withColumn("cell", F.concat("cell", "side")).drop("side")
+        cells = stored(cells.select("face_key", F.col("leaf").alias("parent"), F.xxhash64("leaf", "cell").alias("leaf")), "cells")
+        grown = cells.groupBy("parent", "leaf").agg(F.count("*").alias("faces")).groupBy("parent").agg(F.max("faces").alias("most"))
+        stuck = grown.join(large, grown["parent"] == large["leaf"]).filter(F.col("most") > F.col("faces") * 0.8).select("parent")
+        kept = nodes.join(stuck.withColumnRenamed("parent", "leaf"), "leaf").select("face_key", "leaf")
+        smaller = cells.join(stuck, "parent", "left_anti").select("face_key", "leaf")
+        finished = stored(small.unionByName(kept), "leaves")
+        done = finished if done is None else done.unionByName(finished)
+        nodes = stored(smaller, "leaves")
+
+
 def _spanning(near: np.ndarray) -> np.ndarray:
     """Smallest position that each one reaches through a symmetric matrix."""
     label = np.arange(len(near))
@@ -113,7 +162,7 @@ def link_faces(faces: DataFrame, threshold: float = 0.95, trees: int = TREES, sa
 
     Returns one row per input row: case_id, n_links (other faces linked directly), component_id (smallest case_id reachable, itself
     included), kept (case_id = component_id). Equal vectors become one class first. The trees' splits are fitted on at most
-    ``sample`` classes, chosen by a hash; all classes pass through all trees and go to both sides of a near split, so a pair at the
+    ``sample`` classes, chosen by a hash, and leaves that stay large are split again by all their faces; all classes pass through all trees and go to both sides of a near split, so a pair at the
     threshold misses a leaf in a tree with a probability of about 0.06 (all five: under one in a million). Leaves of any size
     are compared in pairs of bounded blocks, in double precision; a pair that shares several leaves counts once; what leaves a
     block is counts and links that join, not pairs.
@@ -128,10 +177,11 @@ def link_faces(faces: DataFrame, threshold: float = 0.95, trees: int = TREES, sa
     members = stored(keyed.select("case_id", "vector_key").join(heads, "vector_key"), "heads")
     classes = stored(
         keyed.join(members.filter("case_id = head").select("case_id", "vector_key", "size").distinct(), ["case_id", "vector_key"])
-        .dropDuplicates(["vector_key"]).select("case_id", "size", "selfie_embedding"), "classes",
+        .dropDuplicates(["vector_key"])
+        .select(F.unhex(F.substring("vector_key", 1, 32)).alias("face_key"), "case_id", "size", "selfie_embedding"), "classes",
     )
     n = classes.count()
-    chosen = classes.orderBy(F.xxhash64("case_id"), "case_id").limit(sample).select("selfie_embedding").toArrow()["selfie_embedding"].to_pylist()
+    chosen = classes.orderBy("face_key").limit(sample).select("selfie_embedding").toArrow()["selfie_embedding"].to_pylist()
     width = max((len(v) for v in chosen), default=1)
     points = np.zeros((len(chosen), width))
     for row, vector in zip(points, chosen, strict=True):
@@ -140,18 +190,19 @@ def link_faces(faces: DataFrame, threshold: float = 0.95, trees: int = TREES, sa
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(2).to_pylist()
-            unit = np.vstack([_unit(np.array([v]), width) for v in vectors]) if vectors else np.zeros((0, width))
-            found: list[list[int]] = [[] for _ in vectors]
+            unit = _unit_rows(batch.column(1), width)
+            found: list[list[int]] = [[] for _ in range(len(batch))]
             for t, tree in enumerate(forest):
                 for leaf, inside in tree.leaves_of(unit):
                     for p in inside:
                         found[p].append((t << 32) + leaf)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=["case_id", "size", "selfie_embedding", "leaves"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["face_key", "leaves"])
 
-    placed = classes.mapInArrow(leaves, "case_id long, size long, selfie_embedding array<double>, leaves array<long>")
-    entries = placed.withColumn("length", F.size("selfie_embedding")).withColumn("leaf", F.explode("leaves"))
-    entries = stored(entries, "leaves")
+    placed = classes.select("face_key", "selfie_embedding").mapInArrow(leaves, "face_key binary, leaves array<long>")
+    nodes = _split_large(stored(placed.select("face_key", F.explode("leaves").alias("leaf")), "leaves"), classes, width)
+    lists = nodes.groupBy("face_key").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
+    entries = classes.join(lists, "face_key").drop("face_key").withColumn("length", F.size("selfie_embedding"))
+    entries = stored(entries.withColumn("leaf", F.explode("leaves")), "leaves")
     sizes = entries.groupBy("leaf", "length").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
     blocks = entries.join(sizes, ["leaf", "length"]).withColumn("_block", F.pmod(F.xxhash64("case_id"), F.col("_blocks")).cast("int"))
     blocks = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns(

@@ -26,11 +26,10 @@ def cosines(rows):
     return ok, {(i, j): float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))) for i, a in ok.items() for j, b in ok.items() if i != j and len(a) == len(b)}
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [{}, {"LEAF": 40, "BLOCK": 16}, {"LARGE": 60, "BLOCK": 16}])
 def test_links_match_brute_force(spark, faces, small, monkeypatch):
-    if small:  # many leaves, several blocks in a leaf
-        monkeypatch.setattr(face_links, "LEAF", 40)
-        monkeypatch.setattr(face_links, "BLOCK", 16)
+    for name, value in small.items():  # many leaves, several blocks in a leaf; leaves split again
+        monkeypatch.setattr(face_links, name, value)
     rows, df = faces
     _, cosine = cosines(rows)
     near = {p for p, c in cosine.items() if c >= 0.95}
