@@ -75,7 +75,7 @@ def face_pairs(portraits: DataFrame, selfies: DataFrame, order: tuple[str, ...]
 
     Both sides are reduced to one face first; the aggregation and the join share their key and so one exchange a side.
     """
-    pairs = one_face(portraits, order).join(one_face(selfies, order), "case_id")
+    pairs = one_face(portraits, order).drop(*order).join(one_face(selfies, order).drop(*order), "case_id")
     return pairs.withColumn("cosine", cosine_similarity(F.col("doc_embedding"), F.col("selfie_embedding"))).withColumn(
         "similarity", calibrate_similarity(F.col("cosine"))
     )

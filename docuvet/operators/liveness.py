@@ -217,12 +217,21 @@ def turn_holds(frames: DataFrame, chunk_seconds: int, params: TimedLivenessParam
     return stretches.withColumn("passed", F.col("held_ms") >= params.turn_hold_ms)
 
 
-def session_windows(frames: DataFrame, gap: str = "30 seconds") -> DataFrame:
-    """Attempts of a session, separated by pauses longer than the allowed time."""
-    window = F.session_window("ts", gap)
-    return frames.groupBy(KEY, window.alias("w")).agg(F.count("*").alias("frames")).select(
-        KEY, F.col("w.start").alias("started"), F.col("w.end").alias("expires"), "frames"
-    )
+def session_windows(frames: DataFrame, gap_seconds: int = 30) -> DataFrame:
+    """Attempts of a session, separated by pauses longer than the allowed time.
+
+    Frames of one stretch of ``gap_seconds`` always belong together, so they are joined on the map side first; only one row
+    per session and stretch is put in order.
+    """
+    stretch = F.floor(F.unix_micros("ts") / F.lit(gap_seconds * 1_000_000))
+    parts = frames.groupBy(KEY, stretch.alias("_stretch")).agg(F.count("*").alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"))
+    order = Window.partitionBy(KEY).orderBy("_stretch")
+    pause = F.unix_micros("low") - F.unix_micros(F.lag("high").over(order))
+    starts = (F.coalesce(pause, F.lit(2**62)) > gap_seconds * 1_000_000).cast("long")
+    numbered = parts.withColumn("_starts", starts).withColumn("_attempt", F.sum("_starts").over(order))
+    return numbered.groupBy(KEY, "_attempt").agg(
+        F.min("low").alias("started"), (F.max("high") + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("expires"), F.sum("n").alias("frames")
+    ).drop("_attempt")
 
 
 def next_challenge(current: Column) -> Column:

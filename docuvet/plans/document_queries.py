@@ -211,8 +211,8 @@ _DATE, _PRECISION = date_sql("printed")
 
 @query("normalize_dates", f"SELECT doc_id, {_DATE} AS iso, {_PRECISION} AS precision FROM <date_texts>")
 def normalize_dates(t):
-    printed = F.col("printed")
-    return t.date_texts.select("doc_id", text.normalize_date(printed).alias("iso"), text.date_precision(printed).alias("precision"))
+    parsed = t.date_texts.select("doc_id", "printed", text.parse_date(F.col("printed")).alias("p"))
+    return parsed.select("doc_id", F.coalesce("p.iso", F.nullif("printed", F.lit(""))).alias("iso"), F.col("p.precision").alias("precision"))
 
 
 @query("fix_ocr_digits", """

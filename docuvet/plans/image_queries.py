@@ -222,7 +222,11 @@ def pairs(t):
         "selfie_face_count": F.when(F.col("vec_id") % 14 == 0, 0).when(F.col("vec_id") % 14 == 2, 2).otherwise(1),
     })
     keys = ("case_id", "vec_id", "doc_face_count", "selfie_face_count", "doc_embedding")
-    return faces.face_pairs(both.select(*keys), both.select("case_id", "selfie_embedding"))
+    # A second selfie of every case comes later and is not the one that is compared.
+    selfies = both.select("case_id", F.lit(1).alias("seq"), "selfie_embedding").unionByName(
+        both.select("case_id", F.lit(2).alias("seq"), F.transform("doc_embedding", lambda x: x.cast("double")).alias("selfie_embedding"))
+    )
+    return faces.face_pairs(both.select(*keys, F.lit(1).alias("seq")), selfies, ("seq",))
 
 
 _COS = "list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b))"

@@ -84,7 +84,7 @@ b AS (SELECT *, sum(starts) OVER (PARTITION BY session_id ORDER BY ts, event_id)
 SELECT session_id, count(*) AS frames, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS expires FROM b GROUP BY session_id, attempt""")
 def session_windows(t):
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return liveness.session_windows(t.frames, "6 hours").select("session_id", "frames", shown("started"), shown("expires"))
+    return liveness.session_windows(t.frames, 6 * 3600).select("session_id", "frames", shown("started"), shown("expires"))
 
 
 @query("challenge_sequence", """

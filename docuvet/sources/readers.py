@@ -52,8 +52,14 @@ def read_verifications(spark: SparkSession, path: str, multiline: bool = True) -
     return df.withColumn("recorded_at", parse_timestamp(F.col("timestamp")))
 
 
-def read_users(spark: SparkSession, path: str) -> DataFrame:
-    """Users from JSON objects keyed by e-mail address, one row per user."""
+def read_users(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Users, one row each: from JSON objects keyed by e-mail address, or (``lines``) one user per line.
+
+    An object has to be parsed whole, so such a file is one row of one task; user bases that outgrow a task's memory come as
+    lines, which split.
+    """
+    if lines:
+        return spark.read.schema(USER_SCHEMA).json(path)
     layout = f"map<string,struct<{USER_SCHEMA.replace(' string', ':string')}>>"
     return (
         spark.read.text(path, wholetext=True)

@@ -6,7 +6,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from docuvet.operators import history
+from docuvet.operators import dossier, history
+from docuvet.plans.derive import Inputs
+from docuvet.plans.screening_queries import screened
 from docuvet.sources import readers, writers
 
 
@@ -17,6 +19,8 @@ def test_users_without_secrets(spark, tmp_path):
     df = readers.read_users(spark, str(tmp_path / "users.json"))
     assert not {"password_hash", "salt"} & set(df.columns)
     assert sorted((r.id, r.full_name, r.org_name) for r in df.collect()) == [("O1", None, "B"), ("U1", "A", None)]
+    (tmp_path / "users.jsonl").write_text("\n".join(map(json.dumps, people.values())))
+    assert sorted(readers.read_users(spark, str(tmp_path / "users.jsonl"), lines=True).collect()) == sorted(df.collect())
 
 
 def test_verifications_round_trip(spark, tmp_path):
@@ -83,6 +87,20 @@ def test_dossiers_of_both_generations(spark, tmp_path):
     assert sorted((r.case_id, r.screening_verdict.final_decision) for r in back.collect()) == [("D1", "VERIFIED"), ("D2", "HIGH RISK")]
 
 
+def test_written_dossiers_read_back_whole(spark, tmp_path):
+    """A full dossier, written and read, gives the same JSON: no key is lost on the way."""
+    cases = screened(Inputs(spark, "/root/testdata/sf0.001")).withColumns({
+        "generated_timestamp": F.lit("2026-01-01T00:00:00"), "size_bytes": F.lit(1), "evidence_sha256": F.lit("ab"), "analyst_notes": F.lit("n"),
+    })
+    built = dossier.case_dossier(cases).limit(30).persist()
+    writers.write_dossiers(built, str(tmp_path / "d"))
+    back = readers.read_dossiers(spark, str(tmp_path / "d"), multiline=False)
+    plain = lambda value: {k: plain(v) for k, v in value.items() if v is not None} if isinstance(value, dict) else [plain(v) for v in value] if isinstance(value, list) else value
+    read = lambda df: {d["case_id"]: plain(d) for d in (json.loads(r.value) for r in writers.dossier_json(df).collect())}
+    ours, theirs = read(built), read(back)
+    assert len(ours) == 30 and ours == theirs
+
+
 def test_evidence(spark, tmp_path):
     (tmp_path / "e.jpg").write_bytes(b"abc")
     row = readers.read_evidence(spark, str(tmp_path / "*.jpg")).first()
