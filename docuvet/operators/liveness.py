@@ -94,13 +94,15 @@ def frame_symbols(frames: DataFrame, chunk_seconds: int, params: LivenessParams
     timed = frames.withColumns(
         {"chunk": time_chunk(F.col("ts"), chunk_seconds), "ear_l": number("ear_l"), "ear_r": number("ear_r"), "yaw": number("yaw")}
     ).withColumn("ear", F.when(F.col("face_count") == 1, (F.col("ear_r") + F.col("ear_l")) / 2.0))
-    # The mean of the last two frames needs one earlier value, carried together with the rest.
-    rows = with_carried(
-        timed, KEY, ORDER, {"previous": "challenge", "ear_before": "ear"}, {"face_run": F.col("face_count") == 0}
-    ).withColumn("smoothed", F.coalesce((F.col("ear_before") + F.col("ear")) / 2.0, F.col("ear")))
-    if params.smooth_frames != 2:
-        longer = smoothed_ear(frames, chunk_seconds, params.smooth_frames).select(KEY, "event_id", "smoothed")
-        rows = rows.drop("smoothed").join(longer, [KEY, "event_id"], "left")
+    # Earlier values of frames with one face are carried, one pass for each that the mean needs; the first pass carries the rest too.
+    rows = with_carried(timed, KEY, ORDER, {"previous": "challenge", "ear_1": "ear"}, {"face_run": F.col("face_count") == 0})
+    for i in range(2, params.smooth_frames):
+        rows = with_carried(rows.withColumn("_own", F.when(F.col("ear").isNotNull(), F.col(f"ear_{i - 1}"))), KEY, ORDER, {f"ear_{i}": "_own"}).drop("_own")
+    values = ["ear", *[f"ear_{i}" for i in range(1, params.smooth_frames)]]
+    # Oldest first, as the mean of a short history is summed.
+    total = sum((F.coalesce(c, F.lit(0.0)) for c in reversed(values)), F.lit(0.0))
+    known = sum((F.col(c).isNotNull().cast("int") for c in values), F.lit(0))
+    rows = rows.withColumn("smoothed", F.when(F.col("ear").isNotNull(), total / known.cast("double"))).drop(*values[1:])
     rows = rows.join(baselines(rows, params), KEY, "left")
     active = F.coalesce(
         (F.col("face_count") == 1) & (F.struct(*ORDER) >= F.col("calibrated_at")), F.lit(False)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docuvet.operators import dossier, evaluation, history, mrz, risk, screening, validation
+from docuvet.operators import anomaly, dossier, evaluation, history, mrz, risk, screening, validation
 from docuvet.operators.quality import exact_percentiles
 from docuvet.plans.derive import _MODULE_RESULTS
 from docuvet.plans.document_queries import SPACES, id_docs, ocr_lines, strip_sql
@@ -311,3 +311,37 @@ def display_fields(t):
     empty = {c: F.lit("") for c in ("doc_number", "dob", "address", "gender")}
     named = t.mrz_parts.select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("N"), F.col("doc_id").cast("string"))).alias("name"))
     return named.withColumns(empty).select("doc_id", F.inline(history.display_fields()))
+
+
+# --- One-class anomaly score and learned fusion ----------------------------------------------------------
+_X = "CAST(ela_std AS DOUBLE) AS x, CAST(texture_std AS DOUBLE) AS y"
+_DISTANCE = f"""(WITH m AS (SELECT image_id, {_X}, barcode_status <> 'MISMATCH' AS genuine FROM <image_metrics>),
+g AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS vxy FROM m WHERE genuine)
+SELECT image_id, x, y, genuine, sqrt(greatest(0, ((x - mx) * (x - mx) * vy - 2 * (x - mx) * (y - my) * vxy + (y - my) * (y - my) * vx) / (vx * vy - vxy * vxy))) AS distance FROM m, g)"""
+
+
+def distances(t):
+    rows = t.image_metrics.select("image_id", "ela_std", "texture_std", (F.col("barcode_status") != "MISMATCH").alias("genuine"))
+    model = anomaly.fit_genuine(rows.filter("genuine"), ("ela_std", "texture_std"))
+    return rows.withColumn("distance", anomaly.anomaly_distance(model))
+
+
+@query("anomaly_scores", f"SELECT image_id, x AS ela, y AS texture, round(distance, 6) AS distance FROM {_DISTANCE}")
+def anomaly_scores(t):
+    return distances(t).select(
+        "image_id", F.col("ela_std").cast("double").alias("ela"), F.col("texture_std").cast("double").alias("texture"), F.round("distance", 6).alias("distance"))
+
+
+@query("anomaly_threshold", f"SELECT round(quantile_cont(distance, 0.95), 6) AS threshold FROM {_DISTANCE} WHERE genuine")
+def anomaly_threshold(t):
+    found = anomaly.learned_threshold(distances(t).filter("genuine"), "distance")
+    return found.select(F.round("threshold", 6).alias("threshold"))
+
+
+@query("learned_fusion")
+def learned_fusion(t):
+    cases = t.signals.withColumns({"mrz_failed": (F.col("mrz_status") == "FAILED").cast("int"), "mismatch": (F.col("barcode_status") == "MISMATCH").cast("int"),
+                                   "number_failed": F.coalesce(~F.col("verhoeff_ok"), F.lit(False)).cast("int")})
+    labelled = cases.join(t.case_truth, "case_id")
+    scored = anomaly.learned_fusion(cases, labelled, ("tampering_score", "mrz_failed", "mismatch", "number_failed"), "is_fraud")
+    return scored.select("case_id", F.round("fraud_probability", 6).alias("fraud_probability"))

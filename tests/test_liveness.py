@@ -45,7 +45,7 @@ def walk(rows, p=LivenessParams()):
             st, closed, calib = "FACE_NOT_DETECTED", 0, []
             continue
         now = (right + left) / 2
-        hist = (hist + [now])[-2:]
+        hist = (hist + [now])[-p.smooth_frames:]
         ear = sum(hist) / len(hist)
         if base is None:
             calib.append(ear)
@@ -88,8 +88,8 @@ def walk(rows, p=LivenessParams()):
     return blinks, "BLINK_TWICE" in done, "TURN_LEFT" in done, "TURN_RIGHT" in done, len(done) == 3, st
 
 
-def expected(rows):
-    return {s: (len(f),) + walk(f) for s in {r[0] for r in rows} for f in [[r for r in rows if r[0] == s]]}
+def expected(rows, params=LivenessParams()):
+    return {s: (len(f),) + walk(f, params) for s in {r[0] for r in rows} for f in [[r for r in rows if r[0] == s]]}
 
 
 def summary(df):
@@ -106,6 +106,13 @@ def test_batch_equals_walk_for_any_chunk(spark, chunk_seconds):
     assert got == want
 
 
+@pytest.mark.parametrize("smooth", [1, 3, 4])
+def test_any_smoothing_equals_walk(spark, smooth):
+    rows, params = make_frames(3, sessions=4, count=80), LivenessParams(smooth_frames=smooth)
+    got = summary(liveness.session_summary(spark.createDataFrame(rows, SCHEMA).repartition(3), 5, params))
+    assert got == expected(rows, params)
+
+
 def run_stream(spark, rows, tmp_path, files, processor=None):
     frames = spark.createDataFrame(rows, SCHEMA)
     source = tmp_path / f"in{files}"

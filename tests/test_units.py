@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docuvet import fixed
 from docuvet.functions import checksums, landmarks, text
-from docuvet.operators import barcodes, evaluation, faces, fields, history, mrz, quality, risk, validation, verdict
+from docuvet.operators import anomaly, barcodes, evaluation, faces, fields, history, mrz, quality, risk, validation, verdict
 
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -158,3 +158,23 @@ def test_cross_field_codes(spark):
     df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} string" for k in row))
     codes = df.select(evaluation.cross_field_findings(F.lit("2026-01-01").cast("date"))).first()[0]
     assert codes == ["NAME_MRZ", "DOB_MRZ", "GENDER_MRZ", "ISSUE_AFTER_EXPIRY", "EXPIRED", "NUMBER_FORMAT"]
+
+
+def test_learned_fusion_finds_the_signal(spark):
+    """Held-out cases: the probability of fraud is higher where the module that tells fraud has failed."""
+    rows = [(i, float(i % 7), i % 3 == 0, i % 3 == 0 or i % 50 == 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "case_id long, noise double, failed boolean, is_fraud boolean").withColumn("failed", F.col("failed").cast("int"))
+    scored = anomaly.learned_fusion(df.filter("case_id % 4 = 0"), df.filter("case_id % 4 <> 0"), ("noise", "failed"), "is_fraud")
+    assert scored.columns == [*df.columns, "fraud_probability"]
+    right = [(r.fraud_probability > 0.5) == r.is_fraud for r in scored.collect()]
+    assert len(right) == 150 and sum(right) >= 0.95 * len(right)
+
+
+def test_contributions_add_up(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(rng.gauss(0, 1), rng.gauss(5, 3), rng.random()) for _ in range(300)] + [(None, 1.0, 1.0)], "a double, b double, c double")
+    model = anomaly.fit_genuine(df.na.drop(), ("a", "b", "c"))
+    parts = anomaly.contributions(model)
+    got = df.select(anomaly.anomaly_distance(model).alias("d"), sum(parts[1:], parts[0]).alias("s")).collect()
+    assert all((r.d is None) if r.s is None else abs(r.d**2 - r.s) < 1e-9 for r in got) and got[-1].d is None
+    assert abs(sum(r.s for r in got[:-1]) / 299 - 3) < 1e-6
