@@ -195,7 +195,8 @@ def split_documents(documents: DataFrame, key: str, shares=SPLIT_SHARES) -> Data
 
     The hash is independent of the class, so each class is split in the same shares; no shuffle is needed.
     """
-    place = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(sum(n for _, n in shares)))
+    digest = F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8)
+    place = F.conv(digest, 16, 10).cast("long") % F.lit(sum(n for _, n in shares))
     split = F.lit(shares[-1][0])
     for name, share in reversed(shares[:-1]):
         bound = sum(n for other, n in shares[: [s for s, _ in shares].index(name) + 1])
@@ -211,5 +212,5 @@ def split_leaks(rows: DataFrame, evidence: str) -> DataFrame:
 
 def training_rows(cases: DataFrame, decisions: DataFrame) -> DataFrame:
     """Screened cases with the analyst's latest decision as their label; undecided cases give no row."""
-    latest = decisions.groupBy("case_id").agg(F.max_by("action", F.struct("acted_at", "override_id")).alias("label"))
+    latest = decisions.groupBy("case_id").agg(F.max_by("action", F.struct("acted_at", "override_id", "action")).alias("label"))
     return cases.join(latest, "case_id")

@@ -263,7 +263,9 @@ def shared_evidence(t):
     return evaluation.shared_evidence(evidence_of(t))
 
 
-@query("split_documents")
+@query("split_documents", """
+WITH p AS (SELECT toxic, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS place FROM documents JOIN labels USING (doc_id))
+SELECT CASE WHEN place < 70 THEN 'TRAIN' WHEN place < 85 THEN 'VALIDATION' ELSE 'TEST' END AS split, toxic, count(*) AS documents FROM p GROUP BY 1, 2""")
 def split_documents(t):
     rows = evaluation.split_documents(t.documents.join(t.labels, "doc_id"), "doc_id")
     return rows.groupBy("split", "toxic").agg(F.count("*").alias("documents"))
