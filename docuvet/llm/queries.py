@@ -26,6 +26,38 @@ def op3_pack_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: The published jump hash, one recursion a jump, and the checksum byte by byte with a table built from its polynomial.
+JUMP_SQL = """
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+),
+checksum AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+keyed AS (
+  SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, hex(encode(coalesce(text, ''))) AS h,
+    CASE WHEN coalesce(doc_id, 0) < 0 THEN coalesce(doc_id, 0)::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END::UHUGEINT AS key
+  FROM documents
+),
+jumps(r, key, place, shard, grown) AS (
+  SELECT r, key, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM keyed
+  UNION ALL
+  SELECT r, key, CAST(floor((place + 1) * (2147483648::DOUBLE / ((key // 8589934592) + 1)::DOUBLE)) AS BIGINT),
+    CASE WHEN place < 24 THEN place ELSE shard END, place
+  FROM (SELECT r, (key * 2862933555777941757 + 1) % 18446744073709551616 AS key, place, shard FROM jumps WHERE place < 25)
+),
+ended AS (SELECT r, max(shard) AS shard, max(grown) AS grown FROM jumps GROUP BY r),
+placed AS (
+  SELECT k.doc_id, k.bytes + 8 AS size, xor(list_reduce(list_transform(range(k.bytes), lambda i: CAST('0x' || substr(k.h, 2 * i + 1, 2) AS BIGINT)),
+      lambda a, b: xor(a >> 8, c.t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32,
+    e.shard, e.grown, (k.key * 2862933555777941757 + 1) % 18446744073709551616 AS mix
+  FROM keyed k JOIN ended e USING (r), checksum c
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY mix, doc_id, text_crc32, size) - 1 AS slot, CAST(grown AS INT) AS grown_shard
+FROM placed"""
+ORACLES["op4_jump_shards"] = JUMP_SQL
+
+
 @query
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), 24)

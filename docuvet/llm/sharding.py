@@ -47,25 +47,32 @@ def jump_shards(key: Column, shards: int) -> Column:
     return F.struct(end["shard"].cast("int").alias("shard"), end["grown"].cast("int").alias("grown"))
 
 
+def mixed_key(key: Column) -> tuple[Column, Column]:
+    """Halves of the first step of a key's generator: an order of the keys that spreads them evenly."""
+    key = key.cast("long")
+    return _product(F.shiftrightunsigned(key, 32), key.bitwiseAND(F.lit(LOW_32)))
+
+
 def shard_documents(documents: DataFrame, shards: int) -> DataFrame:
     """Place document records (``doc_id``, ``raw_text``) into ``shards`` by the law ``key``.
 
     Only ``doc_id`` and the number of shards decide; one more shard takes rows only into itself (``grown_shard``). Returns
-    doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, law, shard, slot (position in the shard in the order of a hash
-    of doc_id, then doc_id, text checksum and size: gapless from 0), grown_shard.
+    doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, law, shard, slot (position in the shard in the order of the
+    first step of doc_id's generator, then doc_id, text checksum and size: gapless from 0), grown_shard.
     Null text: size 8, checksum 0. Null doc_id: the key is 0. Rows with one doc_id share a shard; whole repeated rows take
     neighbouring slots. Other columns of the input are not used. No rows in, none out. Copies of a text are not kept together:
     the law looks at the key alone, so a text with very many copies spreads evenly.
     Slots are counted per (shard, part) first, where the number of parts follows the number of rows.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    high, low = mixed_key(key)
     placed = documents.select(
         F.col("doc_id"),
         (F.coalesce(F.octet_length("raw_text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32("raw_text"), F.lit(0)).cast("long").alias("text_crc32"),
-        F.lit("key").alias("law"), jump_shards(key, shards).alias("jump"), F.xxhash64(key).alias("mix"),
-    ).select("doc_id", "size", "text_crc32", "law", "jump.shard", F.col("jump.grown").alias("grown_shard"), "mix")
+        F.lit("key").alias("law"), jump_shards(key, shards).alias("jump"), high.alias("high"), low.alias("low"),
+    ).select("doc_id", "size", "text_crc32", "law", "jump.shard", F.col("jump.grown").alias("grown_shard"), "high", "low")
     parts = max(1, documents.count() // (shards * ROWS_PER_PART))
-    placed = placed.withColumn("part", F.floor((F.shiftrightunsigned("mix", 1) / F.lit(2.0**63)) * parts).cast("long"))
-    slots = numbered(placed, ["shard"], "part", ["mix", "doc_id", "text_crc32", "size"], "slot")
+    placed = placed.withColumn("part", F.floor(F.col("high") / F.lit(2.0**32) * parts).cast("long"))
+    slots = numbered(placed, ["shard"], "part", ["high", "low", "doc_id", "text_crc32", "size"], "slot")
     return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

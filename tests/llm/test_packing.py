@@ -10,7 +10,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from docuvet.llm import bpe, packing, sharding, storage, token_files
+from docuvet.llm import bpe, packing, queries, sharding, storage, token_files
+from harness import compare, connect
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -174,3 +175,9 @@ def test_document_numbers_round_trip():
     numbers = np.array([0, 1, -1, 2**63 - 1, -(2**63), 32767, 32768, 10**12])
     back, known = token_files.document_numbers(token_files.key_ids(numbers))
     assert known.all() and (back == numbers).all() and (token_files.key_ids(numbers) != token_files.END).all()
+
+
+def test_shards_equal_their_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    found = compare(spark, connect(folder), queries.QUERIES["op4_jump_shards"], queries.ORACLES["op4_jump_shards"], folder)
+    assert found == ("", 200)
