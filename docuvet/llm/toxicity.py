@@ -80,32 +80,62 @@ def noisy_or(sentence_logits: np.ndarray, row: np.ndarray, rows: int) -> np.ndar
     return -np.expm1(-np.bincount(row, np.logaddexp(0.0, sentence_logits), rows))
 
 
+def _telling_features(parts: list[pa.RecordBatch], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted features that positive documents hold far more often than their share, and their documents; portion after portion."""
+    keys, documents, positive, first_row = [], [], [], 0
+    for part in parts:
+        bag = Sentences(part.column(0))
+        for features in bag.features:
+            hit = np.flatnonzero(features)
+            if not len(hit):
+                continue
+            feature, row = features[hit], bag.row[bag.sentence[hit]] + first_row
+            order = np.lexsort((row, feature))
+            feature, row = feature[order], row[order]
+            new = np.append(True, (feature[1:] != feature[:-1]) | (row[1:] != row[:-1]))
+            feature, row = feature[new], row[new]
+            first = np.flatnonzero(np.append(True, feature[1:] != feature[:-1]))
+            keys.append(feature[first])
+            documents.append(np.diff(np.append(first, len(feature))))
+            positive.append(np.add.reduceat(y[row].astype(np.int64), first))
+        first_row += len(part)
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    known, index = np.unique(np.concatenate(keys), return_inverse=True)
+    held, found = np.bincount(index, np.concatenate(documents)), np.bincount(index, np.concatenate(positive))
+    share = y.mean()
+    excess = (found - held * share) / np.sqrt(np.maximum(held * share * (1 - share), 1e-9))
+    telling = (held >= LEAST_DOCUMENTS) & (excess >= LEAST_EXCESS)
+    return known[telling], held[telling]
+
+
 def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 300, rate: float = 1.0, decay: float = 3e-5) -> Model:
     """Feature weights and bias from labelled documents by full-batch gradient steps.
 
     The gradient of the noisy-or likelihood for a sentence of probability p is -p (1 - P) / P in a positive document of
     probability P and p in a negative one. No labels of one kind: the bias alone, all scores low.
     """
-    bag = Sentences(texts)
+    column = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     y = np.asarray(labels).astype(bool)
-    features = np.concatenate(bag.features)
-    sentence = np.tile(bag.sentence, len(bag.features))
-    features, sentence = features[features != 0], sentence[features != 0]
-    keys, word = np.unique(features, return_inverse=True)
-    del features
-    inside = np.unique(word.astype(np.int64) * max(1, bag.sentences) + sentence)
-    word, sentence = inside // max(1, bag.sentences), inside % max(1, bag.sentences)
-    pairs = np.unique(word * max(1, len(y)) + bag.row[sentence])
-    documents = np.bincount(pairs // max(1, len(y)), minlength=len(keys))
-    positive = np.bincount(pairs // max(1, len(y)), y[pairs % max(1, len(y))], minlength=len(keys))
-    share = y.mean() if len(y) else 0.0
-    excess = (positive - documents * share) / np.sqrt(np.maximum(documents * share * (1 - share), 1e-9))
-    enough = (documents >= LEAST_DOCUMENTS) & (excess >= LEAST_EXCESS)
-    pace = np.append(np.sqrt(documents[enough] / max(1, len(y))), 1.0)
-    index = np.cumsum(enough) - 1
-    sentence, word = sentence[enough[word]], index[word[enough[word]]]
-    keys = keys[enough]
-    used, total = len(keys), bag.sentences
+    parts = portions(pa.RecordBatch.from_arrays([column], names=["text"]), 0, 1 << 20)
+    keys, documents = _telling_features(parts, y)
+    # A portion at a time: only what the chosen features need is kept of the whole sample.
+    words, sentences, rows, total, first_row = [], [], [], 0, 0
+    for part in parts:
+        bag = Sentences(part.column(0))
+        for features in bag.features if len(keys) else []:
+            place = np.minimum(np.searchsorted(keys, features), len(keys) - 1)
+            hit = np.flatnonzero(keys[place] == features)
+            inside = np.unique(place[hit] * max(1, bag.sentences) + bag.sentence[hit])
+            words.append(inside // max(1, bag.sentences))
+            sentences.append(inside % max(1, bag.sentences) + total)
+        rows.append(bag.row + first_row)
+        total, first_row = total + bag.sentences, first_row + len(part)
+    joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    word, sentence, row = joined(words), joined(sentences), joined(rows)
+    used = len(keys)
+    # Frequent features move faster.
+    pace = np.append(np.sqrt(documents / max(1, len(y))), 1.0)
     theta, m, v = np.zeros(used + 1), np.zeros(used + 1), np.zeros(used + 1)
     theta[-1] = -6.0
     if y.all() or not y.any() or not used:
@@ -113,8 +143,8 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 300, rate: float = 1.
     for turn in range(1, rounds + 1):
         z = theta[-1] + np.bincount(sentence, theta[word], total)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        whole = np.clip(noisy_or(z, bag.row, len(y)), 1e-9, 1.0)
-        pull = np.where(y, -(1 - whole) / whole, 1.0)[bag.row] * p
+        whole = np.clip(noisy_or(z, row, len(y)), 1e-9, 1.0)
+        pull = np.where(y, -(1 - whole) / whole, 1.0)[row] * p
         gradient = np.append(np.bincount(word, pull[sentence], used), pull.sum()) / len(y)
         gradient[:-1] += decay * theta[:-1]
         m = 0.9 * m + 0.1 * gradient
