@@ -4,6 +4,7 @@ import functools
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -35,50 +36,76 @@ TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
-#: A branch goes if its importance is below this, on hosts of at least so many pages that have it, in at least this share of them.
+#: A branch goes if its importance is below this and what stands around it has more, where at least so many pages of a host have it.
 LEAST_IMPORTANCE, LEAST_PAGES, LEAST_SHARE = 0.2, 8, 0.02
+#: A branch that a class, id or role names as noise goes already if its content importance is below this.
+NAMED_IMPORTANCE = 0.5
 #: How much less each further style of a node counts its own variety against what is below it.
 DAMPING = 0.9
 DEEPEST = 32
+MASK = (1 << 64) - 1
 
 
 def _kind(name: str, attributes: str) -> tuple[str, bool]:
-    """A node's label in the style tree and whether its tag or attributes name it as noise."""
+    """A node's label in the style tree and whether its attributes name it as noise."""
     if not attributes or "=" not in attributes:
-        return name, name in DROPPED
+        return name, False
     words: list[str] = []
     for key, *values in ATTRIBUTE.findall(attributes):
         words += WORD.findall(next((v for v in values if v), "").lower())
-    noise = name in DROPPED or name not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(words)
-    return ".".join([name, *words[:4]]), noise
+    named = name not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(words)
+    return ".".join([name, *words[:4]]), named
 
 
 class Element:
-    """An open element: its node in the style tree, whether it or one around it is noise or main, and digests of its inside."""
+    """An open element: its node in the style tree, whether its tag or one around it is noise, and digests of its inside.
 
-    __slots__ = ("name", "node", "noise", "main", "inline", "content", "children")
+    ``names``: elements named as noise down to it. ``main``: 0, or within a main element 1 and the names around that; ``top``: its node.
+    """
+
+    __slots__ = ("name", "node", "noise", "names", "main", "top", "inline", "branch", "content", "children")
 
-    def __init__(self, name: str, node: int, noise: bool, main: bool, inline: bool):
-        self.name, self.node, self.noise, self.main, self.inline = name, node, noise, main, inline
+    def __init__(self, name: str, node: int, noise: bool, names: int, main: int, top: int, inline: bool, branch: bool):
+        self.name, self.node, self.noise, self.names, self.main, self.top = name, node, noise, names, main, top
+        self.inline, self.branch = inline, branch
         self.content, self.children = 0, 0
 
 
+class Block(NamedTuple):
+    """A text as written, its digest, and where it stands; ``glued``: it goes on in the line of the block before.
+
+    ``loose``: an element around it is named as noise and lies too deep for a node of its own.
+    """
+
+    text: str
+    digest: int
+    node: int
+    noise: bool
+    loose: bool
+    main: int
+    top: int
+    glued: bool
+
+
 class Page:
     """One page read in a single pass.
 
-    ``blocks``: (text, node, noise, main) in order, text as written. ``parents``: of each node. ``contents`` and ``styles``:
-    for each finished block element its node with the digest of its text, and of the sequence of its children.
-    A node is the chain of labels from the root; levels beyond ``DEEPEST`` count to the last one.
+    ``blocks``: in order. ``parents``: of each node. ``contents`` and ``styles``: for each finished branch its node with the
+    digest of its text, and of the sequence of its children.
+    A node is the chain of labels from the root, odd if its last label is named as noise; levels beyond ``DEEPEST`` count to the
+    last one.
     """
 
     def __init__(self, source: str | None):
-        self.blocks: list[tuple[str, int, bool, bool]] = []
+        self.blocks: list[Block] = []
         self.parents: dict[int, int] = {}
+        self.inside: set[int] = set()
         self.contents: set[tuple[int, int]] = set()
         self.styles: set[tuple[int, int]] = set()
         self._text: list[str] = []
-        self._open = [Element("", 0, False, False, False)]
-        self._depth = 0
+        self._glue = False
+        self._open = [Element("", 0, False, 0, 0, 0, False, True)]
+        self._depth, self._loose = 0, 0
         source = source or ""
         at = 0
         while True:
@@ -104,15 +131,37 @@ class Page:
         self._flush()
         while self._open:
             self._pop()
-
-    def _flush(self) -> None:
+        #: Names around the main element; 0 if there is none. Of several, those with the fewest names around them are it.
+        self.main = min((b.main for b in self.blocks if b.main and not b.noise), default=0)
+
+    def surroundings(self) -> dict[int, int]:
+        """For each node the digest of the text outside its branches: of the main element's text if it lies in that."""
+        below = dict.fromkeys([0, *self.parents], 0)
+        total = whole = 0
+        for b in self.blocks:
+            if not b.noise:
+                below[b.node] += b.digest
+                whole += b.digest
+                total += b.digest if b.main == self.main else 0
+        for node, parent in reversed(self.parents.items()):
+            below[parent] += below[node]
+        return {node: ((total if node in self.inside else whole) - inner) & MASK for node, inner in below.items()}
+
+    def _flush(self, glue: bool = False) -> None:
         if self._text:
             text = "".join(self._text)
-            self._text = []
-            if not text.isspace():
+            if text.isspace():
+                if glue:
+                    self._text = [text]
+                    return
+            else:
                 top = self._open[-1]
-                top.content = xxhash.xxh3_64_intdigest(text, top.content)
-                self.blocks.append((text, top.node, top.noise, top.main))
+                digest = xxhash.xxh3_64_intdigest(text)
+                top.content = top.content * 0x9E3779B97F4A7C15 + digest & MASK
+                self.blocks.append(Block(text, digest, top.node, top.noise, self._loose > 0, top.main, top.top, self._glue))
+                self._glue = glue
+            self._text = []
+        self._glue = self._glue and glue
 
     def _pop(self) -> None:
         done = self._open.pop()
@@ -120,10 +169,13 @@ class Page:
             above = self._open[-1]
             if done.content:
                 above.content = xxhash.xxh3_64_intdigest(done.content.to_bytes(8, "little"), above.content)
-            if done.inline:
+            if not done.branch:
                 above.children = done.children
-        if not done.inline:
-            self._depth -= 1
+            if done.branch:
+                self._depth -= 1
+            if done.names > above.names and done.node == above.node:
+                self._loose -= 1
+        if done.branch:
             self.contents.add((done.node, done.content))
             if done.children:
                 self.styles.add((done.node, done.children))
@@ -144,26 +196,33 @@ class Page:
             if name not in INLINE:
                 self._flush()
             return
-        label, noise = _kind(name, attributes)
+        label, named = _kind(name, attributes)
         inline = name in INLINE
         if inline:
-            if noise and not self._open[-1].noise:
-                self._flush()
+            if named:
+                self._flush(True)
         else:
             self._flush()
             near = self._nearest_block()
             if self._open[near].name == name and name in CLOSES_ITSELF or self._open[near].name == "p":
                 self._down_to(near)
         above = self._open[-1]
-        node = above.node
-        if not inline and self._depth < DEEPEST:
-            node = xxhash.xxh3_64_intdigest(label, above.node) >> 1
+        node, branch = above.node, named or not inline
+        if branch and self._depth < DEEPEST:
+            node = xxhash.xxh3_64_intdigest(label, above.node) >> 2 << 1 | named
             self.parents[node] = above.node
+            if above.main:
+                self.inside.add(node)
             above.children = xxhash.xxh3_64_intdigest(label, above.children) if label != "p" or above.children == 0 else above.children
-        if not inline:
+        elif named:
+            self._loose += 1
+        if branch:
             self._depth += 1
-        element = Element(name, node, above.noise or noise, above.main or name in MAIN, inline)
-        element.children = above.children if inline else 0
+        main, top = above.main, above.top
+        if not main and name in MAIN:
+            main, top = above.names + 1, node
+        element = Element(name, node, above.noise or name in DROPPED, above.names + named, main, top, inline, branch)
+        element.children = 0 if branch else above.children
         self._open.append(element)
 
     def _end(self, name: str) -> None:
@@ -173,11 +232,13 @@ class Page:
         inline = name in INLINE
         for at in range(len(self._open) - 1, 0, -1):
             if self._open[at].name == name:
-                if inline and self._open[at].noise == self._open[at - 1].noise:
-                    while len(self._open) > at:
-                        self._pop()
-                else:
+                if not inline:
                     self._down_to(at)
+                    return
+                if any(x.branch for x in self._open[at:]):
+                    self._flush(True)
+                while len(self._open) > at:
+                    self._pop()
                 return
             if inline and not self._open[at].inline:
                 return
@@ -194,81 +255,108 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def style_trees(pages: DataFrame) -> DataFrame:
-    """Importance of every node of every host's merged tree: host, node, pages, host_pages, importance.
+def parsed(pages: DataFrame) -> DataFrame:
+    """Style-tree entries of pages (host, html): host (hashed), page (digest of the html), entries (array of node, kind, value).
 
-    For the m pages that have a node, its content importance is 1 minus the mean, over its different contents, of the entropy
-    log(pages with the content) / log(m): unique contents are important, a text on all pages is not. Its presentation importance
-    is the entropy to the base m of its different sequences of children, l of them. Both join as
-    (1 - d**l) * presentation + d**l * content with d = ``DAMPING``. A node of one page has importance 1.
-    Counts combine before every shuffle, so a host with a third of all pages is no hot key.
+    Kind 0 is the digest of a branch's text, 1 that of its children, 2 that of the text around it; the last once a node and page.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in portions(whole, 1)):
-            rows: dict[str, list] = {"host": [], "node": [], "kind": [], "value": [], "first": []}
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in (part for whole in batches for part in portions(whole, 2)):
+            node, kind, value, ends = [], [], [], [0]
+            for source in batch.column(2).to_pylist():
                 page = Page(source)
-                seen = set()
-                for kind, found in ((0, page.contents), (1, page.styles)):
-                    for node, value in found:
-                        rows["host"].append(host)
-                        rows["node"].append(node)
-                        rows["kind"].append(kind)
-                        rows["value"].append(_signed(value))
-                        rows["first"].append(int(kind == 0 and node not in seen))
-                        seen.add(node)
-            yield pa.RecordBatch.from_pydict(rows, schema=schema)
-
-    schema = pa.schema([("host", pa.int64()), ("node", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("first", pa.int64())])
-    rows = pages.select(F.xxhash64("host").alias("host"), "html").mapInArrow(run, "host long, node long, kind int, value long, first long")
-    values = rows.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"), F.sum("first").alias("first"))
-    content, style = F.col("kind") == 0, F.col("kind") == 1
+                for number, found in enumerate((page.contents, page.styles, page.surroundings().items())):
+                    for at, digest in found:
+                        node.append(at)
+                        value.append(_signed(digest))
+                    kind += [number] * len(found)
+                ends.append(len(node))
+            entries = pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(kind, pa.int32()), pa.array(value, pa.int64())], ["node", "kind", "value"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["host", "page", "entries"])
+
+    keyed = pages.select(F.xxhash64("host").alias("host"), F.md5("html").alias("page"), "html")
+    return keyed.mapInArrow(run, "host long, page string, entries array<struct<node:long, kind:int, value:long>>")
+
+
+def style_trees(pages: DataFrame) -> DataFrame:
+    """Importance of every node of every host's merged tree, from pages (host, html); see ``importances``."""
+    return importances(parsed(pages))
+
+
+def importances(entries: DataFrame) -> DataFrame:
+    """host, node, pages, host_pages, importance, own, around: of every node of every host's merged tree, from parsed pages.
+
+    For the m pages that have a node, its content importance (``own``) is 1 minus the mean, over its different contents, of the
+    entropy log(pages with the content) / log(m): unique contents are important, a text on all pages is not. Its presentation
+    importance is the entropy to the base m of its different sequences of children, l of them. Both join as
+    (1 - d**l) * presentation + d**l * content with d = ``DAMPING``. A node of one page has importance 1. ``around`` is the content
+    importance of the text outside the node on the same pages: on copies of one page it is 0, whatever is repeated there.
+    Counts combine before every shuffle, so a host with a third of all pages is no hot key.
+    """
+    rows = entries.select("host", F.inline("entries"))
+    values = rows.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"))
+    content, style, outside = F.col("kind") == 0, F.col("kind") == 1, F.col("kind") == 2
     nodes = values.groupBy("host", "node").agg(
-        F.sum("first").alias("pages"), F.avg(F.when(content, F.ln("c"))).alias("ln_c"), F.count_if(style).alias("styles"),
+        F.sum(F.when(outside, F.col("c"))).alias("pages"), F.avg(F.when(content, F.ln("c"))).alias("ln_c"), F.count_if(style).alias("styles"),
         F.sum(F.when(style, F.col("c"))).alias("total"), F.sum(F.when(style, F.col("c") * F.ln("c"))).alias("c_ln_c"),
+        F.avg(F.when(outside, F.ln("c"))).alias("ln_around"),
     )
     base = F.ln(F.greatest("pages", F.lit(2)))
-    own = 1 - F.least(F.lit(1.0), F.col("ln_c") / base)
+    nodes = nodes.withColumns({"own": 1 - F.least(F.lit(1.0), F.col("ln_c") / base), "around": 1 - F.least(F.lit(1.0), F.col("ln_around") / base)})
     variety = F.when(F.col("styles") > 0, F.least(F.lit(1.0), (F.ln("total") - F.col("c_ln_c") / F.col("total")) / base)).otherwise(0.0)
     weight = F.pow(F.lit(DAMPING), F.col("styles"))
-    scored = nodes.withColumn("importance", F.when(F.col("pages") > 1, (1 - weight) * variety + weight * own).otherwise(1.0))
+    scored = nodes.withColumn("importance", F.when(F.col("pages") > 1, (1 - weight) * variety + weight * F.col("own")).otherwise(1.0))
     roots = nodes.filter("node = 0").select("host", F.col("pages").alias("host_pages"))
-    return scored.join(roots, "host").select("host", "node", "pages", "host_pages", "importance")
+    return scored.join(roots, "host").select("host", "node", "pages", "host_pages", "importance", "own", "around")
 
 
-def dropped_branches(trees: DataFrame) -> DataFrame:
-    """host, dropped (array of nodes): branches of little importance that enough of a host's pages have.
+def judged_branches(trees: DataFrame) -> DataFrame:
+    """host, node, verdict: the node where its branch goes; less the node where its name as noise does not hold.
 
-    As every node listed is on a share of ``LEAST_SHARE`` of the host's pages, a list has at most the mean number of nodes a
-    page divided by that share.
+    A branch goes if it is of little importance, content included, on enough pages that differ elsewhere. One that is named as
+    noise goes at a higher importance already, and its name falls if the tree, on as many pages, finds more than that.
     """
-    poor = trees.filter(
-        (F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= F.col("host_pages") * LEAST_SHARE)
-    )
-    return poor.filter("node <> 0").groupBy("host").agg(F.collect_list("node").alias("dropped"))
+    named, poor = F.col("node").bitwiseAND(1) == 1, F.greatest("importance", "own") < LEAST_IMPORTANCE
+    goes = F.when(named, F.col("own") < NAMED_IMPORTANCE).otherwise(poor)
+    known = trees.filter((F.col("pages") >= LEAST_PAGES) & (F.col("around") >= LEAST_IMPORTANCE) & (F.col("node") != 0) & (F.col("pages") >= F.col("host_pages") * LEAST_SHARE))
+    return known.filter(goes | named).select("host", "node", F.when(goes, F.col("node")).otherwise(-F.col("node")).alias("verdict"))
 
 
-def text_of(source: str | None, dropped: frozenset[int] = frozenset()) -> str:
-    """Blocks of the page's main element, or of the whole page if it has none, without noise and dropped branches."""
-    page = Page(source)
-    gone: dict[int, bool] = {0: False}
+def text_of(source: str | None, verdicts: frozenset[int] = frozenset()) -> str:
+    """Blocks of the page's main element, or of the whole page if it has none, without noise and dropped branches.
 
-    def lost(node: int) -> bool:
-        known = gone.get(node)
-        if known is None:
-            known = gone[node] = node in dropped or lost(page.parents[node])
-        return known
-
-    has_main = any(main and not noise for _, _, noise, main in page.blocks)
-    out = []
-    for text, node, noise, main in page.blocks:
-        if noise or (not main if has_main else lost(node)):
-            continue
-        text = SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip()
-        if text:
-            out.append(text)
-    return "\n".join(out)
+    Where the tree is silent about a branch named as noise, it stays inside the main element and goes elsewhere, unless all goes.
+    """
+    page = Page(source)
+    gone: dict[tuple[int, int], bool] = {}
+
+    def lost(b: Block, names: bool) -> bool:
+        chain, node = [], b.node
+        while node not in (0, b.top) and (node, b.top) not in gone:
+            chain.append(node)
+            node = page.parents[node]
+        state = gone.get((node, b.top), False)
+        for node in reversed(chain):
+            state = gone[node, b.top] = state or node in verdicts or bool(node & 1)
+        return state or b.loose
+
+    for names in (True,):
+        gone.clear()
+        lines: list[str] = []
+        last = False
+        for b in page.blocks:
+            kept = not b.noise and b.main == page.main and not lost(b, names)
+            if kept and last and b.glued:
+                lines[-1] += b.text
+            elif kept:
+                lines.append(b.text)
+            last = kept
+        out = [SPACE.sub(" ", html.unescape(x) if "&" in x else x).strip() for x in lines]
+        if any(out):
+            break
+    return "\n".join(x for x in out if x)
 
 
 def host_of(url: Column) -> Column:
@@ -280,26 +368,31 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """Main text of web pages (``page_id``, ``url``, ``html``); screening itself has no such records, so these stay general.
 
     The style trees of all hosts are built from all pages first; then each page loses branches that its host's tree holds of
-    little importance, and parts that tags, classes, ids or roles name as navigation, header, footer, aside, notice, advert,
-    form or comments. A page with an article or main element gives that element's text; its branches are never dropped for
-    being alike on many pages, because copies of an article are articles. Character references are decoded, white space inside
-    a block becomes one blank, blocks follow each other in page order with a line feed between.
+    little importance, and parts that tags name as navigation, header, footer, aside, notice, advert, form or comments. A class, id
+    or role that names a branch so makes it go at a higher importance; the name alone decides only outside main elements where
+    fewer than ``LEAST_PAGES`` pages of the host have the branch. A page with an article or main element gives that element's text,
+    whatever the branches around it are named. Copies of an article are articles: nothing goes for being alike on pages that are
+    alike around it too. Character references are decoded, white space inside a block becomes one blank, blocks follow each other
+    in page order with a line feed between.
     Returns page_id, url, text, n_chars (code points). Null or empty html: an empty text. A url that is null or has no host joins
     the pages without host. Repeated rows give repeated results; other columns are not used; no rows in, none out.
     """
     hosted = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    dropped = stored(dropped_branches(style_trees(hosted)), "branches")
+    entries = stored(parsed(hosted), "entries")
+    judged = stored(judged_branches(importances(entries)), "branches")
+    nodes = entries.select("host", "page", F.inline("entries")).filter("kind = 2").select("host", "page", "node")
+    verdicts = stored(nodes.join(judged, ["host", "node"]).groupBy("host", "page").agg(F.collect_set("verdict").alias("verdicts")), "verdicts")
 
     @F.arrow_udf("string")
-    def run(sources: pa.Array, branches: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([sources, branches], names=["s", "b"])
+    def run(sources: pa.Array, verdicts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([sources, verdicts], names=["s", "v"])
         out: list[str] = []
         for part in portions(batch, 0):
             lists = part.column(1).to_pylist()
-            out += [text_of(s, frozenset(b or ())) for s, b in zip(part.column(0).to_pylist(), lists, strict=True)]
+            out += [text_of(s, frozenset(v or ())) for s, v in zip(part.column(0).to_pylist(), lists, strict=True)]
         return pa.array(out, pa.string())
 
-    keyed = hosted.withColumn("host", F.xxhash64("host")).join(dropped, "host", "left")
-    return keyed.select("page_id", "url", run("html", "dropped").alias("text")).select(
+    keyed = hosted.withColumns({"host": F.xxhash64("host"), "page": F.md5("html")}).join(verdicts, ["host", "page"], "left")
+    return keyed.select("page_id", "url", run("html", "verdicts").alias("text")).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
     )

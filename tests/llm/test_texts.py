@@ -220,3 +220,19 @@ def test_importance_by_hand(spark):
 def test_html_entities_as_the_standard_library():
     for ref in ("&amp;", "&#x41;", "&copy;", "&nbsp;x", "&notanentity;"):
         assert page_text.text_of(f"<p>a{ref}b</p>") == re.sub(r"\s+", " ", html.unescape(f"a{ref}b"))
+
+
+def _texts(spark, rows):
+    return {r.page_id: r.text for r in page_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_repeated_boxes_inside_an_article_go(spark):
+    """The tree decides inside main elements too; a list that only the copies of one article have is no repeated box."""
+    def page(n, more=""):
+        return f"<article><p>Story number {n}</p><div>Send this <i>page</i> on</div><div class=body><p>More on {n}</p>{more}</div></article>"
+
+    rows = [(n, "https://one.example.org/p", page(n)) for n in range(20)]
+    rows += [(100 + n, "https://one.example.org/c", page("copied", "<ul><li>own list</li></ul>")) for n in range(20)]
+    got = _texts(spark, rows)
+    assert got[3] == "Story number 3\nMore on 3"
+    assert got[100] == got[119] == "Story number copied\nMore on copied\nown list"
