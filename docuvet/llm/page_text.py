@@ -339,10 +339,10 @@ def text_of(source: str | None, verdicts: frozenset[int] = frozenset()) -> str:
             node = page.parents[node]
         state = gone.get((node, b.top), False)
         for node in reversed(chain):
-            state = gone[node, b.top] = state or node in verdicts or bool(node & 1)
-        return state or b.loose
+            state = gone[node, b.top] = state or node in verdicts or names and bool(node & 1) and -node not in verdicts
+        return state or names and b.loose
 
-    for names in (True,):
+    for names in (False,) if page.main else (True, False):
         gone.clear()
         lines: list[str] = []
         last = False

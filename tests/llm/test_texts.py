@@ -236,3 +236,18 @@ def test_repeated_boxes_inside_an_article_go(spark):
     got = _texts(spark, rows)
     assert got[3] == "Story number 3\nMore on 3"
     assert got[100] == got[119] == "Story number copied\nMore on copied\nown list"
+
+
+def test_class_words_need_the_tree(spark):
+    """No name covers the article, varying parts of it stay whatever their names are, repeated ones go."""
+    def page(n):
+        part = f"<section class='related-work'><p>Others {n}</p></section><p class=notice>Note <span class=share>no. {n}</span>!</p><div class=share-it>Share</div>"
+        return f"<div class='layout has-sidebar'><div class=comments><article>said {n}</article></div><article><p>Story {n}</p>{part}</article>side</div>"
+
+    rows = [(n, "https://one.example.org/p", page(n)) for n in range(20)]
+    rows += [(100, "https://two.example.org/p", page(100))]
+    rows += [(200 + n, "https://three.example.org/p", f"<div class=with-comments><div>Story {n}</div><div class=menu>All</div></div>") for n in range(20)]
+    got = _texts(spark, rows)
+    assert got[3] == "Story 3\nOthers 3\nNote no. 3!"
+    assert got[100] == "Story 100\nOthers 100\nNote no. 100!\nShare"
+    assert got[203] == "Story 3"
