@@ -37,7 +37,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 SPACE = re.compile(r"\s+")
 
 #: A branch goes if its importance is below this and what stands around it has more, where at least so many pages of a host have it.
-LEAST_IMPORTANCE, LEAST_PAGES, LEAST_SHARE = 0.2, 8, 0.02
+LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 8
 #: A branch that a class, id or role names as noise goes already if its content importance is below this.
 NAMED_IMPORTANCE = 0.5
 #: How much less each further style of a node counts its own variety against what is below it.
@@ -90,8 +90,8 @@ class Block(NamedTuple):
 class Page:
     """One page read in a single pass.
 
-    ``blocks``: in order. ``parents``: of each node. ``contents`` and ``styles``: for each finished branch its node with the
-    digest of its text, and of the sequence of its children.
+    ``blocks``: in order. ``parents``: of each node outside noise tags. ``contents`` and ``styles``: for each finished branch there
+    its node with the digest of its text, and of the sequence of its children.
     A node is the chain of labels from the root, odd if its last label is named as noise; levels beyond ``DEEPEST`` count to the
     last one.
     """
@@ -147,6 +147,16 @@ class Page:
             below[parent] += below[node]
         return {node: ((total if node in self.inside else whole) - inner) & MASK for node, inner in below.items()}
 
+    def asked(self) -> set[int]:
+        """Nodes that decide on the blocks of the page's text: from each block up to the main element, or to the root."""
+        out: set[int] = set()
+        for b in self.blocks:
+            node = b.node
+            while not b.noise and b.main == self.main and node not in (0, b.top) and node not in out:
+                out.add(node)
+                node = self.parents[node]
+        return out
+
     def _flush(self, glue: bool = False) -> None:
         if self._text:
             text = "".join(self._text)
@@ -175,7 +185,7 @@ class Page:
                 self._depth -= 1
             if done.names > above.names and done.node == above.node:
                 self._loose -= 1
-        if done.branch:
+        if done.branch and not done.noise:
             self.contents.add((done.node, done.content))
             if done.children:
                 self.styles.add((done.node, done.children))
@@ -207,12 +217,13 @@ class Page:
             if self._open[near].name == name and name in CLOSES_ITSELF or self._open[near].name == "p":
                 self._down_to(near)
         above = self._open[-1]
-        node, branch = above.node, named or not inline
+        node, branch, noise = above.node, named or not inline, above.noise or name in DROPPED
         if branch and self._depth < DEEPEST:
             node = xxhash.xxh3_64_intdigest(label, above.node) >> 2 << 1 | named
-            self.parents[node] = above.node
-            if above.main:
-                self.inside.add(node)
+            if not noise:
+                self.parents[node] = above.node
+                if above.main:
+                    self.inside.add(node)
             above.children = xxhash.xxh3_64_intdigest(label, above.children) if label != "p" or above.children == 0 else above.children
         elif named:
             self._loose += 1
@@ -221,7 +232,7 @@ class Page:
         main, top = above.main, above.top
         if not main and name in MAIN:
             main, top = above.names + 1, node
-        element = Element(name, node, above.noise or name in DROPPED, above.names + named, main, top, inline, branch)
+        element = Element(name, node, noise, above.names + named, main, top, inline, branch)
         element.children = 0 if branch else above.children
         self._open.append(element)
 
@@ -256,14 +267,15 @@ def _signed(x: int) -> int:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Style-tree entries of pages (host, html): host (hashed), page (digest of the html), entries (array of node, kind, value).
+    """Style-tree entries of pages (host, html): host (hashed), page (digest of the html), entries (array of node, kind, value), asked.
 
     Kind 0 is the digest of a branch's text, 1 that of its children, 2 that of the text around it; the last once a node and page.
+    ``asked`` lists the nodes that decide on the page's text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portions(whole, 2)):
-            node, kind, value, ends = [], [], [], [0]
+            node, kind, value, ends, asked = [], [], [], [0], []
             for source in batch.column(2).to_pylist():
                 page = Page(source)
                 for number, found in enumerate((page.contents, page.styles, page.surroundings().items())):
@@ -272,12 +284,15 @@ def parsed(pages: DataFrame) -> DataFrame:
                         value.append(_signed(digest))
                     kind += [number] * len(found)
                 ends.append(len(node))
+                asked.append(list(page.asked()))
             entries = pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(kind, pa.int32()), pa.array(value, pa.int64())], ["node", "kind", "value"])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["host", "page", "entries"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), lists, pa.array(asked, pa.list_(pa.int64()))], names=["host", "page", "entries", "asked"]
+            )
 
     keyed = pages.select(F.xxhash64("host").alias("host"), F.md5("html").alias("page"), "html")
-    return keyed.mapInArrow(run, "host long, page string, entries array<struct<node:long, kind:int, value:long>>")
+    return keyed.mapInArrow(run, "host long, page string, entries array<struct<node:long, kind:int, value:long>>, asked array<long>")
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
@@ -320,7 +335,7 @@ def judged_branches(trees: DataFrame) -> DataFrame:
     """
     named, poor = F.col("node").bitwiseAND(1) == 1, F.greatest("importance", "own") < LEAST_IMPORTANCE
     goes = F.when(named, F.col("own") < NAMED_IMPORTANCE).otherwise(poor)
-    known = trees.filter((F.col("pages") >= LEAST_PAGES) & (F.col("around") >= LEAST_IMPORTANCE) & (F.col("node") != 0) & (F.col("pages") >= F.col("host_pages") * LEAST_SHARE))
+    known = trees.filter((F.col("pages") >= LEAST_PAGES) & (F.col("around") >= LEAST_IMPORTANCE) & (F.col("node") != 0))
     return known.filter(goes | named).select("host", "node", F.when(goes, F.col("node")).otherwise(-F.col("node")).alias("verdict"))
 
 
@@ -380,7 +395,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     hosted = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
     entries = stored(parsed(hosted), "entries")
     judged = stored(judged_branches(importances(entries)), "branches")
-    nodes = entries.select("host", "page", F.inline("entries")).filter("kind = 2").select("host", "page", "node")
+    nodes = entries.select("host", "page", F.explode("asked").alias("node"))
     verdicts = stored(nodes.join(judged, ["host", "node"]).groupBy("host", "page").agg(F.collect_set("verdict").alias("verdicts")), "verdicts")
 
     @F.arrow_udf("string")

@@ -251,3 +251,9 @@ def test_class_words_need_the_tree(spark):
     assert got[3] == "Story 3\nOthers 3\nNote no. 3!"
     assert got[100] == "Story 100\nOthers 100\nNote no. 100!\nShare"
     assert got[203] == "Story 3"
+
+
+def test_branches_of_a_small_share_of_a_host_go(spark):
+    rows = [(n, "https://one.example.org/p", f"<div class=story>Story {n}</div>" + "<div class=section>Of this section</div>" * (n < 9)) for n in range(900)]
+    got = _texts(spark, rows)
+    assert got[3] == "Story 3" and got[800] == "Story 800"
