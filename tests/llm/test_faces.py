@@ -84,3 +84,21 @@ def test_recall_of_the_forest(spark):
         hit += len(set(np.argsort(-score)[:5]) & set(r[1]))
         total += 5
     assert total == 150 and hit >= 0.9 * total
+
+
+@pytest.mark.parametrize("size", [2, 3, 6, 30, 100, 200])
+def test_small_tables_and_rare_lengths_give_all_they_hold(spark, size):
+    """Every query gets k faces, or all others if there are fewer, also among few faces of one length in a larger table."""
+    rng = np.random.default_rng(size)
+    rows = [*rng.normal(size=(size, 64)), *rng.normal(size=(300, 32))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "case_id long, selfie_embedding array<double>")
+    unit = np.array([v / np.linalg.norm(v) for v in rows[:size]])
+    hit = 0
+    want = min(5, size - 1)
+    got = face_search.nearest_faces(df, df.filter(f"case_id < {size}"), block=250).groupBy("query_id").agg({"case_id": "collect_list"}).collect()
+    for r in got:
+        score = unit @ unit[r.query_id]
+        score[r.query_id] = -2
+        assert len(r[1]) == want
+        hit += len(set(np.argsort(-score)[:want]) & set(r[1]))
+    assert len(got) == size and hit >= 0.9 * size * want
