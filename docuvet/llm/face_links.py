@@ -18,6 +18,9 @@ TREES, LEAF, BLOCK, SAMPLE = 5, 400, 512, 20_000
 OVERLAP = 0.24
 #: A node of fewer sampled faces is not split.
 LEAST_SAMPLE = 40
+#: A split that makes more entries than this a face saves no comparisons (half its square is one): so many directions are tried
+#: for a better one, then the node stays a leaf. So it does where a face has this many entries along one path.
+SPREAD, TRIES, COPIES = 1.4, 8, 16
 #: A leaf of more faces is split further, by so many directions at a time.
 LARGE, CUTS = 3_200, 3
 
@@ -35,19 +38,21 @@ class Tree:
         self.leaves = 0
         self.root = self._grow(sample, faces / max(1, len(sample)))
 
-    def _grow(self, sample: np.ndarray, scale: float) -> int:
-        if len(sample) * scale > LEAF and len(sample) >= LEAST_SAMPLE:
+    def _grow(self, sample: np.ndarray, scale: float, copies: float = 1.0) -> int:
+        tries = TRIES if len(sample) * scale > LEAF and len(sample) >= LEAST_SAMPLE else 0
+        for _ in range(tries):
             direction = self.rng.normal(size=self.width)
             direction /= np.sqrt((direction**2).sum())
             at = sample @ direction
             threshold = float(np.median(at))
             left, right = sample[at <= threshold + self.overlap], sample[at >= threshold - self.overlap]
-            if max(len(left), len(right)) < 0.9 * len(sample):
+            spread = (len(left) + len(right)) / len(sample)
+            if max(len(left), len(right)) < 0.9 * len(sample) and spread <= SPREAD and copies * spread <= COPIES:
                 node = len(self.children)
                 self.directions.append(direction)
                 self.thresholds.append(threshold)
                 self.children.append([0, 0])
-                self.children[node] = [self._grow(left, scale), self._grow(right, scale)]
+                self.children[node] = [self._grow(left, scale, copies * spread), self._grow(right, scale, copies * spread)]
                 return node
         self.leaves += 1
         return -self.leaves
@@ -80,7 +85,8 @@ def _split_large(nodes: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 
     A large leaf is cut by three random directions of its own at the medians of its faces, which Spark estimates per leaf, so
     the depth of the forest follows the number of faces and no model of it is ever gathered. Faces near a median go to both
-    sides. Leaves that a round does not make smaller, as where very many faces are nearly alike, stay as they are.
+    sides. Leaves that a round does not make smaller, or only by too many copies of their faces, as where very many faces are
+    nearly alike, stay as they are.
     """
     overlap = F.lit(OVERLAP / math.sqrt(width))
     done = None
@@ -111,8 +117,10 @@ def _split_large(nodes: DataFrame, classes: DataFrame, width: int) -> DataFrame:
             side = F.explode(F.array_compact(F.array(F.when(below, F.lit("a")), F.when(above, F.lit("b")))))
             cells = cells.withColumn("side", side).withColumn("cell", F.concat("cell", "side")).drop("side")
         cells = stored(cells.select("face_key", F.col("leaf").alias("parent"), F.xxhash64("leaf", "cell").alias("leaf")), "cells")
-        grown = cells.groupBy("parent", "leaf").agg(F.count("*").alias("faces")).groupBy("parent").agg(F.max("faces").alias("most"))
-        stuck = grown.join(large, grown["parent"] == large["leaf"]).filter(F.col("most") > F.col("faces") * 0.8).select("parent")
+        grown = cells.groupBy("parent", "leaf").agg(F.count("*").alias("faces")).groupBy("parent").agg(F.max("faces").alias("most"), F.sum("faces").alias("all"))
+        stuck = grown.join(large, grown["parent"] == large["leaf"]).filter(
+            (F.col("most") > F.col("faces") * 0.8) | (F.col("all") > F.col("faces") * SPREAD**CUTS)
+        ).select("parent")
         kept = nodes.join(stuck.withColumnRenamed("parent", "leaf"), "leaf").select("face_key", "leaf")
         smaller = cells.join(stuck, "parent", "left_anti").select("face_key", "leaf")
         finished = stored(small.unionByName(kept), "leaves")

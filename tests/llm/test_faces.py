@@ -102,3 +102,30 @@ def test_small_tables_and_rare_lengths_give_all_they_hold(spark, size):
         assert len(r[1]) == want
         hit += len(set(np.argsort(-score)[:want]) & set(r[1]))
     assert len(got) == size and hit >= 0.9 * size * want
+
+
+def _with_hot_person(total, cosine):
+    """Random faces, a third of them round one person at about the given mutual cosine."""
+    rng = np.random.default_rng(13)
+    unit = rng.normal(size=(total, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    hot = total // 3
+    unit[:hot] = math.sqrt(cosine) * unit[-1] + math.sqrt(1 - cosine) * unit[:hot]
+    return unit / np.linalg.norm(unit, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("cosine", [0.9, 0.95])
+def test_trees_stay_small_where_a_third_of_the_faces_is_alike(cosine):
+    sample = _with_hot_person(4000, cosine)
+    tree = face_links.Tree(0, sample, 12_000)
+    assert sum(len(inside) for _, inside in tree.leaves_of(sample)) <= face_links.COPIES * len(sample)
+
+
+def test_links_of_a_hot_person_match_brute_force(spark, monkeypatch):
+    for name, value in {"LEAF": 100, "LARGE": 150, "BLOCK": 64}.items():
+        monkeypatch.setattr(face_links, name, value)
+    unit = _with_hot_person(900, 0.95)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "case_id long, selfie_embedding array<double>")
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    got = {r.case_id: r.n_links for r in face_links.link_faces(df).collect()}
+    assert want.sum() > 10_000 and got == dict(enumerate(want.tolist()))
