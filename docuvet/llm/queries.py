@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docuvet.llm import bpe, face_links, face_search, near_text, packing, page_text, quality, sharding, storage, token_files, toxicity
+from docuvet.llm import (
+    bpe, face_links, face_search, fill_middle, manifest, near_text, packing, page_text, quality, sharding, storage, token_files,
+    token_grammar, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +125,125 @@ def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     token_files.write_token_files(_documents(spark, sf_dir), path, ranks, public_tokenizers.PATTERN)
     return token_files.token_counts(spark, path).select("doc_id", "n_tokens")
+
+
+#: The tree of each source and the tree over their subroots, level by level, with the siblings of every node; then each leaf folded.
+MANIFEST_SQL = """
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+),
+checksum AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+keyed AS (
+  SELECT d.*, doc_id::VARCHAR AS number,
+    'l' || coalesce('s' || source, '') AS tree FROM documents d
+),
+described AS (
+  SELECT k.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(number)), lambda i: ascii(substr(number, (i + 1)::INT, 1))::BIGINT)),
+      lambda a, b: xor(a >> 8, c.t[((xor(a, b) & 255) + 1)::INT])), 4294967295) % 5 = 0 AS changed,
+    coalesce(octet_length(encode(number)) || ':' || number, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM keyed k, checksum c
+),
+hashed AS (
+  SELECT tree, doc_id, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    CASE WHEN changed THEN sha256(head || coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS altered
+  FROM described
+),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM hashed),
+nodes(tree, level, place, digest) AS (
+  SELECT tree, 0, place, leaf FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, place // 16, sha256(string_agg(digest, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM nodes) WHERE n > 1 GROUP BY tree, level, place // 16
+),
+highest AS (SELECT * FROM nodes QUALIFY level = max(level) OVER (PARTITION BY tree)),
+tops AS (SELECT tree, level, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM highest),
+heads(level, place, digest) AS (
+  SELECT 0, place, digest FROM tops
+  UNION ALL
+  SELECT level + 1, place // 16, sha256(string_agg(digest, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER () AS n FROM heads) WHERE n > 1 GROUP BY level, place // 16
+),
+runs AS (
+  SELECT n.tree, n.level, n.place, n.digest FROM nodes n JOIN tops t ON n.tree = t.tree AND n.level < t.level
+  UNION ALL SELECT '', h.level, h.place, h.digest FROM heads h WHERE h.level < (SELECT max(level) FROM heads)
+),
+beside AS (
+  SELECT *, coalesce(string_agg(digest, '') OVER (PARTITION BY tree, level, place // 16 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS earlier,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY tree, level, place // 16 ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS later
+  FROM runs
+),
+steps AS (
+  SELECT l.tree, l.place AS leaf_place, b.level AS step, b.earlier, b.later FROM leaves l JOIN beside b ON b.tree = l.tree AND b.place = l.place // (16 ** b.level)::BIGINT
+  UNION ALL
+  SELECT l.tree, l.place, 100 + b.level, b.earlier, b.later FROM leaves l JOIN tops t ON t.tree = l.tree JOIN beside b ON b.tree = '' AND b.place = t.place // (16 ** b.level)::BIGINT
+),
+paths AS (SELECT tree, leaf_place, string_agg(earlier || later, '' ORDER BY step) AS proof, list({'a': earlier, 'b': later} ORDER BY step) AS steps FROM steps GROUP BY ALL),
+folded(tree, place, digest, step) AS (
+  SELECT tree, place, coalesce(altered, leaf), 0 FROM leaves
+  UNION ALL
+  SELECT f.tree, f.place, sha256(p.steps[f.step + 1].a || f.digest || p.steps[f.step + 1].b), f.step + 1
+  FROM folded f JOIN paths p ON p.tree = f.tree AND p.leaf_place = f.place WHERE f.step < len(p.steps)
+),
+ended AS (SELECT tree, place, digest FROM folded QUALIFY step = max(step) OVER (PARTITION BY tree, place)),
+top AS (SELECT digest AS root FROM heads ORDER BY level DESC LIMIT 1)
+SELECT l.doc_id, l.leaf, t.digest AS subroot, top.root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.digest AS folded_root, e.digest = top.root AS verified
+FROM leaves l JOIN tops t USING (tree) JOIN ended e ON e.tree = l.tree AND e.place = l.place LEFT JOIN paths p ON p.tree = l.tree AND p.leaf_place = l.place, top"""
+ORACLES["op11_interval_manifest"] = MANIFEST_SQL
+
+
+@query
+def op11_interval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a record of its source; where the checksum says so, its text is presented in lower case."""
+    records = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").alias("case_id"), F.col("source").alias("owner_id"), "lang", "n_chars", F.col("text").alias("raw_text")
+    )
+    fields = ("case_id", "owner_id", "lang", "n_chars", "raw_text")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = manifest.leaf_digest(*[F.translate(F.col(f), upper, upper.lower()) if f == "raw_text" else F.col(f) for f in fields])
+    changed = F.crc32(F.col("case_id").cast("string")) % 5 == 0
+    proven = manifest.manifest_records(records.withColumn("presented", F.when(changed, lowered)), fields, carried=("presented",))
+    folded = manifest.folded_root(F.coalesce("presented", "leaf"), F.col("path"))
+    return proven.select(
+        F.col("case_id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of all documents' ids, read back from compressed shards that are written from them first."""
+    path = storage.new_path(spark, "token-shards")
+    token_grammar.write_token_shards(_documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_grammar.read_token_shards(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+#: Lines by splitting at line feeds; a text that ends with one has no empty last line.
+FILL_SQL = """
+WITH a AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+b AS (
+  SELECT *, CASE WHEN t = '' THEN []::VARCHAR[] WHEN suffix(t, chr(10)) THEN string_split(t, chr(10))[:-2] ELSE string_split(t, chr(10)) END AS lines,
+    [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS r FROM a
+),
+c AS (SELECT *, len(lines) AS n, least(length(t), list_sum([length(x) + 1 FOR x IN lines])) AS total, least(r[1] % (len(lines) + 1), r[2] % (len(lines) + 1)) AS low,
+  greatest(r[1] % (len(lines) + 1), r[2] % (len(lines) + 1)) AS high FROM b),
+d AS (
+  SELECT *, least(total, coalesce(list_sum([length(x) + 1 FOR x IN lines[1:low]]), 0))::BIGINT AS p, least(total, coalesce(list_sum([length(x) + 1 FOR x IN lines[1:high]]), 0))::BIGINT AS q,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, p) || '<S>' || substr(t, q + 1) || '<M>' || substr(t, p + 1, q - p)
+    ELSE '<S>' || substr(t, q + 1) || '<P>' || substr(t, 1, p) || '<M>' || substr(t, p + 1, q - p) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM d"""
+ORACLES["op13_captured_fill_middle"] = FILL_SQL
+
+
+@query
+def op13_captured_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(_documents(spark, sf_dir), seed=7, rate=100, spm_rate=50)
+    restored = fill_middle.restored_text(F.col("form"), F.col("output"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256")
+    )
