@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from docuvet import fixed
 from docuvet.operators import blink_table as bt
+from docuvet.operators import timed_effects as te
+from docuvet.operators import timed_table as tt
 from docuvet.operators.ordered import time_chunk, with_carried
 from docuvet.params import LivenessParams, TimedLivenessParams
 
@@ -88,21 +90,26 @@ def blink_bits(base: Column, smoothed: Column, params) -> dict[str, Column]:
     }
 
 
-def frame_symbols(frames: DataFrame, chunk_seconds: int, params: LivenessParams = LivenessParams()) -> DataFrame:
-    """One small number per frame and challenge machine."""
+def carried_frames(frames: DataFrame, chunk_seconds: int, smooth_frames: int) -> DataFrame:
+    """Frames with what earlier ones leave to them: the previous challenge, the stretch with a face, and the smoothed eye ratio."""
     number = lambda c: F.col(c).cast("double")
     timed = frames.withColumns(
         {"chunk": time_chunk(F.col("ts"), chunk_seconds), "ear_l": number("ear_l"), "ear_r": number("ear_r"), "yaw": number("yaw")}
     ).withColumn("ear", F.when(F.col("face_count") == 1, (F.col("ear_r") + F.col("ear_l")) / 2.0))
     # Earlier values of frames with one face are carried, one pass for each that the mean needs; the first pass carries the rest too.
     rows = with_carried(timed, KEY, ORDER, {"previous": "challenge", "ear_1": "ear"}, {"face_run": F.col("face_count") == 0})
-    for i in range(2, params.smooth_frames):
+    for i in range(2, smooth_frames):
         rows = with_carried(rows.withColumn("_own", F.when(F.col("ear").isNotNull(), F.col(f"ear_{i - 1}"))), KEY, ORDER, {f"ear_{i}": "_own"}).drop("_own")
-    values = ["ear", *[f"ear_{i}" for i in range(1, params.smooth_frames)]]
+    values = ["ear", *[f"ear_{i}" for i in range(1, smooth_frames)]]
     # Oldest first, as the mean of a short history is summed.
     total = sum((F.coalesce(c, F.lit(0.0)) for c in reversed(values)), F.lit(0.0))
     known = sum((F.col(c).isNotNull().cast("int") for c in values), F.lit(0))
-    rows = rows.withColumn("smoothed", F.when(F.col("ear").isNotNull(), total / known.cast("double"))).drop(*values[1:])
+    return rows.withColumn("smoothed", F.when(F.col("ear").isNotNull(), total / known.cast("double"))).drop(*values[1:])
+
+
+def frame_symbols(frames: DataFrame, chunk_seconds: int, params: LivenessParams = LivenessParams()) -> DataFrame:
+    """One small number per frame and challenge machine."""
+    rows = carried_frames(frames, chunk_seconds, params.smooth_frames)
     rows = rows.join(baselines(rows, params), KEY, "left")
     active = F.coalesce(
         (F.col("face_count") == 1) & (F.struct(*ORDER) >= F.col("calibrated_at")), F.lit(False)
@@ -207,6 +214,132 @@ def session_summary(frames: DataFrame, chunk_seconds: int = 60, params: Liveness
     ).withColumn("all_passed", F.col("blink_passed") & F.col("left_passed") & F.col("right_passed"))
 
 
+def run_baselines(rows: DataFrame, params: TimedLivenessParams) -> DataFrame:
+    """Open-eye baseline of every stretch with a face that is long enough, and the frame that completed its calibration."""
+    n = params.calibration_frames
+    order = Window.partitionBy(KEY, "face_run").orderBy(*ORDER)
+    samples = rows.filter(F.col("face_count") == 1).select(KEY, *ORDER, "face_run", "smoothed")
+    first = samples.withColumn("_pos", F.row_number().over(order)).filter(F.col("_pos") <= n)
+    level = F.get(F.sort_array(F.collect_list("smoothed")), int(0.75 * n))
+    bounded = F.greatest(F.lit(params.baseline_min), F.least(F.lit(params.baseline_max), level))
+    return first.groupBy(F.col(KEY).alias("_key"), F.col("face_run").alias("_run")).agg(
+        F.count("*").alias("_n"), bounded.alias("baseline"), F.max(F.struct(*ORDER)).alias("calibrated_at")
+    ).filter(F.col("_n") == n).drop("_n")
+
+
+def timed_symbols(frames: DataFrame, chunk_seconds: int, params: TimedLivenessParams = TimedLivenessParams()) -> DataFrame:
+    """What the clock-driven machine needs of each frame: its milliseconds, conditions, fresh calibration, and turn.
+
+    Every stretch with a face is calibrated anew, by its own first frames.
+    """
+    rows = carried_frames(frames, chunk_seconds, params.smooth_frames)
+    same = F.col(KEY).eqNullSafe(F.col("_key")) & (F.col("face_run") == F.col("_run"))
+    rows = rows.join(run_baselines(rows, params), same, "left").drop("_key", "_run")
+    here, base, eye = F.struct(*ORDER), F.col("baseline"), F.col("smoothed")
+    active = F.coalesce((F.col("face_count") == 1) & (here >= F.col("calibrated_at")), F.lit(False))
+    closing, closed, reopen = base * params.closing_factor, F.greatest(F.lit(params.closed_floor), base * params.closed_factor), base * params.reopen_factor
+    shut, back = F.least(eye, F.greatest("ear_l", "ear_r")), F.greatest(eye, F.least("ear_l", "ear_r"))
+    # The order of these is that of the conditions of the transition table.
+    met = (shut <= closing, shut <= closed, eye >= base * params.open_factor, F.greatest(eye, "ear_l", "ear_r") >= closing, back >= reopen, eye >= reopen)
+    code = sum((F.coalesce(c, F.lit(False)).cast("int") * (1 << i) for i, c in enumerate(met)), F.lit(0))
+    blink, left, right = (active & (F.col("challenge") == c) for c in ("BLINK_TWICE", "TURN_LEFT", "TURN_RIGHT"))
+    fresh = F.coalesce(active & (here == F.col("calibrated_at")), F.lit(False))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return rows.select(
+        KEY, *ORDER, "face_count", F.unix_millis("ts").alias("at"), F.when(no(blink), code).otherwise(0).alias("conditions"), fresh.alias("fresh"),
+        (no(blink) | fresh).alias("blinks"), no(left).alias("left"), (no(left) | no(right)).alias("turns"),
+        no(F.when(left, F.col("yaw") >= params.turn_yaw).when(right, F.col("yaw") <= -params.turn_yaw)).alias("turned"), active.alias("active"),
+    )
+
+
+TIMED_EFFECTS = ("bounds", "state", "since", "gain", "turn")
+
+
+def timed_effects(symbols: DataFrame, params: TimedLivenessParams = TimedLivenessParams()) -> DataFrame:
+    """Effect of consecutive frames on the clock-driven machines: one row per session and partition, as in ``frame_effects``.
+
+    Frames are dealt by ranges of (session, time, frame). A batch of frames is reduced to one effect per session at once, and a
+    session's effects are joined from batch to batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = pc.fill_null(batch.column(0).dictionary_encode().indices, -1).to_numpy()
+            changed = np.append(True, codes[1:] != codes[:-1])
+            segment, first = np.cumsum(changed) - 1, np.flatnonzero(changed)
+            at, conditions, fresh, blinks, left, turns, turned = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 10))
+            found = te.blink_effects(te.Frames(segment[blinks], at[blinks], conditions[blinks], fresh[blinks]), len(first), params)
+            sides = te.turn_effects(segment[turns], at[turns], left[turns], turned[turns], len(first), params.turn_hold_ms)
+            rows = batch.take(pa.array(first)).select([0, 1, 2])
+            if held is not None:
+                if held[0].column(0)[0].as_py() == rows.column(0)[0].as_py():
+                    for array, value in zip(found, te.joined(held[1], tuple(x[0] for x in found)), strict=True):
+                        array[0] = value
+                    sides[0] = te.joined_turns(held[2], sides[0], params.turn_hold_ms)
+                    rows = pa.concat_batches([held[0], rows.slice(1)])
+                else:
+                    yield packed(held[0], [x[None] for x in held[1]], held[2][None])
+            if len(rows) > 1:
+                yield packed(rows.slice(0, len(rows) - 1), [x[:-1] for x in found], sides[:-1])
+            held = rows.slice(len(rows) - 1), tuple(x[-1].copy() for x in found), sides[-1].copy()
+        if held is not None:
+            yield packed(held[0], [x[None] for x in held[1]], held[2][None])
+
+    def packed(rows: pa.RecordBatch, found: list[np.ndarray], sides: np.ndarray) -> pa.RecordBatch:
+        lists = [pa.array(list(x.reshape(len(rows), -1)), pa.list_(pa.int64())) for x in (*found, sides)]
+        return pa.RecordBatch.from_arrays([*rows.columns, *lists], names=[KEY, *ORDER, *TIMED_EFFECTS])
+
+    kinds = dict(symbols.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in (KEY, *ORDER)], *[f"`{c}` array<bigint>" for c in TIMED_EFFECTS]])
+    ordered = symbols.select(KEY, *ORDER, "at", F.col("conditions").cast("long"), "fresh", "blinks", "left", "turns", "turned")
+    return ordered.repartitionByRange(KEY, *ORDER).sortWithinPartitions(KEY, *ORDER).mapInArrow(run, schema)
+
+
+def timed_session_summary(frames: DataFrame, chunk_seconds: int = 60, params: TimedLivenessParams = TimedLivenessParams()) -> DataFrame:
+    """Challenges passed, blinks and last state per session by the clock-driven rules, as the stream's ``TimedSession`` gives them.
+
+    Closures count by their duration, a turn by how long it is held, and a lost face means a new calibration. The effects of a
+    session's partitions, one row each, are chained from open eyes; ``chunk_seconds`` is as in ``session_summary``. Missing eye
+    ratios and angles meet no condition; a null session is a session of its own; no frames, no rows.
+    """
+    symbols = timed_symbols(frames, chunk_seconds, params)
+    seen = F.col("face_count") < 2
+    counted = symbols.groupBy(KEY).agg(
+        F.count("*").alias("frames"), F.max(F.when(seen, F.struct(*ORDER, "face_count", "active"))).alias("last_seen")
+    )
+    zero = lambda n=0: F.lit(n).cast("long")
+    start = F.struct(
+        zero().alias("state"), zero().alias("since"), zero().alias("gain"), F.lit(False).alias("left"), F.lit(False).alias("right"), zero(te.STOPPED).alias("turn")
+    )
+
+    def chain(acc: Column, e: Column) -> Column:
+        bounds = F.slice(e["bounds"], (acc["state"] * te.BOUNDS + 1).cast("int"), te.BOUNDS)
+        shut = acc["state"].between(te.CLOSING, te.OPENING)
+        step = F.when(shut, F.size(F.filter(bounds, lambda b: acc["since"] >= b))).otherwise(0)
+        place = (acc["state"] * te.STEPS + step).cast("int")
+        since, turn = F.get(e["since"], place), [F.get(e["turn"], n) for n in range(len(te.TURN))]
+        began = F.when(acc["turn"] != te.STOPPED, acc["turn"]).otherwise(turn[1])
+        passed = lambda known, lead: (known == 1) | (lead - began >= params.turn_hold_ms)
+        running = F.when(acc["turn"] != te.STOPPED, acc["turn"]).when(turn[1] != te.FAR, turn[1]).otherwise(zero(te.STOPPED))
+        return F.struct(
+            F.get(e["state"], place).alias("state"), F.when(since == te.KEPT, acc["since"]).otherwise(since).alias("since"),
+            (acc["gain"] + F.get(e["gain"], place)).alias("gain"), (acc["left"] | passed(turn[4], turn[2])).alias("left"),
+            (acc["right"] | passed(turn[5], turn[3])).alias("right"), F.when(turn[0] == 1, running).otherwise(turn[6]).alias("turn"),
+        )
+
+    parts = F.sort_array(F.collect_list(F.struct(*ORDER, *TIMED_EFFECTS)))
+    ends = timed_effects(symbols, params).groupBy(F.col(KEY).alias("_key")).agg(F.aggregate(parts, start, chain).alias("end"))
+    names = F.array(*[F.lit(s) for s in tt.STATES])
+    state = F.when(F.col("last_seen.active"), F.get(names, F.col("end.state").cast("int"))).when(F.col("last_seen.face_count") == 1, tt.STABILIZING).otherwise(tt.NO_FACE)
+    return counted.join(ends, F.col(KEY).eqNullSafe(F.col("_key"))).select(
+        KEY, "frames", F.col("end.gain").alias("blink_count"), (F.col("end.gain") >= params.blinks).alias("blink_passed"),
+        F.col("end.left").alias("left_passed"), F.col("end.right").alias("right_passed"), state.alias("last_state"),
+    ).withColumn("all_passed", F.col("blink_passed") & F.col("left_passed") & F.col("right_passed"))
+
+
 def turn_holds(frames: DataFrame, chunk_seconds: int, params: TimedLivenessParams = TimedLivenessParams()) -> DataFrame:
     """Stretches in which the head stays turned to one side, with their duration and whether it suffices."""
     chunked = frames.filter(F.col("face_count") == 1).withColumn("chunk", time_chunk(F.col("ts"), chunk_seconds))

@@ -31,7 +31,7 @@ def with_carried(
     ends = [F.max_by(old, F.when(F.col(old).isNotNull(), position)).alias(f"_end_{new}") for new, old in latest.items()]
     sums = [F.sum(f"_add_{n}").alias(f"_sum_{n}") for n in running]
     carried = rows.groupBy(key, "chunk").agg(*ends, *sums).select(
-        key, "chunk",
+        F.col(key).alias("_key"), F.col("chunk").alias("_chunk"),
         *[F.last(f"_end_{new}", ignorenulls=True).over(earlier).alias(f"_from_{new}") for new in latest],
         *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_from_{n}") for n in running],
     )
@@ -39,7 +39,8 @@ def with_carried(
         {new: F.last(old, ignorenulls=True).over(before) for new, old in latest.items()}
         | {n: F.sum(f"_add_{n}").over(upto) for n in running}
     )
-    joined = seen.join(carried, [key, "chunk"], "left").withColumns(
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("chunk").eqNullSafe(F.col("_chunk"))
+    joined = seen.join(carried, same, "left").drop("_key", "_chunk").withColumns(
         {new: F.coalesce(new, f"_from_{new}") for new in latest} | {n: F.col(n) + F.col(f"_from_{n}") for n in running}
     )
     return joined.drop(*[f"_from_{n}" for n in (*latest, *running)], *[f"_add_{n}" for n in running])

@@ -6,6 +6,7 @@ from docuvet.operators.blink_table import CONFIRMED, STALLED
 from docuvet.params import TimedLivenessParams
 
 OPEN, CLOSING, CLOSED, OPENING = "EYES_OPEN", "EYES_CLOSING", "EYES_CLOSED", "EYES_OPENING"
+NO_FACE, STABILIZING = "NO_FACE", "FACE_STABILIZING"
 STATES = (OPEN, CLOSING, CLOSED, OPENING, CONFIRMED, STALLED)
 # Conditions of a frame, one bit each: the smoothed ratio or both eyes against a threshold of the session.
 CONDITIONS = ("begins_to_shut", "is_shut", "is_wide", "rises", "is_back", "mean_is_back")
@@ -41,9 +42,9 @@ def timed_tables() -> tuple[np.ndarray, np.ndarray]:
 def conditions(ear: float, left: float, right: float, baseline: float, params: TimedLivenessParams) -> int:
     """The conditions of one frame as a number."""
     below = np.array([baseline * params.closing_factor, max(params.closed_floor, baseline * params.closed_factor)])
-    above = np.array([baseline * params.closing_factor, baseline * params.reopen_factor])
-    shut, back = min(ear, max(left, right)) <= below, max(ear, min(left, right)) >= above
-    met = (*shut, ear >= baseline * params.open_factor, *back, ear >= above[1])
+    reopen = baseline * params.reopen_factor
+    shut, back = min(ear, max(left, right)) <= below, max(ear, min(left, right))
+    met = (*shut, ear >= baseline * params.open_factor, max(ear, left, right) >= below[0], back >= reopen, ear >= reopen)
     return sum(1 << i for i, bit in enumerate(met) if bit)
 
 

@@ -1,9 +1,12 @@
 """Liveness queries over recorded frames."""
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from docuvet.functions import landmarks
 from docuvet.operators import liveness
+from docuvet.params import TimedLivenessParams
 from docuvet.plans.derive import CHUNK_DAY
 from docuvet.plans.registry import query
 
@@ -67,6 +70,45 @@ def liveness_sessions(t):
         "session_id", "frames", "blink_count", "blink_passed", "left_passed", "right_passed", "all_passed", "last_state")
 
 
+# The clock of the recorded frames runs so many times slower than a camera's.
+SLOW = 250_000
+SLOW_PARAMS = dataclasses.replace(
+    TimedLivenessParams(), **{name: getattr(TimedLivenessParams(), name) * SLOW for name in ("stall_ms", "min_blink_ms", "max_blink_ms", "turn_hold_ms")}
+)
+
+# The clock-driven machine, one frame per step and session.
+_TIMED = f"""WITH RECURSIVE {_FRAMES},
+g AS (SELECT f.*, CAST(f.yaw AS DOUBLE) AS y, sm.s3 AS s, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms FROM f LEFT JOIN sm USING (session_id, event_id)),
+m AS (
+SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS rn, 'NO_FACE' AS st, CAST(NULL AS DOUBLE) AS b, CAST([] AS DOUBLE[]) AS calib, 0 AS blinks, CAST(NULL AS BIGINT) AS since, CAST(NULL AS BIGINT) AS turn, false AS db, false AS dl, false AS dr FROM f
+UNION ALL
+SELECT session_id, rn, CASE WHEN NOT blinking THEN st1
+    WHEN st1 = 'EYES_OPEN' THEN CASE WHEN shut <= b1 * 0.70::DOUBLE THEN 'EYES_CLOSING' ELSE st1 END
+    WHEN st1 = 'EYES_CLOSING' THEN CASE WHEN shut <= greatest(0.12::DOUBLE, b1 * 0.52::DOUBLE) THEN 'EYES_CLOSED' WHEN s >= b1 * 0.85::DOUBLE THEN 'EYES_OPEN' ELSE st1 END
+    WHEN st1 IN ('EYES_CLOSED', 'EYES_OPENING') THEN CASE WHEN ms - since > {2500 * SLOW} THEN 'STALLED_CLOSED' WHEN back >= b1 * 0.80::DOUBLE THEN CASE WHEN blinked THEN 'BLINK_CONFIRMED' ELSE 'EYES_OPEN' END
+      WHEN greatest(s, l, r) >= b1 * 0.70::DOUBLE THEN 'EYES_OPENING' ELSE st1 END
+    WHEN st1 = 'BLINK_CONFIRMED' THEN 'EYES_OPEN'
+    WHEN st1 = 'STALLED_CLOSED' AND s >= b1 * 0.80::DOUBLE THEN 'EYES_OPEN' ELSE st1 END,
+  b1, calib1, blinks + blinked::INT, CASE WHEN blinking AND st1 = 'EYES_OPEN' AND shut <= b1 * 0.70::DOUBLE THEN ms ELSE since END,
+  CASE WHEN NOT turning THEN turn WHEN turned THEN coalesce(turn, ms) END, db OR (blinking AND blinks + blinked::INT >= 2),
+  dl OR (turning AND turned AND challenge = 'TURN_LEFT' AND ms - coalesce(turn, ms) >= {300 * SLOW}), dr OR (turning AND turned AND challenge = 'TURN_RIGHT' AND ms - coalesce(turn, ms) >= {300 * SLOW})
+FROM (SELECT *, blinking AND st1 IN ('EYES_CLOSED', 'EYES_OPENING') AND ms - since BETWEEN {35 * SLOW} AND {2000 * SLOW} AND back >= b1 * 0.80::DOUBLE AS blinked
+FROM (SELECT *, face_count = 1 AND b1 IS NOT NULL AND challenge = 'BLINK_TWICE' AS blinking, face_count = 1 AND b1 IS NOT NULL AND challenge <> 'BLINK_TWICE' AS turning,
+  CASE challenge WHEN 'TURN_LEFT' THEN y >= 12 ELSE y <= -12 END AS turned, least(s, greatest(l, r)) AS shut, greatest(s, least(l, r)) AS back,
+  CASE WHEN face_count = 0 THEN 'NO_FACE' WHEN face_count = 1 AND b IS NULL THEN CASE WHEN b1 IS NULL THEN 'FACE_STABILIZING' ELSE 'EYES_OPEN' END ELSE st END AS st1
+FROM (SELECT *, CASE WHEN face_count = 1 AND b IS NULL AND len(calib1) >= 6 THEN greatest(0.22::DOUBLE, least(0.40::DOUBLE, list_sort(calib1)[5])) WHEN face_count <> 0 THEN b END AS b1
+FROM (SELECT m.session_id, g.rn, m.st, m.b, m.blinks, m.since, m.turn, m.db, m.dl, m.dr, g.challenge, g.face_count, g.s, g.l, g.r, g.y, g.ms,
+  CASE WHEN g.face_count = 0 THEN CAST([] AS DOUBLE[]) WHEN g.face_count = 1 AND m.b IS NULL THEN list_append(m.calib, g.s) ELSE m.calib END AS calib1
+FROM m JOIN g ON g.session_id = m.session_id AND g.rn = m.rn + 1)))))"""
+
+
+@query("timed_liveness_sessions", f"""{_TIMED}
+SELECT session_id, rn AS frames, CAST(blinks AS BIGINT) AS blink_count, db AS blink_passed, dl AS left_passed, dr AS right_passed, db AND dl AND dr AS all_passed, st AS last_state
+FROM m WHERE (session_id, rn) IN (SELECT (session_id, max(rn)) FROM f GROUP BY session_id)""")
+def timed_liveness_sessions(t):
+    return liveness.timed_session_summary(liveness.dedupe_frames(t.frames), CHUNK_DAY, SLOW_PARAMS)
+
+
 # The recorded frames lie minutes apart; a hold is judged on their own scale of time.
 @query("turn_holds", """
 WITH a AS (SELECT *, CASE WHEN yaw >= 12 THEN 'LEFT' WHEN yaw <= -12 THEN 'RIGHT' ELSE 'NONE' END AS side FROM <frames> WHERE face_count = 1),
