@@ -7,6 +7,8 @@ part (the rows of one writing task); ``before`` counts those before a shard insi
 """
 
 import functools
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,11 @@ LEAST_COUNT, LEAST_SAVING = 4, 200
 CELLS = 1 << 19
 #: How the byte-level tokenizer cuts texts. Fixed value.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space in Unicode. Fixed value.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The look-ahead keeps the last blank of a run for what follows. Where the text is cut there first, the pattern needs none.
+BEFORE_LAST_BLANK = re.compile(f"[{WHITE}](?=[{WHITE}][^{WHITE}])")
+WITHOUT_LOOK_AHEAD = BYTE_LEVEL.replace(r"\s+(?!\S)|", "")
 SHARDS, PARTS = "shards", "parts"
 SCHEMA = (
     "part int, before long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, doc_symbols array<long>, first_rule long, "
@@ -45,7 +52,7 @@ def _coders(vocabulary_path: str):
     byte_of = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
     ranks = {bytes(byte_of[c] for c in token): n for token, n in tokenizer.get_vocab(with_added_tokens=False).items() if set(token) <= byte_of.keys()}
     ranks = {token: n for token, n in ranks.items() if n < len(ranks)}
-    return tokenizer, tiktoken.Encoding("bytes", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}), set(), set()
+    return tokenizer, tiktoken.Encoding("bytes", pat_str=WITHOUT_LOOK_AHEAD, mergeable_ranks=ranks, special_tokens={}), set(), set()
 
 
 class ByteIds:
@@ -79,7 +86,11 @@ class ByteIds:
 
     def encode(self, text: str) -> np.ndarray:
         if self._plain(text):
-            return np.array(self.coder.encode_ordinary(text), np.uint32)
+            cuts = [m.end() for m in BEFORE_LAST_BLANK.finditer(text)]
+            ids = array("I")
+            for start, stop in zip([0, *cuts], [*cuts, len(text)], strict=True):
+                ids.extend(self.coder.encode_ordinary(text[start:stop]))
+            return np.frombuffer(ids, np.uint32)
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     @property

@@ -100,8 +100,8 @@ def test_frequent_pairs_become_rules():
 
 def test_ids_of_characters_on_which_tables_differ(tokenizer):
     coder = token_grammar.ByteIds(VOCABULARY)
-    for c in [chr(p) for p in (0x558, 0x88F, 0x1DB0, 0xA7CE, 0x10940, 0x18D10, 0x323B0, 0x3FC3F, 0x200B, 0x85, 0xA0, 0x1C, 0x3000, 0x2160, 0x301, 0xD7A4)]:
-        for text in (c, f"a{c}b {c}1{c}2  {c}.{c}", f"\t{c}\n{c} x"):
+    for c in [chr(p) for p in (0x558, 0x88F, 0x1DB0, 0xA7CE, 0x10940, 0x18D10, 0x323B0, 0x3FC3F, 0x200B, 0x85, 0xA0, 0x1C, 0x3000, 0x2160, 0x301, 0xD7A4, 9, 11, 12, 13, 32, 0x1F, 0x1680, 0x2003, 0x2029, 0x202F, 0x205F, 0x180E, 0xFEFF)]:
+        for text in (c, f"a{c}b {c}1{c}2  {c}.{c}", f"\t{c}\n{c} x", f"a  {c}  b", f"a {c} {c}b\n\n{c}\n\n b", c * 4 + "1"):
             assert coder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, hex(ord(c))
 
 
