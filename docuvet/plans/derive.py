@@ -220,6 +220,16 @@ SELECT c_custkey AS case_id, CASE WHEN c_custkey % 4 = 0 THEN 'FAILED' ELSE 'PAS
 FROM {customer}"""
 SQL["case_liveness"] = """
 SELECT c_custkey AS case_id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_custkey % 7 <> 0 END AS liveness_passed FROM {customer}"""
+# Results of a case as three streams: face results come within minutes, some liveness results too late or never.
+SQL["case_documents"] = SQL["signals"].replace("CAST(100 - (o_orderkey % 45) AS decimal(9,1)) AS similarity,", "").replace(
+    "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 19 <> 0 END AS liveness_passed,", "").replace(
+    "o_orderdate AS screened_at", "CAST(o_orderdate AS timestamp) AS screened_at")
+SQL["case_face_results"] = """
+SELECT o_orderkey AS case_id, CAST(o_orderdate AS timestamp) + INTERVAL 1 SECOND * (o_orderkey % 900 - 300) AS compared_at, CAST(100 - (o_orderkey % 45) AS decimal(9,1)) AS similarity
+FROM {orders} WHERE o_orderkey % 6 <> 0"""
+SQL["case_liveness_results"] = """
+SELECT o_orderkey AS case_id, CAST(o_orderdate AS timestamp) + INTERVAL 1 SECOND * (o_orderkey % 750) AS checked_at, o_orderkey % 19 <> 0 AS liveness_passed
+FROM {orders} WHERE o_orderkey % 5 <> 0"""
 # Fraud labels and analyst overrides per case.
 SQL["case_truth"] = "SELECT o_orderkey AS case_id, o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 37 = 0 AS is_fraud FROM {orders}"
 SQL["overrides"] = """
