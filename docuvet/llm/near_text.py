@@ -152,26 +152,45 @@ def _blocked(members: DataFrame, key: str, weight: Column) -> DataFrame:
     return pairs.withColumns({"low": F.least("_block", "_other"), "high": F.greatest("_block", "_other")}).drop("_other", "_blocks")
 
 
-def _alike(unassigned: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that join all members of a bucket whose estimates do not speak against the threshold."""
+def _across(entries: DataFrame, groups: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between classes of one bucket that are not in one group yet and whose estimate does not speak against the threshold.
+
+    In every bucket the members beside its largest group meet all others, in blocks of bounded size; members of one group are not
+    compared again. A block pair gives as many links as join what it finds. So after this any two classes of a bucket are in one
+    group, or have been compared with each other.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, n = table["doc_id"].to_numpy(), table["n_shingles"].to_numpy().astype(float)
+        ids, n, group = table["doc_id"].to_numpy(), table["n_shingles"].to_numpy().astype(float), table["group_id"].to_numpy()
         rows = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(ids), -1)
-        equal = np.zeros((len(ids), len(ids)), np.int16)
+        beside = np.asarray(table["beside"])
+        s, t = np.flatnonzero(beside), np.flatnonzero(~beside)
+        equal = np.zeros((len(s), len(t)), np.int16)
         for i in range(rows.shape[1]):
-            equal += rows[:, i, None] == rows[None, :, i]
-        near = (equal >= (_cut(threshold) - 0.1) * REGISTERS) & (np.minimum(n[:, None], n) >= (threshold - 1e-9) * np.maximum(n[:, None], n))
-        x, y = np.nonzero(np.triu(near, 1))
+            equal += rows[s, i, None] == rows[None, t, i]
+        fits = np.minimum(n[s, None], n[None, t]) >= (threshold - 1e-9) * np.maximum(n[s, None], n[None, t])
+        x, y = np.nonzero((equal >= (_cut(threshold) - 0.1) * REGISTERS) & fits & (group[s, None] != group[None, t]))
+        near = np.zeros((len(ids), len(ids)), bool)
         for at in range(0, len(x), 1000):
-            i, j = x[at : at + 1000], y[at : at + 1000]
+            i, j = s[x[at : at + 1000]], t[y[at : at + 1000]]
             near[i, j] = near[j, i] = likely_similarity(rows[i], rows[j], n[i], n[j]) >= _cut(threshold)
         a, b = _spanning(ids, near)
         return pa.table({"a": a, "b": b})
 
-    members = unassigned.join(sketches.select("doc_id", "n_shingles", "registers"), "doc_id")
-    blocks = _blocked(members, "bucket", F.lit(0))
-    return blocks.select("bucket", "low", "high", "doc_id", "n_shingles", "registers").groupBy("bucket", "low", "high").applyInArrow(
+    placed = entries.select("bucket", "doc_id").join(groups, "doc_id", "left").withColumn("group_id", F.coalesce("group_id", "doc_id"))
+    sizes = placed.groupBy("bucket", "group_id").agg(F.count("*").alias("_n"))
+    mixed_buckets = sizes.groupBy("bucket").agg(F.max_by("group_id", F.struct("_n", "group_id")).alias("main"), F.sum("_n").alias("all"), F.max("_n").alias("_main_n")).filter(
+        F.col("all") > F.col("_main_n")
+    )
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    members = placed.join(mixed_buckets, "bucket").withColumns({"_rows": blocks(F.col("all") - F.col("_main_n")), "_columns": blocks(F.col("all"))})
+    members = stored(members.select("bucket", "doc_id", "group_id", "main", "_rows", "_columns"), "mixed")
+    place = lambda count: F.pmod(F.xxhash64("doc_id"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    small = members.filter("group_id <> main").select("bucket", "doc_id", "group_id", F.lit(True).alias("beside"), place("_rows").alias("low"), every("_columns").alias("high"))
+    whole = members.select("bucket", "doc_id", "group_id", F.lit(False).alias("beside"), place("_columns").alias("high"), every("_rows").alias("low"))
+    met = small.unionByName(whole).join(sketches.select("doc_id", "n_shingles", "registers"), "doc_id")
+    return met.select("bucket", "low", "high", "doc_id", "group_id", "beside", "n_shingles", "registers").groupBy("bucket", "low", "high").applyInArrow(
         run, "a long, b long"
     )
 
@@ -240,8 +259,8 @@ def link_documents(documents: DataFrame, k: int = 4, per_cent: int = 80) -> Data
 
     Equal sets become one class first, by a digest that sums hashes of all their elements. SetSketch registers of each class are
     hashed in bands. In every bucket, classes are compared with the one that shares most buckets by an estimate of joint
-    likelihood, and those that it speaks against among themselves. What the estimates join are candidate groups; their texts
-    meet once. Each member is confirmed on full sets against its group's center, and groups that this leaves in parts are
+    likelihood; then all that lie in different groups after this are compared with each other. What the estimates join are
+    candidate groups; their texts meet once. Each member is confirmed on full sets against its group's center, and groups that this leaves in parts are
     compared whole, in blocks. So copies cost one comparison a member, no pairs are written, and every link is confirmed.
 
     Null or empty text, or only white space: an empty set, linked with nothing. Rows of a repeated doc_id are one document with
@@ -269,11 +288,10 @@ def link_documents(documents: DataFrame, k: int = 4, per_cent: int = 80) -> Data
     leader = F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("a")
     starred = stored(entries.join(entries.groupBy("bucket").agg(leader), "bucket").filter("doc_id <> a"), "stars")
     near = stored(_estimated(starred.select("a", F.col("doc_id").alias("b")).distinct(), firsts, threshold), "near")
-    rest = starred.join(near.withColumnRenamed("b", "doc_id"), ["a", "doc_id"], "left_anti").select("bucket", "doc_id")
-    several = rest.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-    near = near.union(_alike(stored(rest.join(several, "bucket"), "rest"), firsts, threshold))
-
-    groups = stored(components(near).withColumnsRenamed({"id": "doc_id", "component_id": "group_id"}), "groups")
+    stars = stored(components(near).withColumnsRenamed({"id": "doc_id", "component_id": "group_id"}), "star-groups")
+    across = stored(_across(entries, stars, firsts, threshold), "across")
+    edges = stars.select(F.col("doc_id").alias("a"), F.col("group_id").alias("b")).union(across)
+    groups = stored(components(edges).withColumnsRenamed({"id": "doc_id", "component_id": "group_id"}), "groups")
     center = groups.join(weights, "doc_id").groupBy("group_id").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("center"))
     members = stored(groups.join(center, "group_id"), "members")
     # Merged at every size: the ids grow with the texts.

@@ -42,6 +42,26 @@ def brute_components(sets):
     return {i: find(i) for i in sets}
 
 
+def test_no_link_is_lost_near_a_hub(spark):
+    """Pairs (x, y) at 0.84 of which x is like a large group's texts (0.70) and y is not (0.58): both are found together."""
+    n, pairs = 400, 600
+    base = [f"b{i}" for i in range(n)]
+    texts, first = [" ".join([*base[: 3 + i], f"v{i}", *base[4 + i :]]) for i in range(100)], 100
+    for p in range(pairs):
+        own = [f"x{p}.{i}" for i in range(n)]
+        x = [*base[: int(0.8235 * n)], *own[int(0.8235 * n) :]]
+        y = [*[f"y{p}.{i}" for i in range(int(0.088 * n))], *x[int(0.088 * n) :]]
+        texts += [" ".join(x), " ".join(y)]
+    sets = [shingle_set(t) for t in texts[first - 1 : first + 2]]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert 0.8 < alike(sets[1], sets[2]) < 0.86 and 0.67 < alike(sets[0], sets[1]) < 0.73 and 0.55 < alike(sets[0], sets[2]) < 0.61
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, raw_text string")
+    found = {r.doc_id: r.component_id for r in near_text.link_documents(df).collect()}
+    assert all(found[i] == 0 for i in range(first))
+    lost = [p for p in range(pairs) if found[first + 2 * p] != found[first + 2 * p + 1]]
+    assert lost == [] and all(found[first + 2 * p] == first + 2 * p for p in range(pairs))
+
+
 def test_near_copies_match_brute_force(spark):
     rng = random.Random(3)
     words = [f"w{n}" for n in range(60)] + ["Äpfel", "ÄPFEL", "X", "x"]
