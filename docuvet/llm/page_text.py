@@ -31,6 +31,10 @@ NOISE_WORDS = frozenset(
     "respond disqus cookie cookies consent notice notices gdpr newsletter subscribe subscription signup login popup modal overlay pager "
     "pagination toolbar toc skip copyright disclaimer complementary contentinfo search".split()
 )
+#: Those of them that name what readers wrote.
+READERS_WORDS = frozenset("comment comments reply replies respond disqus".split())
+#: A name with one of these words says what a part has, not what it is.
+TELLING_OF_OTHERS = frozenset("has with without no not show hide enabled disabled layout".split())
 WORD = re.compile(r"[a-z]+")
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -42,19 +46,27 @@ LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 8
 NAMED_IMPORTANCE = 0.5
 #: How much less each further style of a node counts its own variety against what is below it.
 DAMPING = 0.9
-DEEPEST = 32
+#: Largest shares of the text that a name may cover: a part that holds more is what the page is about, whatever it is called.
+#: Readers' comments may be longer than the article.
+NAMED_SHARE, READERS_SHARE = 0.75, 0.95
+PLAIN, NAMED, READERS = range(3)
 MASK = (1 << 64) - 1
 
 
-def _kind(name: str, attributes: str) -> tuple[str, bool]:
-    """A node's label in the style tree and whether its attributes name it as noise."""
+def _kind(name: str, attributes: str) -> tuple[str, int]:
+    """A node's label in the style tree, and whether its attributes name it as noise, as readers' comments, or not."""
     if not attributes or "=" not in attributes:
-        return name, False
+        return name, PLAIN
     words: list[str] = []
+    naming: set[str] = set()
     for key, *values in ATTRIBUTE.findall(attributes):
-        words += WORD.findall(next((v for v in values if v), "").lower())
-    named = name not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(words)
-    return ".".join([name, *words[:4]]), named
+        for token in next((v for v in values if v), "").lower().split():
+            found = WORD.findall(token)
+            words += found
+            if TELLING_OF_OTHERS.isdisjoint(found):
+                naming.update(found)
+    kind = READERS if not READERS_WORDS.isdisjoint(naming) else NAMED if not NOISE_WORDS.isdisjoint(naming) else PLAIN
+    return ".".join([name, *words]), PLAIN if name in ("html", "body", "article", "main") else kind
 
 
 class Element:
@@ -72,16 +84,12 @@ class Element:
 
 
 class Block(NamedTuple):
-    """A text as written, its digest, and where it stands; ``glued``: it goes on in the line of the block before.
-
-    ``loose``: an element around it is named as noise and lies too deep for a node of its own.
-    """
+    """A text as written, its digest, and where it stands; ``glued``: it goes on in the line of the block before."""
 
     text: str
     digest: int
     node: int
     noise: bool
-    loose: bool
     main: int
     top: int
     glued: bool
@@ -92,8 +100,7 @@ class Page:
 
     ``blocks``: in order. ``parents``: of each node outside noise tags. ``contents`` and ``styles``: for each finished branch there
     its node with the digest of its text, and of the sequence of its children.
-    A node is the chain of labels from the root, odd if its last label is named as noise; levels beyond ``DEEPEST`` count to the
-    last one.
+    A node is the chain of labels from the root, whatever its depth; its last two bits tell how its last label is named.
     """
 
     def __init__(self, source: str | None):
@@ -105,7 +112,6 @@ class Page:
         self._text: list[str] = []
         self._glue = False
         self._open = [Element("", 0, False, 0, 0, 0, False, True)]
-        self._depth, self._loose = 0, 0
         source = source or ""
         at = 0
         while True:
@@ -147,6 +153,17 @@ class Page:
             below[parent] += below[node]
         return {node: ((total if node in self.inside else whole) - inner) & MASK for node, inner in below.items()}
 
+    def shares(self) -> dict[int, float]:
+        """For each node what share of the text of the main element, or of the page without one, its branches hold."""
+        held, total = dict.fromkeys([0, *self.parents], 0), 0
+        for b in self.blocks:
+            if not b.noise and b.main == self.main:
+                held[b.node] += len(b.text)
+                total += len(b.text)
+        for node, parent in reversed(self.parents.items()):
+            held[parent] += held[node]
+        return {node: n / total if total else 0.0 for node, n in held.items()}
+
     def asked(self) -> set[int]:
         """Nodes that decide on the blocks of the page's text: from each block up to the main element, or to the root."""
         out: set[int] = set()
@@ -168,7 +185,7 @@ class Page:
                 top = self._open[-1]
                 digest = xxhash.xxh3_64_intdigest(text)
                 top.content = top.content * 0x9E3779B97F4A7C15 + digest & MASK
-                self.blocks.append(Block(text, digest, top.node, top.noise, self._loose > 0, top.main, top.top, self._glue))
+                self.blocks.append(Block(text, digest, top.node, top.noise, top.main, top.top, self._glue))
                 self._glue = glue
             self._text = []
         self._glue = self._glue and glue
@@ -181,10 +198,6 @@ class Page:
                 above.content = xxhash.xxh3_64_intdigest(done.content.to_bytes(8, "little"), above.content)
             if not done.branch:
                 above.children = done.children
-            if done.branch:
-                self._depth -= 1
-            if done.names > above.names and done.node == above.node:
-                self._loose -= 1
         if done.branch and not done.noise:
             self.contents.add((done.node, done.content))
             if done.children:
@@ -217,22 +230,18 @@ class Page:
             if self._open[near].name == name and name in CLOSES_ITSELF or self._open[near].name == "p":
                 self._down_to(near)
         above = self._open[-1]
-        node, branch, noise = above.node, named or not inline, above.noise or name in DROPPED
-        if branch and self._depth < DEEPEST:
-            node = xxhash.xxh3_64_intdigest(label, above.node) >> 2 << 1 | named
+        node, branch, noise = above.node, named != PLAIN or not inline, above.noise or name in DROPPED
+        if branch:
+            node = xxhash.xxh3_64_intdigest(label, above.node) >> 3 << 2 | named
             if not noise:
                 self.parents[node] = above.node
                 if above.main:
                     self.inside.add(node)
             above.children = xxhash.xxh3_64_intdigest(label, above.children) if label != "p" or above.children == 0 else above.children
-        elif named:
-            self._loose += 1
-        if branch:
-            self._depth += 1
         main, top = above.main, above.top
         if not main and name in MAIN:
             main, top = above.names + 1, node
-        element = Element(name, node, noise, above.names + named, main, top, inline, branch)
+        element = Element(name, node, noise, above.names + (named != PLAIN), main, top, inline, branch)
         element.children = 0 if branch else above.children
         self._open.append(element)
 
@@ -328,23 +337,25 @@ def importances(entries: DataFrame) -> DataFrame:
 
 
 def judged_branches(trees: DataFrame) -> DataFrame:
-    """host, node, verdict: the node where its branch goes; less the node where its name as noise does not hold.
+    """host, node, verdict: the nodes whose branches go.
 
     A branch goes if it is of little importance, content included, on enough pages that differ elsewhere. One that is named as
-    noise goes at a higher importance already, and its name falls if the tree, on as many pages, finds more than that.
+    noise goes at a higher importance already.
     """
-    named, poor = F.col("node").bitwiseAND(1) == 1, F.greatest("importance", "own") < LEAST_IMPORTANCE
+    named, poor = F.col("node").bitwiseAND(3) != PLAIN, F.greatest("importance", "own") < LEAST_IMPORTANCE
     goes = F.when(named, F.col("own") < NAMED_IMPORTANCE).otherwise(poor)
     known = trees.filter((F.col("pages") >= LEAST_PAGES) & (F.col("around") >= LEAST_IMPORTANCE) & (F.col("node") != 0))
-    return known.filter(goes | named).select("host", "node", F.when(goes, F.col("node")).otherwise(-F.col("node")).alias("verdict"))
+    return known.filter(goes).select("host", "node", F.col("node").alias("verdict"))
 
 
 def text_of(source: str | None, verdicts: frozenset[int] = frozenset()) -> str:
     """Blocks of the page's main element, or of the whole page if it has none, without noise and dropped branches.
 
-    Where the tree is silent about a branch named as noise, it stays inside the main element and goes elsewhere, unless all goes.
+    A branch that a name covers goes too, unless it holds nearly all of that text, or all would go.
     """
     page = Page(source)
+    shares = page.shares()
+    bound = {NAMED: NAMED_SHARE, READERS: READERS_SHARE}
     gone: dict[tuple[int, int], bool] = {}
 
     def lost(b: Block, names: bool) -> bool:
@@ -354,10 +365,11 @@ def text_of(source: str | None, verdicts: frozenset[int] = frozenset()) -> str:
             node = page.parents[node]
         state = gone.get((node, b.top), False)
         for node in reversed(chain):
-            state = gone[node, b.top] = state or node in verdicts or names and bool(node & 1) and -node not in verdicts
-        return state or names and b.loose
+            covered = names and node & 3 and shares[node] <= bound[node & 3]
+            state = gone[node, b.top] = state or node in verdicts or bool(covered)
+        return state
 
-    for names in (False,) if page.main else (True, False):
+    for names in (True, False):
         gone.clear()
         lines: list[str] = []
         last = False
@@ -383,10 +395,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """Main text of web pages (``page_id``, ``url``, ``html``); screening itself has no such records, so these stay general.
 
     The style trees of all hosts are built from all pages first; then each page loses branches that its host's tree holds of
-    little importance, and parts that tags name as navigation, header, footer, aside, notice, advert, form or comments. A class, id
-    or role that names a branch so makes it go at a higher importance; the name alone decides only outside main elements where
-    fewer than ``LEAST_PAGES`` pages of the host have the branch. A page with an article or main element gives that element's text,
-    whatever the branches around it are named. Copies of an article are articles: nothing goes for being alike on pages that are
+    little importance, and parts that tags name as navigation, header, footer, aside, form and so on. Readers' comments, notices
+    and adverts differ from page to page, so no entropy tells them from an article; a class, id or role that names a branch so makes
+    it go, inside main elements too, unless it holds more than ``NAMED_SHARE`` (comments: ``READERS_SHARE``) of the text there; such
+    a branch goes if the tree finds its content of little importance. A page with an article or main element gives that element's
+    text, whatever the branches around it are named. Copies of an article are articles: nothing goes for being alike on pages that are
     alike around it too. Character references are decoded, white space inside a block becomes one blank, blocks follow each other
     in page order with a line feed between.
     Returns page_id, url, text, n_chars (code points). Null or empty html: an empty text. A url that is null or has no host joins

@@ -258,19 +258,48 @@ def test_repeated_boxes_inside_an_article_go(spark):
     assert got[100] == got[119] == "Story number copied\nMore on copied\nown list"
 
 
-def test_class_words_need_the_tree(spark):
-    """No name covers the article, varying parts of it stay whatever their names are, repeated ones go."""
+def test_class_words_name_parts_beside_the_text(spark):
+    """A name takes its part away wherever it stands, but covers neither the article nor nearly all of the text."""
+    story = "The story of the day in many words, told from its beginning to its end. " * 3
+
     def page(n):
-        part = f"<section class='related-work'><p>Others {n}</p></section><p class=notice>Note <span class=share>no. {n}</span>!</p><div class=share-it>Share</div>"
-        return f"<div class='layout has-sidebar'><div class=comments><article>said {n}</article></div><article><p>Story {n}</p>{part}</article>side</div>"
+        part = f"<section class='related-links'><p>Others {n}</p></section><p class=notice>Note {n}</p><div class=share-it>Share</div>"
+        return f"<div class='layout has-sidebar'><div class=comments><article>said {n}</article></div><article><p>{story}{n}</p>{part}</article>side</div>"
 
     rows = [(n, "https://one.example.org/p", page(n)) for n in range(20)]
     rows += [(100, "https://two.example.org/p", page(100))]
     rows += [(200 + n, "https://three.example.org/p", f"<div class=with-comments><div>Story {n}</div><div class=menu>All</div></div>") for n in range(20)]
+    # A class word round the body of the article; nothing else is there.
+    rows += [(300, "https://four.example.org/p", f"<article><h1>T</h1><div class='sidebar'><p>{story}</p></div></article>")]
+    rows += [(301, "https://four.example.org/q", "<div class=comments><p>only this</p></div>")]
     got = _texts(spark, rows)
-    assert got[3] == "Story 3\nOthers 3\nNote no. 3!"
-    assert got[100] == "Story 100\nOthers 100\nNote no. 100!\nShare"
-    assert got[203] == "Story 3"
+    assert got[3] == f"{story}3" and got[100] == f"{story}100" and got[203] == "Story 3"
+    assert got[300] == f"T\n{story.strip()}" and got[301] == "only this"
+
+
+def test_readers_comments_and_notices_inside_articles_go(spark):
+    """They differ from page to page, so the tree cannot tell them from the article; long threads go as well."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(rng.choice("so far the plan of this town was not what people had in mind then".split()) for _ in range(n))
+    rows, want = [], {}
+    for n in range(24):
+        body = [words(30) for _ in range(2)]
+        thread = "".join(f"<li class='comment depth-1'><b class=author>R{n}{i}</b><time>{i} May</time><p>{words(25)}</p></li>" for i in range(n % 12))
+        kind = (f"<div class='comments'><ol>{thread}</ol></div>", f"<section id='reader-comments'>{thread.replace('<li', '<article').replace('</li', '</article')}</section>")[n % 2]
+        extra = f"<div class='cookie-notice'>We use cookies {n}</div><div class='ad slot'>{words(4)}</div>"
+        rows.append((n, f"https://h{n % 3}.example.org/{n}", f"<main><article><h1>Title {n}</h1><p>{body[0]}</p>{extra}<p>{body[1]}</p>{kind}</article></main>"))
+        want[n] = f"Title {n}\n{body[0]}\n{body[1]}"
+    assert _texts(spark, rows) == want
+
+
+def test_branches_at_any_depth(spark):
+    """The same repeated box and the same named part go at depth 3 and at depth 60."""
+    def page(n, depth):
+        deep = "<div>" * depth
+        return f"<article>{deep}<p>Story number {n} of this house</p><div>Send this on</div><div class=comments>said {n}</div>{'</div>' * depth}</article>"
+
+    rows = [(100 * depth + n, f"https://d{depth}.example.org/p", page(n, depth)) for depth in (3, 40, 60) for n in range(12)]
+    assert set(_texts(spark, rows).items()) == {(100 * depth + n, f"Story number {n} of this house") for depth in (3, 40, 60) for n in range(12)}
 
 
 def test_branches_of_a_small_share_of_a_host_go(spark):
