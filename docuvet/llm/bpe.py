@@ -51,7 +51,13 @@ def _encoded(encoding, text: str) -> tuple[int, bytes, bytes, list[int]]:
 
 
 def _long_documents(long: DataFrame, ranks_path: str, pattern: str, size: int, overlap: int, with_ids: bool, schema: str) -> DataFrame:
-    """Long texts: chunk rows, boundaries per chunk, cuts where neighbours agree, segments, digests in the order of segments."""
+    """Long texts: chunk rows, boundaries per chunk, cuts where neighbours agree, segments, digests in the order of segments.
+
+    A boundary of a chunk is one of the text if the chunk is in step with it. Chunk 0 is, and so is every chunk that agrees with a
+    neighbour before it that is. A text with neighbours that nowhere agree is cut anew, chunk after chunk, from its beginning.
+    """
+    # A cut must lie before all boundaries that the same chunk has in common with the next one.
+    overlap = min(overlap, size)
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,6 +75,29 @@ def _long_documents(long: DataFrame, ranks_path: str, pattern: str, size: int, o
             names = ["row_key", "chunk", "head", "tail"]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *(pa.array(x, pa.list_(pa.int32())) for x in (heads, tails))], names=names)
 
+    def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, doc, segment, carried, tried = None, None, 0, "", 0
+
+        def rows(parts: list[str]) -> pa.RecordBatch:
+            numbers = [segment + n for n in range(len(parts))]
+            return pa.RecordBatch.from_pydict({"doc_id": [doc] * len(parts), "row_key": [now] * len(parts), "segment": numbers, "part": parts}, schema=segment_schema)
+
+        for batch in batches:
+            for x in batch.to_pylist():
+                if x["row_key"] != now:
+                    now, doc, segment, carried, tried = x["row_key"], x["doc_id"], 0, "", 0
+                carried += x["part"] if x["last"] else x["part"][:size]
+                if x["last"]:
+                    yield rows([carried])
+                    carried = ""
+                elif len(carried) >= 2 * tried:
+                    # What lies within an overlap of the end may read otherwise once more text is there.
+                    ends = [e for e in boundaries(carried, pattern, False) if e <= len(carried) - overlap]
+                    tried = 0 if ends else len(carried)
+                    if ends:
+                        yield rows([carried[: ends[-1]]])
+                        segment, carried = segment + 1, carried[ends[-1] :]
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = coder(ranks_path, pattern)
         for batch in batches:
@@ -94,21 +123,23 @@ def _long_documents(long: DataFrame, ranks_path: str, pattern: str, size: int, o
             yield _result([doc], [n], [digest.hexdigest()], [back.hexdigest()], [every] if with_ids else None)
 
     chunk_schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("chunk", pa.int32()), ("part", pa.string())])
+    segment_schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("segment", pa.int64()), ("part", pa.string())])
     chunks = stored(long.mapInArrow(chunked, "doc_id long, row_key long, chunk int, part string"), "chunks").repartition("row_key", "chunk")
     ends = chunks.mapInArrow(searched, "row_key long, chunk int, head array<int>, tail array<int>")
     order = Window.partitionBy("row_key").orderBy("chunk")
     agreed = F.array_max(F.array_intersect(F.lag("tail").over(order), "head"))
     cuts = ends.withColumn("cut", agreed).withColumns({
-        "next_cut": F.lead("cut").over(order), "next_chunk": F.lead("chunk").over(order), "segment": F.count("cut").over(order),
+        "next_cut": F.lead("cut").over(order), "last": F.lead("chunk").over(order).isNull(),
+        "broken": F.max(F.col("cut").isNull() & (F.col("chunk") > 0)).over(Window.partitionBy("row_key")),
     }).drop("head", "tail")
+    placed = chunks.join(cuts, ["row_key", "chunk"])
     first = F.coalesce("cut", F.lit(0))
-    after = F.when(F.col("next_chunk").isNull(), F.length("part")).otherwise(F.coalesce("next_cut", F.lit(0)) + size)
-    own = chunks.join(cuts, ["row_key", "chunk"]).select(
-        "doc_id", "row_key", "segment", "chunk", F.substring("part", first + 1, after - first).alias("part")
-    )
-    segments = own.groupBy("doc_id", "row_key", "segment").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"]), "").alias("part")
+    after = F.when(F.col("last"), F.length("part")).otherwise(F.col("next_cut") + size)
+    in_step = placed.filter(~F.col("broken")).select(
+        "doc_id", "row_key", F.col("chunk").cast("long").alias("segment"), F.substring("part", first + 1, after - first).alias("part")
     )
+    one_by_one = placed.filter("broken").select("doc_id", "row_key", "chunk", "last", "part").repartition("row_key").sortWithinPartitions("row_key", "chunk")
+    segments = in_step.unionByName(one_by_one.mapInArrow(recut, "doc_id long, row_key long, segment long, part string"))
     pieces = segments.mapInArrow(encoded, "doc_id long, row_key long, segment long, n long, written binary, decoded binary, ids array<int>")
     if not with_ids:
         pieces = pieces.drop("ids")
@@ -132,8 +163,10 @@ def encode_documents(
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded bytes) and, if
     asked for, ids (array of int). A text of at most ``size`` characters is one chunk. Longer ones become chunk rows that share
     ``overlap`` characters with the next; every chunk is pre-tokenised wherever it lies, cuts fall where the boundaries of
-    neighbours agree (from there both run in step), and the segments between cuts are encoded apart. Neighbours that nowhere agree,
-    because of a very long word or run of spaces, become one segment. Digests grow segment by segment.
+    neighbours agree, and the segments between cuts are encoded apart. Chunk 0 begins where the text does, so by turns every chunk
+    that agrees with its neighbour is in step with the text. A text with neighbours that nowhere agree (a very long word or run
+    of spaces; runs of digits where the pattern takes so many at a time) is cut one chunk after the other instead, which holds for any
+    pattern that looks no further than ``overlap`` characters ahead and for any ``size``. Digests grow segment by segment.
     ``ranks_path`` must be readable on every executor. Null and empty texts have no tokens and the digests of nothing. Repeated
     rows give repeated results; other columns are not used; no rows in, none out. Only long texts are shuffled.
     """

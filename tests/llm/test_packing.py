@@ -44,6 +44,22 @@ def test_chunks_encode_as_whole_texts(spark, size, overlap):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+@pytest.mark.parametrize(("size", "overlap", "n"), [(30, 2000, 900), (33, 10, 900), (60, 50, 2000), (51_000, 2000, 250_000)])
+def test_cuts_hold_for_periodic_tokens(spark, size, overlap, n):
+    """Digits in threes: neighbours agree with each other and not with the text, unless they begin in step with it."""
+    pattern = PATTERN.replace(r"\p{N}+", r"\p{N}{1,3}")
+    assert pattern != PATTERN
+    rng = random.Random(n)
+    texts = ["a" + "1" * n + " end of text", "7" * n, "12 " * (n // 3), " " * n + "x", "y" * n, "ab" + "1" * n + "cd " * (n // 4) + "2" * n + "." + "words of text " * (n // 10)]
+    texts += ["".join(rng.choice(["1", "22", " ", "word", ".", "\n\n", "é9"]) for _ in range(n // 2)), "x " * n + "3" * (n + 1)]
+    encoding = bpe.coder(RANKS, pattern)
+    for r in bpe.encode_documents(documents(spark, texts), RANKS, pattern, size, overlap, with_ids=True).collect():
+        text = "key of nothing" if r.doc_id is None else texts[r.doc_id]
+        want = encoding.encode_ordinary(text)
+        assert r.ids == want, (r.doc_id, len(r.ids), len(want))
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_ids_decode_to_bytes(spark):
     texts = texts_of(2, 20, 50)
     encoded = bpe.encode_documents(documents(spark, texts), RANKS, PATTERN, with_ids=True)
