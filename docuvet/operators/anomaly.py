@@ -3,10 +3,13 @@
 These follow the written design of the original; its code does not contain them.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_FEATURES = 200
+#: Partitions' moments are joined in so many groups before they meet.
+MOMENT_GROUPS = 32
 
 
 @dataclass(frozen=True)
@@ -25,21 +30,73 @@ class GenuineModel:
     precision: tuple[tuple[float, ...], ...]
 
 
+def _moments(rows: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, means and sums of products of deviations of complete rows."""
+    rows = rows[~np.isnan(rows).any(1)]
+    mean = rows.mean(0) if len(rows) else np.zeros(rows.shape[1])
+    return len(rows), mean, (rows - mean).T @ (rows - mean)
+
+
+def _joined_moments(a: tuple[int, np.ndarray, np.ndarray], b: tuple[int, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    n = a[0] + b[0]
+    gap = b[1] - a[1]
+    return n, a[1] + gap * (b[0] / max(n, 1)), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / max(n, 1))
+
+
 def fit_genuine(genuine: DataFrame, features: tuple[str, ...]) -> GenuineModel:
-    """Means and covariances in one aggregation; only the matrix of at most ``MAX_FEATURES`` squared numbers is inverted here."""
-    if len(features) > MAX_FEATURES:
+    """Means and covariances in one pass: one matrix of moments a partition, joined in ``MOMENT_GROUPS`` groups, then here.
+
+    A row with a missing feature is not used. Only the matrix of at most ``MAX_FEATURES`` squared numbers is inverted here.
+    """
+    width = len(features)
+    if width > MAX_FEATURES:
         raise ValueError(f"at most {MAX_FEATURES} features")
-    value = lambda c: F.col(c).cast("double")
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    row = genuine.agg(
-        *[F.avg(value(c)).alias(f"m{i}") for i, c in enumerate(features)],
-        *[F.covar_samp(value(features[i]), value(features[j])).alias(f"c{i}_{j}") for i, j in pairs],
-    ).first()
-    covariance = np.zeros((len(features), len(features)))
-    for i, j in pairs:
-        covariance[i, j] = covariance[j, i] = row[f"c{i}_{j}"] or 0.0
-    precision = np.linalg.pinv(covariance)
-    return GenuineModel(tuple(features), tuple(row[f"m{i}"] or 0.0 for i in range(len(features))), tuple(map(tuple, precision.tolist())))
+    nothing = 0, np.zeros(width), np.zeros((width, width))
+
+    def packed(part: int, moments: tuple[int, np.ndarray, np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"part": [part], "n": [moments[0]], "mean": [moments[1].tobytes()], "products": [moments[2].tobytes()]})
+
+    def unpacked(rows) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        return [(int(n), np.frombuffer(mean), np.frombuffer(products).reshape(width, width)) for n, mean, products in rows]
+
+    def of_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = nothing
+        for batch in batches:
+            total = _joined_moments(total, _moments(batch.to_numpy(float)))
+        yield packed(TaskContext.get().partitionId() % MOMENT_GROUPS, total)
+
+    def of_group(rows: pd.DataFrame) -> pd.DataFrame:
+        return packed(0, reduce(_joined_moments, unpacked(rows[["n", "mean", "products"]].itertuples(index=False))))
+
+    layout = "part int, n long, mean binary, products binary"
+    values = genuine.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(features)])
+    groups = values.mapInPandas(of_partition, layout).groupBy("part").applyInPandas(of_group, layout).collect()
+    n, mean, products = reduce(_joined_moments, unpacked((r.n, r.mean, r.products) for r in groups), nothing)
+    precision = np.linalg.pinv(products / max(n - 1, 1), hermitian=True)
+    return GenuineModel(tuple(features), tuple(mean.tolist()), tuple(map(tuple, precision.tolist())))
+
+
+def with_anomaly(df: DataFrame, model: GenuineModel) -> DataFrame:
+    """Rows with ``distance`` and ``contributions`` (shares of each feature in its square), for any number of features.
+
+    Matrix products over whole batches; the plan does not grow with the features, as that of ``anomaly_distance`` does. A
+    missing feature gives nulls.
+    """
+    means, precision = np.array(model.means), np.array(model.precision)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            gaps = np.stack([np.array([np.nan if v is None else v for v in row], float) for row in batch]) - means
+            shares = gaps * (gaps @ precision)
+            squared = shares.sum(1)
+            whole = ~np.isnan(squared)
+            yield pd.DataFrame({
+                "distance": np.where(whole, np.sqrt(np.maximum(squared, 0)), None), "contributions": [s if w else None for s, w in zip(shares, whole, strict=True)]
+            })
+
+    judged = F.pandas_udf(run, "distance double, contributions array<double>")
+    values = F.array(*[F.col(c).cast("double") for c in model.features])
+    return df.withColumn("_a", judged(values)).select(*df.columns, F.col("_a.distance").alias("distance"), F.col("_a.contributions").alias("contributions"))
 
 
 def contributions(model: GenuineModel) -> list[Column]:
@@ -52,7 +109,10 @@ def contributions(model: GenuineModel) -> list[Column]:
 
 
 def anomaly_distance(model: GenuineModel) -> Column:
-    """Mahalanobis distance of a document from the genuine ones. A missing feature gives NULL."""
+    """Mahalanobis distance of a document from the genuine ones, as one expression; for a few features (else ``with_anomaly``).
+
+    A missing feature gives NULL.
+    """
     squared = reduce(lambda a, b: a + b, contributions(model))
     return F.when(squared >= 0, F.sqrt(squared)).when(squared < 0, 0.0)
 

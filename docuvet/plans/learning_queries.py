@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docuvet.functions import sql
-from docuvet.operators import evaluation, forest, groups, sketches
+from docuvet.operators import anomaly, evaluation, forest, groups, sketches
 from docuvet.plans.document_queries import icao_sql, mask_sql, verhoeff_sql
 from docuvet.plans.registry import query
 from docuvet.plans.screening_queries import _EVIDENCE, evidence_of
@@ -103,3 +103,23 @@ def forest_fusion(t):
         "test_cases", F.lit(learned > average).alias("beats_average"), F.lit(learned > 0.75).alias("separates"),
         (F.col("_gap") < 1e-9).alias("contributions_add_up"),
     )
+
+
+# --- One-class score: fitted, bounded and judged on different documents ----------------------------------------------
+@query("anomaly_validated", """
+WITH m AS (SELECT CAST(ela_std AS DOUBLE) AS x, CAST(texture_std AS DOUBLE) AS y, barcode_status <> 'MISMATCH' AS genuine,
+  CAST('0x' || substr(md5(CAST(image_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS place FROM <image_metrics>),
+g AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS vxy FROM m WHERE genuine AND place < 70),
+d AS (SELECT *, sqrt(greatest(0, ((x - mx) * (x - mx) * vy - 2 * (x - mx) * (y - my) * vxy + (y - my) * (y - my) * vx) / (vx * vy - vxy * vxy))) AS distance FROM m, g),
+t AS (SELECT quantile_cont(distance, 0.95) AS threshold FROM d WHERE genuine AND place >= 70 AND place < 85)
+SELECT genuine, count(*) AS documents, count(*) FILTER (distance > threshold + 1e-7) AS anomalous FROM d, t WHERE place >= 85 GROUP BY 1""")
+def anomaly_validated(t):
+    """Anomalous documents of TEST, by a model of the genuine ones of TRAIN and the threshold of those of VALIDATION."""
+    rows = t.image_metrics.select("image_id", "ela_std", "texture_std", (F.col("barcode_status") != "MISMATCH").alias("genuine"))
+    rows = evaluation.split_documents(rows, "image_id")
+    model = anomaly.fit_genuine(rows.filter("genuine and split = 'TRAIN'"), ("ela_std", "texture_std"))
+    judged = anomaly.with_anomaly(rows.filter("split <> 'TRAIN'"), model)
+    threshold = anomaly.learned_threshold(judged.filter("genuine and split = 'VALIDATION'"), "distance").first()[0]
+    # Distances are equal to the seventh decimal at least, whatever the order of summation.
+    above = F.col("distance") > F.lit(threshold + 1e-7)
+    return judged.filter("split = 'TEST'").groupBy("genuine").agg(F.count("*").alias("documents"), F.count_if(above).alias("anomalous"))

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from docuvet.functions import checksums, sql, text
-from docuvet.operators import evaluation, forest, groups, sketches
+from docuvet.operators import anomaly, evaluation, forest, groups, sketches
 
 RECORDS = "case_id long, evidence_sha256 string, owner_id string, fraud int, kind string, split string"
 
@@ -136,3 +136,26 @@ def test_sql_functions_equal_column_functions(spark):
     assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
     # Inlined: the plan has no call left.
     assert "verhoeff_valid" not in got._jdf.queryExecution().optimizedPlan().toString().replace("verhoeff_valid(s)#", "").replace("AS verhoeff_valid", "")
+
+
+def test_covariance_of_two_hundred_features(spark):
+    rng = np.random.default_rng(3)
+    names = [f"f{i}" for i in range(200)]
+    values = rng.normal(size=(900, 200)) @ rng.normal(size=(200, 200)) * 0.1 + rng.normal(size=200) * 1e4
+    rows = [tuple(map(float, v)) for v in values] + [(None, *map(float, values[0][1:]))]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(7)
+    model = anomaly.fit_genuine(df, tuple(names))
+    assert np.allclose(model.means, values.mean(0), rtol=1e-12)
+    assert np.allclose(np.array(model.precision) @ np.cov(values.T), np.eye(200), atol=1e-6)
+    got = anomaly.with_anomaly(df, model).select("f1", "distance", "contributions").collect()
+    gaps = values - values.mean(0)
+    want = {v[1]: np.sqrt(g @ np.linalg.inv(np.cov(values.T)) @ g) for v, g in zip(values, gaps)}
+    whole = [r for r in got if r.distance is not None]
+    assert len(got) == 901 and len(whole) == 900
+    assert all(abs(r.distance - want[r.f1]) < 1e-5 and abs(sum(r.contributions) - r.distance**2) < 1e-6 for r in whole)
+
+
+def test_anomaly_of_nothing(spark):
+    empty = spark.createDataFrame([], "a double, b double")
+    model = anomaly.fit_genuine(empty, ("a", "b"))
+    assert model.means == (0.0, 0.0) and anomaly.with_anomaly(empty, model).collect() == []
