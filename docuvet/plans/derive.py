@@ -220,6 +220,13 @@ SELECT c_custkey AS case_id, CASE WHEN c_custkey % 4 = 0 THEN 'FAILED' ELSE 'PAS
 FROM {customer}"""
 SQL["case_liveness"] = """
 SELECT c_custkey AS case_id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_custkey % 7 <> 0 END AS liveness_passed FROM {customer}"""
+# Records of persons, written up to three times: in another order, with a letter or a digit missing, with another date.
+SQL["person_records"] = """
+SELECT c_custkey AS case_id, CASE c_custkey % 3 WHEN 0 THEN 'Anna ' || last WHEN 1 THEN upper(last) || ', ANNA' ELSE 'Ana  ' || last END AS name,
+  CASE WHEN c_custkey % 21 = 20 THEN NULL WHEN c_custkey % 12 = 11 THEN '1999-12-31' WHEN b % 50 = 0 THEN '1990-01-01' ELSE CAST(1950 + b % 50 AS STRING) || '-01-' || lpad(CAST(1 + b % 28 AS STRING), 2, '0') END AS dob,
+  CASE WHEN c_custkey % 15 = 14 THEN '' WHEN b % 40 = 7 THEN 'N0000-0000' WHEN c_custkey % 3 = 1 THEN substr(number, 1, 4) || substr(number, 6) ELSE number END AS doc_number
+FROM (SELECT c_custkey, b, 'K' || CAST(100000 + b * 7919 % 900001 AS STRING) AS last, 'P' || CAST(10000000 + b * 104729 % 90000001 AS STRING) AS number
+  FROM (SELECT c_custkey, CAST(floor(c_custkey / 3) AS BIGINT) AS b FROM {customer}))"""
 # Results of a case as three streams: face results come within minutes, some liveness results too late or never.
 SQL["case_documents"] = SQL["signals"].replace("CAST(100 - (o_orderkey % 45) AS decimal(9,1)) AS similarity,", "").replace(
     "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 19 <> 0 END AS liveness_passed,", "").replace(

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docuvet.functions import sql
-from docuvet.operators import anomaly, evaluation, forest, groups, sketches
+from docuvet.operators import anomaly, evaluation, forest, groups, persons, sketches
 from docuvet.plans.document_queries import icao_sql, mask_sql, verhoeff_sql
 from docuvet.plans.registry import query
 from docuvet.plans.screening_queries import _EVIDENCE, evidence_of
@@ -123,3 +123,15 @@ def anomaly_validated(t):
     # Distances are equal to the seventh decimal at least, whatever the order of summation.
     above = F.col("distance") > F.lit(threshold + 1e-7)
     return judged.filter("split = 'TEST'").groupBy("genuine").agg(F.count("*").alias("documents"), F.count_if(above).alias("anomalous"))
+
+
+# --- The same person, written differently --------------------------------------------------------------------------
+@query("same_persons", """
+WITH RECURSIVE r AS (SELECT case_id, nullif(array_to_string(list_sort(list_filter(string_split_regex(upper(name), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')), ' '), '') AS name,
+  nullif(dob, '') AS dob, nullif(regexp_replace(upper(doc_number), '[^A-Z0-9]', '', 'g'), '') AS number FROM <person_records>),
+links AS (SELECT a.case_id AS a, b.case_id AS b FROM r a JOIN r b ON a.case_id <> b.case_id AND levenshtein(a.name, b.name) <= 1
+  AND (coalesce(a.dob = b.dob, false) OR coalesce(levenshtein(a.number, b.number) <= 1, false))),
+reached(a, b) AS (SELECT case_id, case_id FROM r UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b)
+SELECT r.case_id, (SELECT count(*) FROM links WHERE links.a = r.case_id) AS n_links, (SELECT min(b) FROM reached WHERE reached.a = r.case_id) AS person_id FROM r""")
+def same_persons(t):
+    return persons.same_persons(t.person_records)

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from docuvet.functions import checksums, sql, text
-from docuvet.operators import anomaly, evaluation, forest, groups, sketches
+from docuvet.operators import anomaly, evaluation, forest, groups, persons, sketches
 
 RECORDS = "case_id long, evidence_sha256 string, owner_id string, fraud int, kind string, split string"
 
@@ -159,3 +159,44 @@ def test_anomaly_of_nothing(spark):
     empty = spark.createDataFrame([], "a double, b double")
     model = anomaly.fit_genuine(empty, ("a", "b"))
     assert model.means == (0.0, 0.0) and anomaly.with_anomaly(empty, model).collect() == []
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("hot", [2, 64])
+def test_persons_match_all_pairs(spark, hot):
+    rng, rows = random.Random(hot), []
+    slip = lambda t: t if not t or rng.random() < 0.6 else (lambda i: t[:i] + rng.choice(["", rng.choice("AB1")]) + t[i + 1 :])(rng.randrange(len(t)))
+    for n in range(160):
+        name = rng.choice(["ANNA MARIA LOPEZ", "RAVI KUMAR", "LI", "A B", "ABCDEFG", "HOT NAME"])
+        name = slip(" ".join(rng.sample(name.split(), len(name.split()))))
+        number = rng.choice([None, "", "000000", slip("AB123456"), slip("X"), slip(f"N{n % 9}00{n % 4}")])
+        rows.append((None if n == 5 else n, rng.choice([None, "", name, name.lower() + "."]) if rng.random() < 0.2 else name, rng.choice([None, "1990-01-01", "1990-01-01", f"19{n % 7}0"]), number, "x"))
+    rows.append(rows[20])
+    df = spark.createDataFrame(rows, "case_id long, name string, dob string, doc_number string, person_id string")
+    got = persons.same_persons(df, hot=hot).collect()
+    key = lambda t: " ".join(sorted("".join(c if c.isalnum() else " " for c in (t or "").upper()).split())) or None
+    clean = [(r[0], key(r[1]), r[2] or None, "".join(c for c in (r[3] or "").upper() if c.isalnum()) or None) for r in rows]
+
+    def linked(a, b):
+        if None in (a[0], b[0], a[1], b[1]) or edits(a[1], b[1]) > 1:
+            return False
+        return (a[2] is not None and a[2] == b[2]) or (None not in (a[3], b[3]) and edits(a[3], b[3]) <= 1)
+
+    links = [[j for j in range(len(rows)) if i != j and linked(clean[i], clean[j])] for i in range(len(rows))]
+    least = {r[0]: r[0] for r in rows if r[0] is not None}
+    for _ in range(len(rows)):
+        for i, found in enumerate(links):
+            for j in found:
+                low = min(least[clean[i][0]], least[clean[j][0]])
+                least[clean[i][0]] = least[clean[j][0]] = low
+    want = sorted((repr((clean[i][0], len(links[i]), least.get(clean[i][0])))) for i in range(len(rows)))
+    assert sorted(repr(tuple(r)) for r in got) == want
+    assert persons.same_persons(df.filter("false")).collect() == []
