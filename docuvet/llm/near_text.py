@@ -153,11 +153,11 @@ def _blocked(members: DataFrame, key: str, weight: Column) -> DataFrame:
 
 
 def _across(entries: DataFrame, groups: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between classes of one bucket that are not in one group yet and whose estimate does not speak against the threshold.
+    """Links (a, b) between classes of one bucket that no label joins yet and whose estimate does not speak against the threshold.
 
-    In every bucket the members beside its largest group meet all others, in blocks of bounded size; members of one group are not
-    compared again. A block pair gives as many links as join what it finds. So after this any two classes of a bucket are in one
-    group, or have been compared with each other.
+    ``groups`` has doc_id and group_id; classes without are their own. In every bucket the members beside its largest group meet
+    all others, in blocks of bounded size; members of one group are not compared again. A block pair gives as many links as join
+    what it finds. So after this any two classes of a bucket are joined, or have been compared with each other.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -288,9 +288,11 @@ def link_documents(documents: DataFrame, k: int = 4, per_cent: int = 80) -> Data
     leader = F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("a")
     starred = stored(entries.join(entries.groupBy("bucket").agg(leader), "bucket").filter("doc_id <> a"), "stars")
     near = stored(_estimated(starred.select("a", F.col("doc_id").alias("b")).distinct(), firsts, threshold), "near")
-    stars = stored(components(near).withColumnsRenamed({"id": "doc_id", "component_id": "group_id"}), "star-groups")
-    across = stored(_across(entries, stars, firsts, threshold), "across")
-    edges = stars.select(F.col("doc_id").alias("a"), F.col("group_id").alias("b")).union(across)
+    # The least leader of each class, and that leader's: classes with one label are joined through it already.
+    led = near.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("by"))
+    above = led.select(F.col("doc_id").alias("by"), F.col("by").alias("above"))
+    labels = led.join(above, "by", "left").select("doc_id", F.coalesce("above", "by").alias("group_id"))
+    edges = near.union(_across(entries, labels, firsts, threshold))
     groups = stored(components(edges).withColumnsRenamed({"id": "doc_id", "component_id": "group_id"}), "groups")
     center = groups.join(weights, "doc_id").groupBy("group_id").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("center"))
     members = stored(groups.join(center, "group_id"), "members")
