@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docuvet.functions.checksums import evidence_digest
 from docuvet.functions.text import strip
@@ -76,6 +77,38 @@ def read_dossiers(spark: SparkSession, path: str, multiline: bool = True) -> Dat
     return spark.read.schema(DOSSIER_SCHEMA).option("multiLine", multiline).json(path)
 
 
+def read_dossiers_whole(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Case dossiers of any generation: ``case_id``, the known keys, and ``dossier``, the whole document as a VARIANT.
+
+    Keys that no known generation has are kept there, with their own types, and are asked for by path (``dossier_value``).
+    A text that is no JSON document gives a row of nulls.
+    """
+    texts = spark.read.text(path, wholetext=multiline).filter(F.trim("value") != "")
+    whole = texts.select(F.try_parse_json("value").alias("dossier"), "value")
+    known = whole.select("dossier", F.from_json("value", DOSSIER_SCHEMA).alias("known"))
+    return known.select("known.*", "dossier")
+
+
+def dossier_value(path: str, kind: str = "string"):
+    """Value at a JSON path of ``dossier``; NULL where there is none or where it is of another kind."""
+    return F.try_variant_get("dossier", path, kind)
+
+
+def unknown_keys(dossiers: DataFrame) -> DataFrame:
+    """Keys beyond the known layout, nested ones with their path: case_id, key, kind (schema of the value), one row each."""
+    known = StructType.fromDDL(DOSSIER_SCHEMA)
+    entries = lambda c: F.explode(F.col(c).try_cast("map<string,variant>")).alias("key", "value")
+    top = dossiers.select("case_id", F.lit("").alias("inside"), entries("dossier"))
+    structs = {f.name: f.dataType for f in known if isinstance(f.dataType, StructType)}
+    nested = top.filter(F.col("key").isin(*structs)).select("case_id", F.col("key").alias("inside"), F.col("value").alias("part"))
+    below = nested.select("case_id", "inside", entries("part"))
+    expected = [("", f.name) for f in known] + [(n, f.name) for n, t in structs.items() for f in t]
+    names = F.array(*[F.lit(f"{a}.{b}") for a, b in expected])
+    found = top.union(below).filter(~F.array_contains(names, F.concat_ws(".", "inside", "key")))
+    path = F.when(F.col("inside") == "", F.col("key")).otherwise(F.concat_ws(".", "inside", "key"))
+    return found.select("case_id", path.alias("key"), F.schema_of_variant("value").alias("kind"))
+
+
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     """Name, size and digest of evidence files; the content is dropped after hashing."""
     files = spark.read.format("binaryFile").load(path)

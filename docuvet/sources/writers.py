@@ -38,6 +38,11 @@ def dossier_json(dossiers: DataFrame) -> DataFrame:
     return dossiers.select("case_id", F.to_json(F.struct("*")).alias("value"))
 
 
+def write_dossiers_whole(dossiers: DataFrame, path: str) -> None:
+    """JSON lines of the whole documents (``dossier``, a VARIANT) as they were read, unknown keys included."""
+    dossiers.select(F.to_json("dossier").alias("value")).write.mode("overwrite").text(path)
+
+
 def write_dossiers(dossiers: DataFrame, path: str) -> None:
     """JSON lines, one case document per line."""
     dossier_json(dossiers).select("value").write.mode("overwrite").text(path)

@@ -112,3 +112,21 @@ def test_ocr_lines(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps(doc))
     rows = readers.read_ocr_lines(spark, str(tmp_path / "r.json")).collect()
     assert [(r.line_no, r.text) for r in sorted(rows, key=lambda r: r.line_no)] == [(0, "A"), (2, "B")]
+
+
+def test_dossiers_keep_unknown_keys(spark, tmp_path):
+    """A third generation: new keys at the top and inside known ones are kept, asked for by path, and written back."""
+    third = {"case_id": "D3", "screening_verdict": {"final_decision": "HIGH RISK", "model_version": 7}, "device": {"os": "A", "sensors": [1, {"x": 2.5}]}, "note": None, "barcode_qr_findings": {"detected": True}}
+    second = {"case_id": "D2", "screening_verdict": {"final_decision": "VERIFIED"}, "quality_gate": {"status": "PASSED", "issues": []}}
+    for d in (second, third):
+        (tmp_path / f"report_{d['case_id']}.json").write_text(json.dumps(d, indent=2))
+    (tmp_path / "report_broken.json").write_text("{not json")
+    df = readers.read_dossiers_whole(spark, str(tmp_path / "report_*.json"))
+    asked = df.select("case_id", "screening_verdict.final_decision", readers.dossier_value("$.device.os").alias("os"), readers.dossier_value("$.device.sensors[1].x", "double").alias("x"),
+                      readers.dossier_value("$.screening_verdict.model_version", "int").alias("v"), readers.dossier_value("$.device.os", "int").alias("wrong"))
+    assert sorted(map(tuple, asked.collect()), key=str) == sorted([("D2", "VERIFIED", None, None, None, None), ("D3", "HIGH RISK", "A", 2.5, 7, None), (None,) * 6], key=str)
+    beyond = {(r.case_id, r.key): r.kind for r in readers.unknown_keys(df).collect()}
+    assert set(beyond) == {("D3", "device"), ("D3", "note"), ("D3", "screening_verdict.model_version")} and beyond["D3", "screening_verdict.model_version"] == "BIGINT"
+    writers.write_dossiers_whole(df.filter("case_id is not null"), str(tmp_path / "lines"))
+    back = readers.read_dossiers_whole(spark, str(tmp_path / "lines"), multiline=False)
+    assert {r.case_id: json.loads(r.j) for r in back.select("case_id", F.to_json("dossier").alias("j")).collect()} == {"D2": second, "D3": third}
