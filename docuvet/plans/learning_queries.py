@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from docuvet.functions import sql
-from docuvet.operators import anomaly, evaluation, forest, groups, persons, sketches
+from docuvet.operators import anomaly, audit, evaluation, forest, groups, persons, risk, sketches
 from docuvet.plans.document_queries import icao_sql, mask_sql, verhoeff_sql
 from docuvet.plans.registry import query
+from docuvet.plans.risk_queries import RISK
 from docuvet.plans.screening_queries import _EVIDENCE, evidence_of
 
 _NUMBERS = "SELECT o_orderkey AS k, CAST(200000000000 + o_orderkey * 7919 % 1000 AS STRING) AS n, upper(o_orderpriority) || CAST(o_custkey AS STRING) AS z FROM {orders}"
@@ -135,3 +136,41 @@ reached(a, b) AS (SELECT case_id, case_id FROM r UNION SELECT reached.a, links.b
 SELECT r.case_id, (SELECT count(*) FROM links WHERE links.a = r.case_id) AS n_links, (SELECT min(b) FROM reached WHERE reached.a = r.case_id) AS person_id FROM r""")
 def same_persons(t):
     return persons.same_persons(t.person_records)
+
+
+# --- Audit rows and minimisation -------------------------------------------------------------------------------------
+_MODULES = ", ".join(f"struct_pack(module := '{m}', score := CAST({c} AS decimal(18,6)))" for m, c in (
+    ("DOCUMENT", "document_risk"), ("CONSISTENCY", "consistency_risk"), ("FACE", "face_risk"), ("LIVENESS", "liveness_risk"), ("COMPOSITE", "risk_score")))
+
+
+@query("audit_long", f"""
+SELECT kind, subject, count(*) AS rows, count(DISTINCT case_id) AS cases, count(DISTINCT value) AS values FROM (
+  SELECT case_id, 'MODULE' AS kind, m.module AS subject, CAST(CAST(m.score AS decimal(9,1)) AS VARCHAR) AS value
+  FROM (SELECT case_id, unnest([{_MODULES}]) AS m FROM {RISK})
+  UNION ALL SELECT case_id, 'REVIEW', 'final_decision', action FROM <overrides>) GROUP BY 1, 2""")
+def audit_long(t):
+    cases = risk.with_risk(t.signals).withColumn("screened_at", F.col("screened_at").cast("timestamp"))
+    rows = audit.long_rows(audit.module_results(cases, "screened_at"), audit.review_decisions(t.overrides))
+    return rows.groupBy("kind", "subject").agg(F.count("*").alias("rows"), F.count_distinct("case_id").alias("cases"), F.count_distinct("value").alias("values"))
+
+
+POLICIES = (
+    audit.Policy("AUDITOR", "applicant_name", 0, audit.MASK), audit.Policy("AUDITOR", "owner_id", 0, audit.HASH),
+    audit.Policy("ANALYST", "applicant_name", 730, audit.MASK), audit.Policy("ANALYST", "applicant_name", 1460, audit.DROP),
+    audit.Policy("ANALYST", "document_type", 1460, audit.DROP),
+)
+
+
+@query("minimised_history", """
+WITH h AS (SELECT *, date_diff('day', CAST(timestamp AS DATE), DATE '1998-08-03') AS age FROM <history>)
+SELECT 'AUDITOR' AS role, version, CASE WHEN age > 0 THEN substr(sha256(CAST(owner_id AS VARCHAR)), 1, 12) ELSE CAST(owner_id AS VARCHAR) END AS owner_id,
+  CASE WHEN age > 0 THEN left(applicant_name, 1) || '***' ELSE applicant_name END AS applicant_name, document_type FROM h
+UNION ALL
+SELECT 'ANALYST', version, CAST(owner_id AS VARCHAR), CASE WHEN age > 1460 THEN NULL WHEN age > 730 THEN left(applicant_name, 1) || '***' ELSE applicant_name END, CASE WHEN age <= 1460 THEN document_type END FROM h""")
+def minimised_history(t):
+    today = F.lit("1998-08-03").cast("date")
+    seen = [
+        audit.minimised(t.history, list(POLICIES), role, "timestamp", today).select(F.lit(role).alias("role"), "version", F.col("owner_id").cast("string").alias("owner_id"), "applicant_name", "document_type")
+        for role in ("AUDITOR", "ANALYST")
+    ]
+    return seen[0].union(seen[1])
