@@ -2,6 +2,8 @@
 
 from pyspark.sql import SparkSession
 
+from docuvet.sources.tables import REDEAL
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -24,6 +26,6 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
     builder = SparkSession.builder.master(f"local[{cores}]").config("spark.driver.memory", memory)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
-    spark = builder.config("spark.sql.shuffle.partitions", str(partitions)).getOrCreate()
+    spark = builder.config("spark.sql.shuffle.partitions", str(partitions)).config(REDEAL, "true").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
