@@ -145,24 +145,34 @@ def above_type_threshold(cases: DataFrame, thresholds: DataFrame, score: str, de
     return joined.withColumn("exceeds", F.col(score) > F.col("limit")).drop("threshold")
 
 
+SOURCES = {
+    "OCR": {"name": "name", "dob": "dob", "gender": "gender", "number": "doc_number"},
+    "MRZ": {"name": "mrz_surname", "dob": "mrz_dob", "gender": "mrz_sex", "number": "mrz_number"},
+    "QR": {"name": "qr_name", "dob": "qr_dob", "gender": "qr_gender", "number": "qr_uid_masked"},
+}
+
+
 def evidence_long(documents: DataFrame) -> DataFrame:
     """One row per document, field and source for the fields that several sources give."""
-    sources = {
-        "OCR": {"name": "name", "dob": "dob", "gender": "gender", "number": "doc_number"},
-        "MRZ": {"name": "mrz_surname", "dob": "mrz_dob", "gender": "mrz_sex", "number": "mrz_number"},
-        "QR": {"name": "qr_name", "dob": "qr_dob", "gender": "qr_gender", "number": "qr_uid_masked"},
-    }
     rows = F.array(*[
         F.struct(F.lit(field).alias("field_name"), F.lit(source).alias("source"), F.col(column).alias("value"))
-        for source, fields in sources.items() for field, column in fields.items()
+        for source, fields in SOURCES.items() for field, column in fields.items()
     ])
     # The outer form keeps the optimizer from repeating the column chain in an inferred filter.
     return documents.select("doc_id", F.inline_outer(rows)).filter(F.col("value").isNotNull())
 
 
 def fields_by_source(long_rows: DataFrame) -> DataFrame:
-    """Back to one row per document and field, one column per source."""
-    return long_rows.groupBy("doc_id", "field_name").pivot("source", ["OCR", "MRZ", "QR"]).agg(F.min("value"))
+    """Stored long rows back to one row per document and field, one column per source."""
+    return long_rows.groupBy("doc_id", "field_name").pivot("source", list(SOURCES)).agg(F.min("value"))
+
+
+def fields_side_by_side(documents: DataFrame) -> DataFrame:
+    """The same straight from documents: all sources of a document are in its row, so nothing is shuffled."""
+    rows = F.array(*[
+        F.struct(F.lit(field).alias("field_name"), *[F.col(columns[field]).alias(source) for source, columns in SOURCES.items()]) for field in SOURCES["OCR"]
+    ])
+    return documents.select("doc_id", F.inline_outer(rows)).filter(F.coalesce(*SOURCES).isNotNull())
 
 
 def review_queue(cases: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -239,7 +239,7 @@ def evidence_long(t):
 @query("fields_by_source", f"""{_COMPARED}, {_PARTS}
 SELECT doc_id, field_name, min(value) FILTER (source = 'OCR') AS "OCR", min(value) FILTER (source = 'MRZ') AS "MRZ", min(value) FILTER (source = 'QR') AS "QR" FROM ({_LONG}) GROUP BY 1, 2""")
 def fields_by_source(t):
-    return evaluation.fields_by_source(evaluation.evidence_long(merged_sources(t)))
+    return evaluation.fields_side_by_side(merged_sources(t))
 
 
 # --- Shared evidence, splits, training rows, printed reports --------------------------------------------

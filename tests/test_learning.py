@@ -200,3 +200,14 @@ def test_persons_match_all_pairs(spark, hot):
     want = sorted((repr((clean[i][0], len(links[i]), least.get(clean[i][0])))) for i in range(len(rows)))
     assert sorted(repr(tuple(r)) for r in got) == want
     assert persons.same_persons(df.filter("false")).collect() == []
+
+
+def test_fields_side_by_side_equal_the_pivot(spark):
+    names = sorted({c for columns in evaluation.SOURCES.values() for c in columns.values()})
+    rng = random.Random(7)
+    rows = [(n, *[rng.choice((None, f"v{rng.randrange(3)}")) for _ in names]) for n in range(60)] + [(99, *[None] * len(names))]
+    df = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} string" for c in names))
+    pivoted = evaluation.fields_by_source(evaluation.evidence_long(df))
+    direct = evaluation.fields_side_by_side(df)
+    assert direct.columns == pivoted.columns and sorted(direct.collect(), key=repr) == sorted(pivoted.collect(), key=repr)
+    assert "Exchange" not in direct._jdf.queryExecution().executedPlan().toString()
