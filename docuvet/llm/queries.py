@@ -72,6 +72,27 @@ def op7_overlap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+#: All pairs that share a run of four words, then everything reachable.
+NEAR_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM worded
+),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+),
+reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+low AS (SELECT a AS doc_id, min(b) AS low FROM reached GROUP BY a)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept FROM sets LEFT JOIN low USING (doc_id)"""
+ORACLES["op8_setsketch_near_text"] = NEAR_SQL
+
+
 @query
 def op8_setsketch_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.link_documents(_documents(spark, sf_dir))
@@ -106,6 +127,22 @@ def _faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("selfie_embedding"))
 
 
+#: Cosines of all pairs, then everything reachable.
+FACES_SQL = """
+WITH RECURSIVE given AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+sized AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM given WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sized a JOIN sized b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND len(a.e) = len(b.e)
+    AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95::DOUBLE
+),
+counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a),
+reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+low AS (SELECT a AS vec_id, min(b) AS low FROM reached GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM given LEFT JOIN counted USING (vec_id) LEFT JOIN low USING (vec_id)"""
+ORACLES["op5_projection_forest_faces"] = FACES_SQL
+
+
 @query
 def op5_projection_forest_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return face_links.link_faces(_faces(spark, sf_dir)).withColumnRenamed("case_id", "vec_id")
