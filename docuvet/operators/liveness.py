@@ -28,6 +28,18 @@ def dedupe_frames(frames: DataFrame) -> DataFrame:
     return frames.dropDuplicates([KEY, "event_id"])
 
 
+def since_reset(frames: DataFrame) -> DataFrame:
+    """Frames after the last reset of their session; rows with ``reset`` set are control rows, no frames.
+
+    A reset leaves nothing of a session behind, so its challenges are judged on what comes after. One row per session that was
+    reset is joined; a session that never was keeps all its frames.
+    """
+    control = F.coalesce(F.col("reset"), F.lit(False))
+    last = frames.filter(control).groupBy(F.col(KEY).alias("_key")).agg(F.max(F.struct(*ORDER)).alias("_at"))
+    joined = frames.filter(~control).join(last, F.col(KEY).eqNullSafe(F.col("_key")), "left")
+    return joined.filter(F.col("_at").isNull() | (F.struct(*ORDER) > F.col("_at"))).drop("_key", "_at", "reset")
+
+
 def smoothed_ear(frames: DataFrame, chunk_seconds: int, count: int = 2) -> DataFrame:
     """Frames with exactly one face, with the mean eye ratio of the last two or three of them."""
     single = frames.filter(F.col("face_count") == 1).withColumns(

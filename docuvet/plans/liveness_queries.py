@@ -70,6 +70,20 @@ def liveness_sessions(t):
         "session_id", "frames", "blink_count", "blink_passed", "left_passed", "right_passed", "all_passed", "last_state")
 
 
+_RESET = "(event_id % 61 = 0)"
+_SINCE = f"""(SELECT f.* FROM <frames> f LEFT JOIN (SELECT session_id, max(struct_pack(ts := ts, event_id := event_id)) AS last FROM <frames> WHERE {_RESET} GROUP BY 1) r USING (session_id)
+  WHERE NOT {_RESET} AND (last IS NULL OR struct_pack(ts := f.ts, event_id := f.event_id) > last))"""
+
+
+@query("reset_sessions", f"""{_MACHINE.replace('<frames>', _SINCE)}
+SELECT session_id, rn AS frames, CAST(blinks AS BIGINT) AS blink_count, db AS blink_passed, dl AS left_passed, dr AS right_passed, db AND dl AND dr AS all_passed, st AS last_state
+FROM m WHERE (session_id, rn) IN (SELECT (session_id, max(rn)) FROM f GROUP BY session_id)""")
+def reset_sessions(t):
+    frames = liveness.dedupe_frames(t.frames).withColumn("reset", F.expr(_RESET))
+    return liveness.session_summary(liveness.since_reset(frames), CHUNK_DAY).select(
+        "session_id", "frames", "blink_count", "blink_passed", "left_passed", "right_passed", "all_passed", "last_state")
+
+
 # The clock of the recorded frames runs so many times slower than a camera's.
 SLOW = 250_000
 SLOW_PARAMS = dataclasses.replace(

@@ -210,3 +210,14 @@ def test_sessions_expire_reset_and_count_late_frames(spark, tmp_path):
     assert ended.state == "SESSION_EXPIRED" and not ended.challenge_passed
     summed = {r.session_id: r for r in stream_summary(rows).collect()}
     assert summed["a"].expired and summed["a"].frames == 16 and not summed["b"].expired
+
+
+def test_batch_counts_from_the_last_reset(spark):
+    """Recorded frames with control rows give what the walk over the frames behind the last of them gives."""
+    rows = make_frames(6, sessions=3, count=90)
+    resets = [("s1", START + datetime.timedelta(milliseconds=40 * n + 1), 10_000 + n) for n in (5, 40)] + [("gone", START, 1)]
+    control = [(s, at, e, None, None, None, None, None, True) for s, at, e in resets]
+    df = spark.createDataFrame([(*r, None if r[2] % 2 else False) for r in rows] + control, SCHEMA + ", reset boolean")
+    kept = [r for r in rows if r[0] != "s1" or (r[1], r[2]) > (resets[1][1], resets[1][2])]
+    assert 0 < len(rows) - len(kept) < 90
+    assert summary(liveness.session_summary(liveness.since_reset(df), 5)) == expected(kept)
