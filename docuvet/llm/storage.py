@@ -1,26 +1,10 @@
 """Results that several later steps read, kept where every executor can read them again."""
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from docuvet.sources.shared import new_path, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of this machine only where it is unset, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="docuvet-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that goes when the session's JVM ends."""
-    path = f"{shared_folder(spark)}/docuvet-{label}-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+__all__ = ["new_path", "shared_folder", "stored"]
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
